@@ -52,6 +52,17 @@ def string_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     return body[ends[0] : ends[-1]], ends - ends[0]
 
 
+def slices(batches, column: str, most: int = 2 << 20):
+    """The batches' rows in order, in slices of about ``most`` bytes of a string column (one row at least)."""
+    for batch in batches:
+        _, ends = string_bytes(batch.column(column))
+        at, n = 0, batch.num_rows
+        while at < n:
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] + most, "right")) - 1)
+            yield batch.slice(at, to - at)
+            at = to
+
+
 class BitFilter:
     """A Bloom filter over 64-bit names with two probes.
 
@@ -69,7 +80,7 @@ class BitFilter:
         return (name.bitwiseAND(F.lit(bits - 1)), F.shiftrightunsigned(name, 33).bitwiseAND(F.lit(bits - 1)))
 
     @classmethod
-    def of(cls, names: DataFrame, bits: int = 1 << 27) -> "BitFilter":
+    def of(cls, names: DataFrame, bits: int = 1 << 26) -> "BitFilter":
         """From a DataFrame with one long column ``name``; at most bits / 64 words reach the driver."""
         bit = F.explode(F.array(*cls.probes(bits))).alias("bit")
         rows = (
@@ -83,9 +94,6 @@ class BitFilter:
         words[got["word"].to_numpy()] = got["mask"].to_numpy().view(np.uint64)
         return cls(words)
 
-    def __contains__(self, names: np.ndarray):
-        raise TypeError("use has(names)")
-
     def has(self, names: np.ndarray) -> np.ndarray:
         names = names.view(np.uint64)
         out = np.ones(len(names), bool)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from odflow.llm.common import BitFilter, string_bytes
+from odflow.llm.common import BitFilter, slices, stored, string_bytes
 
 ANCHOR = 32
 #: Bytes worked on at once: small arrays stay in a core's cache.
@@ -199,7 +199,7 @@ def _wanted(cells: Cells, repeated_blocks: BitFilter) -> np.ndarray:
     return wanted
 
 
-def repeated_spans(docs: DataFrame, min_bytes: int = 100, filter_bits: int = 1 << 27, text: str = "text") -> DataFrame:
+def repeated_spans(docs: DataFrame, min_bytes: int = 100, filter_bits: int = 1 << 26, text: str = "text") -> DataFrame:
     """Each row of ``docs`` as (doc_id, text, spans): spans of bytes to remove, sorted and apart.
 
     A byte is in a span if a string of ``min_bytes`` (64 to 4096) bytes over it also starts earlier: in a row of smaller
@@ -215,7 +215,7 @@ def repeated_spans(docs: DataFrame, min_bytes: int = 100, filter_bits: int = 1 <
     )
 
     def anchors(batches):
-        for batch in batches:
+        for batch in slices(batches, "text"):
             _, cells = _cells(batch, window)
             yield pa.RecordBatch.from_arrays([_signed(cells.anchor)], ["name"])
 
@@ -223,7 +223,7 @@ def repeated_spans(docs: DataFrame, min_bytes: int = 100, filter_bits: int = 1 <
     first_filter = sc.broadcast(repeated(source.mapInArrow(anchors, "name long")))
 
     def cells_of(batches):
-        for batch in batches:
+        for batch in slices(batches, "text"):
             key, cells = _cells(batch, window)
             cells = cells.take(first_filter.value.has(cells.anchor))
             doc = key[cells.doc]
@@ -236,13 +236,11 @@ def repeated_spans(docs: DataFrame, min_bytes: int = 100, filter_bits: int = 1 <
         .groupBy("anchor", "cell")
         .agg(F.min("doc").alias("doc"), F.min_by("start", "doc").alias("start"))
     )
-    from odflow.llm.common import stored
-
     firsts = stored(firsts)
     mixed = sc.broadcast(repeated(firsts.select(F.col("anchor").alias("name"))))
 
     def blocks_of(batches):
-        for batch in batches:
+        for batch in slices(batches, "text"):
             _, cells = _cells(batch, window)
             cells = cells.take(first_filter.value.has(cells.anchor) & mixed.value.has(cells.anchor))
             cells = cells.take(_firsts(cells.start, cells.cell, cells.anchor))
@@ -262,7 +260,7 @@ def repeated_spans(docs: DataFrame, min_bytes: int = 100, filter_bits: int = 1 <
         return cells.take(first_filter.value.has(cells.anchor) & mixed.value.has(cells.anchor))
 
     def windows_of(batches):
-        for batch in batches:
+        for batch in slices(batches, "text"):
             key, cells = _cells(batch, window)
             cells = candidates(cells)
             cells = cells.take(_firsts(cells.start, key[cells.doc], cells.cell, cells.anchor))
@@ -285,9 +283,8 @@ def repeated_spans(docs: DataFrame, min_bytes: int = 100, filter_bits: int = 1 <
     )
 
     def spans_of(batches):
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                yield spans_in(batch.slice(lo, 512))
+        for batch in slices(batches, "text"):
+            yield spans_in(batch)
 
     def spans_in(batch):
         key, cells = _cells(batch, window)
@@ -333,7 +330,7 @@ def removal_digests(spans: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of ``repeated_spans``."""
 
     def digests(batches):
-        for batch in batches:
+        for batch in slices(batches, "text"):
             rows = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256")}
             for text, gaps in zip(batch.column("text"), batch.column("spans")):
                 raw, gaps = text.as_py().encode(), gaps.as_py()
@@ -358,7 +355,7 @@ def without_repeats(docs: DataFrame, min_bytes: int = 100) -> DataFrame:
     found = repeated_spans(docs, min_bytes)
 
     def cut(batches):
-        for batch in batches:
+        for batch in slices(batches, "text"):
             out = []
             for text, gaps in zip(batch.column("text"), batch.column("spans")):
                 gaps = gaps.as_py()
