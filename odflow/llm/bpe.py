@@ -1,11 +1,12 @@
 """Byte-level BPE as a transducer, and decoding as a UTF-8 state machine.
 
-Encoding. A token sequence is the BPE of its bytes exactly if each two neighbours are the BPE of theirs. So BPE is a
-rational transduction: a nondeterministic machine guesses where tokens end, keeping (node in the vocabulary's trie, last
-token), and checks each guess against the token before. ``Transducer`` determinises it lazily: a state is the set of the
-guesses still open, each with the tokens it has not yet emitted; what all open guesses agree on is emitted. A guess stays
-open for at most the longest token, so the lookahead is bounded. States and moves are built when first met and held in
-tables of bounded size.
+Encoding. A token sequence is the BPE of its bytes exactly if each two neighbours are the BPE of theirs; so the BPE of
+every prefix has one last token, and that token follows from the bytes it covers and the last token before it.
+``Transducer`` reads bytes with the automaton of all tokens that may end at a byte (the vocabulary's trie started at every
+byte), determinised lazily: a move is worked out when first met and held. Its registers are the last tokens of the
+prefixes that an open token could start from, as many as the longest token has bytes. A token is emitted when the paths
+of all those prefixes share it, which is the bounded lookahead. Whether two tokens may stand side by side is worked out
+from the merges when first asked, and held in a table of bounded size.
 
 Vocabulary files of two kinds are read: ranks (one base64 token and its rank a line) and the tokenizers library's JSON.
 """
@@ -14,9 +15,14 @@ from __future__ import annotations
 
 import base64
 import functools
+import hashlib
 import json
+from array import array
 
 import numpy as np
+import pyarrow as pa
+
+from odflow.llm.common import slices
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -32,138 +38,157 @@ def load_ranks(path: str) -> dict[bytes, int]:
     return {bytes(stand[c] for c in token): i for token, i in vocab.items()}
 
 
-def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Plain BPE: join the neighbours of least rank, leftmost first. Used on pairs of tokens only."""
-    parts = [piece[i : i + 1] for i in range(len(piece))]
-    while len(parts) > 1:
-        best = min(((ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1)))
-        if best[0] == 1 << 60:
-            break
-        i = best[1]
-        parts[i : i + 2] = [parts[i] + parts[i + 1]]
-    return [ranks[p] for p in parts]
-
-
 class Transducer:
-    """Lazily determinised BPE of one vocabulary. ``limit`` bounds states, moves and checked pairs held at once."""
+    """BPE of one vocabulary. ``limit`` bounds the moves and the checked pairs held at once."""
 
-    def __init__(self, ranks: dict[bytes, int], limit: int = 200_000):
+    def __init__(self, ranks: dict[bytes, int], limit: int = 600_000):
         self.ranks, self.limit = ranks, limit
         self.tokens = {v: k for k, v in ranks.items()}
-        # trie: node -> {byte: node}, token that ends at a node if BPE reaches it
-        self.next: list[dict[int, int]] = [{}]
-        self.ends: list[int] = [-1]
-        for token, rank in ranks.items():
-            node = 0
-            for b in token:
-                if b not in self.next[node]:
-                    self.next[node][b] = len(self.next)
-                    self.next.append({})
-                    self.ends.append(-1)
-                node = self.next[node][b]
-            self.ends[node] = rank
-        self.alone: dict[int, bool] = {}
-        self._clear()
-
-    def _clear(self) -> None:
-        self.pairs: dict[tuple[int, int], bool] = {}
-        # a state: {(trie node, token before): tokens not yet emitted}; state 0 is the start
-        self.states: list[tuple] = [((0, -1, ()),)]
-        self.numbers: dict[tuple, int] = {self.states[0]: 0}
-        self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
-        self.finals: dict[int, tuple[int, ...]] = {}
+        self.halves: dict[int, tuple[int, int] | None] = {}
+        self.pairs: dict[int, bool] = {}
+        # trie: (node << 8 | byte) -> node; of each node the node of its longest proper suffix, and its depth
+        self.trie: dict[int, int] = {}
+        self.suffix, self.depth, own = [0], [0], [-1]
+        todo = sorted(ranks, key=len)
+        width, at = 0, [0] * len(todo)
+        while todo:  # level by level, so that suffixes are there before they are needed
+            for k, token in enumerate(todo):
+                node, byte = at[k], token[width]
+                child = self.trie.get(node << 8 | byte)
+                if child is None:
+                    child = self.trie[node << 8 | byte] = len(self.depth)
+                    back = self.suffix[node]
+                    while node and back and (back << 8 | byte) not in self.trie:
+                        back = self.suffix[back]
+                    self.suffix.append(self.trie.get(back << 8 | byte, 0) if node else 0)
+                    self.depth.append(width + 1)
+                    own.append(-1)
+                at[k] = child
+                if len(token) == width + 1:
+                    own[child] = ranks[token]
+            width += 1
+            keep = [k for k, token in enumerate(todo) if len(token) > width]
+            todo, at = [todo[k] for k in keep], [at[k] for k in keep]
+        self.longest, self.own = width, own
+        # tokens that end at a node and that BPE can make, longest first; filled when first asked for
+        self.ends: list[tuple | None] = [None] * len(own)
+        self.moves = dict(self.trie)
+
+    def split(self, token: int) -> tuple[int, int] | None:
+        """The two tokens that BPE joins last to make this one (itself twice: a byte; None: BPE never makes it)."""
+        if token in self.halves:
+            return self.halves[token]
+        raw, ranks = self.tokens[token], self.ranks
+        parts = [raw[i : i + 1] for i in range(len(raw))]
+        while len(parts) > 2:
+            best, i = min((ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
+            if best == 1 << 60:
+                break
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        known = all(p in ranks for p in parts)
+        out = (token, token) if len(raw) == 1 else (ranks[parts[0]], ranks[parts[1]]) if known and len(parts) == 2 else None
+        self.halves[token] = out
+        return out
 
     def fits(self, a: int, b: int) -> bool:
-        """Whether BPE of a's and b's bytes is a, b; a = -1: whether BPE reaches b at all."""
-        if a < 0:
-            got = self.alone.get(b)
-            if got is None:
-                got = self.alone[b] = merge(self.tokens[b], self.ranks) == [b]
-            return got
-        key = (a, b)
-        got = self.pairs.get(key)
-        if got is None:
-            got = self.pairs[key] = self.fits(-1, b) and merge(self.tokens[a] + self.tokens[b], self.ranks) == [a, b]
-        return got
-
-    def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        open_now: dict[tuple[int, int], tuple[int, ...]] = {}
-        for node, before, held in self.states[state]:
-            node = self.next[node].get(byte)
-            if node is None:
-                continue
-            open_now[node, before] = held
-            token = self.ends[node]
-            if token >= 0 and self.fits(before, token):
-                open_now[0, token] = held + (token,)
-        # guesses that can go no further, nor end here, are gone
-        open_now = {k: v for k, v in open_now.items() if k[0] == 0 or self.next[k[0]]}
-        if not open_now:
-            raise ValueError(f"no token for byte {byte}")
-        held = list(open_now.values())
-        same = 0
-        while all(len(h) > same for h in held) and len({h[same] for h in held}) == 1:
-            same += 1
-        out = held[0][:same]
-        now = tuple(sorted((node, before, h[same:]) for (node, before), h in open_now.items()))
-        number = self.numbers.get(now)
-        if number is None:
-            number = self.numbers[now] = len(self.states)
-            self.states.append(now)
-        return number, out
-
-    def feed(self, piece: bytes) -> list[int]:
-        """Tokens of one piece, as BPE joins them."""
-        if len(self.moves) > self.limit or len(self.pairs) > self.limit or len(self.states) > self.limit:
-            self._clear()
-        state, out, moves = 0, [], self.moves
-        for b in piece:
-            key = state << 8 | b
-            got = moves.get(key)
-            if got is None:
-                got = moves[key] = self._move(state, b)
-            state, emitted = got
-            if emitted:
-                out += emitted
-        rest = self.finals.get(state)
-        if rest is None:
-            rest = self.finals[state] = next((held for node, _, held in self.states[state] if node == 0), None)
-            if rest is None:
-                raise ValueError("bytes outside the vocabulary")
-        out += rest
+        """Whether BPE of a's and b's bytes is a, b; a = -1: whether BPE makes b at all."""
+        return self.split(b) is not None and (a < 0 or self._apart(a, b))
+
+    def _apart(self, left: int, right: int) -> bool:
+        """Undo both tokens' merges, latest first: no join over the border may come before the merge undone last."""
+        tokens, ranks, undone = self.tokens, self.ranks, 1 << 60
+        while True:
+            joined = ranks.get(tokens[left] + tokens[right])
+            if joined is not None and joined < undone:
+                return False
+            tail, head = self.split(left)[1], self.split(right)[0]
+            whole_left, whole_right = tail == left, head == right
+            if whole_left and whole_right:
+                return True
+            # on equal ranks the left merge comes first, so the right one is undone first
+            if whole_right or (left > right and not whole_left):
+                undone, left = left, tail
+            else:
+                undone, right = right + 1, head
+
+    def _move(self, node: int, byte: int) -> int:
+        at = node
+        while at and (at << 8 | byte) not in self.trie:
+            at = self.suffix[at]
+        to = self.trie.get(at << 8 | byte, 0)
+        if len(self.moves) > self.limit + len(self.trie):
+            self.moves = dict(self.trie)
+        self.moves[node << 8 | byte] = to
+        return to
+
+    def _ends(self, node: int) -> tuple:
+        found, at = [], node
+        while at:
+            token = self.own[at]
+            if token >= 0 and self.split(token) is not None:
+                found.append((token, self.depth[at]))
+            at = self.suffix[at]
+        self.ends[node] = out = tuple(found)
         return out
 
+    def _path(self, last: list[int], start: int, end: int) -> list[int]:
+        out, tokens = [], self.tokens
+        while end > start:
+            token = last[end]
+            out.append(token)
+            end -= len(tokens[token])
+        out.reverse()
+        return out
 
-class Encoder:
-    """Text to ids: split by a pattern, then each piece by the transducer; ids of frequent pieces are held, boundedly.
-
-    whole_first: a piece that is itself a token is that token, reachable or not (as rank-file libraries do).
-    """
-
-    def __init__(self, ranks: dict[bytes, int], pattern: str, whole_first: bool, hold: int = 400_000):
-        import regex
-
-        self.split = regex.compile(pattern).findall
-        self.machine, self.whole_first, self.limit = Transducer(ranks), whole_first, hold
-        self.held: dict[str, tuple[int, ...]] = {}
-
-    def _new(self, piece: str) -> tuple[int, ...]:
-        raw = piece.encode()
-        token = self.machine.ranks.get(raw) if self.whole_first else None
-        got = (token,) if token is not None else tuple(self.machine.feed(raw))
-        if len(raw) <= 64:
-            if len(self.held) >= self.limit:
-                self.held.clear()
-            self.held[piece] = got
-        return got
-
-    def encode(self, text: str) -> np.ndarray:
-        out: list[int] = []
-        held, add = self.held, out.extend
-        for piece in self.split(text):
-            got = held.get(piece)
-            add(self._new(piece) if got is None else got)
-        return np.array(out, np.uint32)
+    def feed(self, piece: bytes) -> list[int]:
+        """Tokens of one piece, as BPE joins them."""
+        ends, pairs = self.ends, self.pairs
+        if len(pairs) > self.limit:
+            pairs.clear()
+        node, last, out, done = 0, [-1], [], 0
+        for i, byte in enumerate(piece, 1):
+            to = self.moves.get(node << 8 | byte)
+            node = self._move(node, byte) if to is None else to
+            for token, length in ends[node] or self._ends(node):
+                before = last[i - length]
+                pair = before << 20 | token
+                fits = pairs.get(pair)
+                if fits is None:
+                    fits = pairs[pair] = self.fits(before, token)
+                if fits:
+                    last.append(token)
+                    break
+            else:
+                raise ValueError(f"no token for byte {byte}")
+            if i - done >= 4096:  # emit what every open path shares
+                paths = [self._path(last, done, j) for j in range(i - min(self.longest, i - done) + 1, i + 1)]
+                same = next((k for k, t in enumerate(zip(*paths)) if len(set(t)) > 1), min(map(len, paths)))
+                out += paths[0][:same]
+                done += sum(len(self.tokens[t]) for t in paths[0][:same])
+        return out + self._path(last, done, len(piece))
+
+
+class Held:
+    """A bounded table of strings and their ids."""
+
+    def __init__(self, limit: int):
+        self.limit, self.young, self.old = limit // 2, {}, {}
+
+    def ready(self, wanted: set[str], make):
+        """A function from each wanted string to its ids."""
+        young, old = self.young, self.old
+        if len(young) > self.limit:
+            young, old = self.young, self.old = {}, young
+        new = []
+        for w in wanted:
+            if w not in young:
+                got = old.get(w)
+                if got is None:
+                    new.append(w)
+                else:
+                    young[w] = got
+        young.update(zip(new, make(new)))
+        return young.__getitem__
 
 
 #: UTF-8 states: 0 between characters, 1-3 that many plain continuation bytes to come, 4-7 after E0, ED, F0, F4, 8 error.
@@ -238,11 +263,80 @@ _TABLE = _utf8_table()
 
 
 @functools.lru_cache(maxsize=4)
-def encoder(path: str, pattern: str, whole_first: bool) -> Encoder:
-    """One encoder a worker process."""
-    return Encoder(load_ranks(path), pattern, whole_first)
+def transducer_encoder(path: str, pattern: str, hold: int = 1_000_000):
+    """texts -> ids (little-endian unsigned 32-bit, as bytes) by a rank file's transducer; one a worker process.
+
+    A piece that is a token is that token, as rank-file libraries have it. Ids of at most ``hold`` pieces are held.
+    """
+    import regex
+
+    machine, split, held = Transducer(load_ranks(path)), regex.compile(pattern).findall, Held(hold)
+
+    def one(piece: str) -> bytes:
+        raw = piece.encode()
+        token = machine.ranks.get(raw)
+        return array("I", [token] if token is not None else machine.feed(raw)).tobytes()
+
+    def encode(texts: list[str]) -> list[bytes]:
+        pieces = [split(t) for t in texts]
+        get = held.ready({p for own in pieces for p in own}, lambda new: map(one, new))
+        return [b"".join(map(get, own)) for own in pieces]
+
+    return encode
+
+
+@functools.lru_cache(maxsize=4)
+def library_encoder(path: str, pattern: str):
+    """text -> ids (numpy) as the tokenizers library gives them for a byte-level BPE JSON file, without special tokens.
+
+    The tiktoken library encodes by the file's own vocabulary, with a third of the work; tests hold its ids against the
+    tokenizers library.
+    """
+    import tiktoken
+
+    library = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=load_ranks(path), special_tokens={})
+    return lambda text: library.encode_to_numpy(text, disallowed_special=())
 
 
 @functools.lru_cache(maxsize=4)
 def decoder(path: str) -> Decoder:
     return Decoder(load_ranks(path))
+
+
+def round_trip(docs, path: str, pattern: str, text: str = "text"):
+    """Encode and decode every text: (doc_id, n_tokens, ids_sha256, decoded_sha256, valid_utf8). Null text is empty.
+
+    The ids are those of the tiktoken library without special tokens. Repeated rows each have their row; other columns
+    are ignored. One map over the table: no shuffle, and memory of a few tables of bounded size a worker.
+    """
+    from pyspark.sql import functions as F
+
+    def digests(batches):
+        encoder, back = transducer_encoder(path, pattern), decoder(path)
+        for batch in slices(batches, "text"):
+            rows = []
+            for ids in encoder(batch.column("text").to_pylist()):
+                raw, valid = back.decode(np.frombuffer(ids, "<u4"))
+                rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(raw).hexdigest(), valid))
+            n, ids, raw, valid = zip(*rows) if rows else ((),) * 4
+            columns = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(raw, pa.string()), pa.array(valid, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "valid_utf8"])
+
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    return source.mapInArrow(digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, valid_utf8 boolean")
+
+
+def encoded(docs, path: str, pattern: str, text: str = "text"):
+    """(doc_id, ids array<int>) of every text."""
+    from pyspark.sql import functions as F
+
+    def ids_of(batches):
+        encoder = transducer_encoder(path, pattern)
+        for batch in slices(batches, "text"):
+            rows = [np.frombuffer(x, "<i4") for x in encoder(batch.column("text").to_pylist())]
+            ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows) if rows else np.empty(0, np.int32), pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids], ["doc_id", "ids"])
+
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    return source.mapInArrow(ids_of, "doc_id long, ids array<int>")

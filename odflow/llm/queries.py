@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from odflow.llm import suffix_dedup
+from odflow.llm import bpe, suffix_dedup
 from odflow.llm.common import table
 
 
@@ -12,6 +12,13 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.removal_digests(suffix_dedup.repeated_spans(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {"op1_suffix_dedup": op1_suffix_dedup}
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe.round_trip(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
+QUERIES = {"op1_suffix_dedup": op1_suffix_dedup, "op2_bpe": op2_bpe}
 
 SQL: dict[str, str] = {}
