@@ -374,10 +374,11 @@ def without_repeats(docs: DataFrame, min_bytes: int = 100) -> DataFrame:
                 out.append((b"".join(kept) + raw[at:]).decode())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.string())], ["doc_id", "text"])
 
-    names = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
-    cut_texts = found.mapInArrow(cut, "doc_id long, text string").filter("text <> ''")
-    rest = docs.select("doc_id", *names)
-    out = cut_texts.join(rest, "doc_id") if names else cut_texts
+    # only changed texts travel back
+    cut_texts = found.filter(F.size("spans") > 0).mapInArrow(cut, "doc_id long, text string").dropDuplicates(["doc_id"])
+    cut_texts = cut_texts.select(F.col("doc_id").alias("cut_id"), F.col("text").alias("cut_text"))
+    out = docs.join(cut_texts, docs["doc_id"].cast("long").eqNullSafe(cut_texts["cut_id"]), "left")
+    out = out.withColumn("text", F.coalesce("cut_text", "text")).filter("text <> ''")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
