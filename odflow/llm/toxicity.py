@@ -84,7 +84,8 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = 3000) -> Model:
     counts = {r["toxic"]: r["n"] for r in marks.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     unit = F.xxhash64("doc_id", F.lit(5)).cast("double") / 2.0**64 + 0.5
     chosen = marks.filter(unit < F.when(F.col("toxic") == 1, min(1.0, bound / max(1, counts.get(1, 0)))).otherwise(min(1.0, bound / max(1, counts.get(0, 0)))))
-    rows = docs.select("doc_id", "text").join(chosen, "doc_id").filter(F.col("text").isNotNull()).select("doc_id", "text", "toxic").collect()
+    # at most about twice ``bound`` ids: small enough to broadcast, so that no text is shuffled
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").filter(F.col("text").isNotNull()).select("doc_id", "text", "toxic").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["text"]))
     return Model([r["text"] for r in rows], [int(r["toxic"] == 1) for r in rows])
 
