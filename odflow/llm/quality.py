@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from odflow.llm.common import stored
+
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "[#*$%&|<>]"
 #: Ratio: slack in its own unit, whether low values are bad as well as high ones.
@@ -26,18 +28,24 @@ def features(docs: DataFrame) -> DataFrame:
 
     def counts(words: Column) -> Column:
         n = F.size(words)
-        trios = F.when(n > 3, F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.struct(F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).alias("h"), i.alias("i"))))
+        at = F.sequence(F.lit(0), n - 3)
+        hashes = F.when(n > 3, F.transform(at, lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))))
         return F.struct(
             n.cast("long").alias("n_words"),
             F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
-            F.coalesce(_once(F.sort_array(trios), repeated), F.lit(0)).cast("long").alias("n_repeat_words"),
+            _once(hashes, covered).cast("long").alias("n_repeat_words"),
         )
 
+    def covered(hashes: Column) -> Column:
+        # most texts repeat no window: a set of hashes tells that without sorting
+        return F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), _once(F.sort_array(F.arrays_zip(hashes.alias("h"), F.sequence(F.lit(0), F.size(hashes) - 1).alias("i"))), repeated)).otherwise(0)
+
     def repeated(trios: Column) -> Column:
-        same = lambda i, x: F.coalesce(F.get(trios, i)["h"] == x["h"], F.lit(False))
-        at = F.sort_array(F.transform(F.filter(trios, lambda x, i: same(i - 1, x) | same(i + 1, x)), lambda x: x["i"]))
+        # sorted by hash, then place: neighbours of equal hash are windows found twice
+        same = F.zip_with(trios, F.slice(trios, 2, F.size(trios)), lambda x, y: F.when(x["h"] == y["h"], F.array(x["i"], y["i"])))
+        at = F.array_sort(F.array_distinct(F.flatten(F.filter(same, lambda p: p.isNotNull()))))
         # a window covers three words, or as many as lie before the next one
-        step = lambda starts: F.transform(starts, lambda x, i: F.least(F.lit(3), F.coalesce(F.get(starts, i + 1) - x, F.lit(3))))
+        step = lambda starts: F.zip_with(starts, F.slice(starts, 2, F.size(starts)), lambda x, y: F.least(F.lit(3), F.coalesce(y - x, F.lit(3))))
         return F.aggregate(_once(at, step), F.lit(0), lambda a, x: a + x)
 
     lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
@@ -81,7 +89,8 @@ def verdicts(docs: DataFrame, reach: float = 6.0) -> DataFrame:
 
     A null lang or source is a group of its own. A group without rows that pass the base rules rejects nothing more.
     """
-    scored = features(docs)
+    # a few numbers a row: written once, so that texts are read once
+    scored = stored(features(docs))
     limits = thresholds(scored, reach)
     own, wide = limits.filter("level = 0").alias("own"), limits.filter("level = 1").alias("wide")
     rows = scored.alias("d")
