@@ -84,8 +84,7 @@ def fit(docs: DataFrame, per_language: int = 250) -> Model | None:
     order = F.xxhash64("doc_id", F.lit(8))
     rows = labelled.filter((order.cast("double") / 2.0**64 + 0.5) < part).select("lang", "text", order.alias("order")).collect()
     rows.sort(key=lambda r: (r["order"], r["text"]))
-    # long texts are cut into spans for fitting only, so that one text weighs no more than the others
-    return Model([r["text"][:20_000] for r in rows], [r["lang"] for r in rows])
+    return Model([r["text"] for r in rows], [r["lang"] for r in rows])
 
 
 def predictions(docs: DataFrame, model: Model | None = None, per_language: int = 250) -> DataFrame:
