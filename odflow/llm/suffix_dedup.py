@@ -377,8 +377,9 @@ def without_repeats(docs: DataFrame, min_bytes: int = 100) -> DataFrame:
     # only changed texts travel back
     cut_texts = found.filter(F.size("spans") > 0).mapInArrow(cut, "doc_id long, text string").dropDuplicates(["doc_id"])
     cut_texts = cut_texts.select(F.col("doc_id").alias("cut_id"), F.col("text").alias("cut_text"))
-    out = docs.join(cut_texts, docs["doc_id"].cast("long").eqNullSafe(cut_texts["cut_id"]), "left")
-    out = out.withColumn("text", F.coalesce("cut_text", "text")).filter("text <> ''")
+    left = F.coalesce(cut_texts["cut_text"], docs["text"])
+    renewed = {"text": left}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        renewed["n_chars"] = F.length(left).cast(docs.schema["n_chars"].dataType)
+    out = docs.join(cut_texts, docs["doc_id"].cast("long").eqNullSafe(cut_texts["cut_id"]), "left").filter(left != "")
+    return out.select(*(renewed.get(c, docs[c]).alias(c) for c in docs.columns))
