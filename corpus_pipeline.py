@@ -16,16 +16,20 @@ from odflow.llm.common import stored, table
 LEAST_SCORE = 0.3
 
 
+def _of(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is in kept; a null doc_id counts as a value."""
+    kept = kept.select("doc_id").distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the fences of their language and source keep."""
-    kept = quality.verdicts(docs).filter("kept").select(F.col("doc_id").alias("id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+    return _of(docs, quality.verdicts(docs).filter("kept"))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of a determined language."""
-    kept = language.predictions(docs).filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(F.col("doc_id").alias("id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+    return _of(docs, language.predictions(docs).filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)))
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
