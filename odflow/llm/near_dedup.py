@@ -11,8 +11,10 @@
    a component meets the leaders of all its buckets. Pairs whose 256 one-bit bins differ by more than six standard
    deviations from the threshold leave; the others are verified on full sets, and links join components. Two of
    these in a row without a link end the rounds.
-5. Buckets of up to ``exhaustive`` members then compare all their pairs of different components, so small groups miss
-   no candidate; larger ones are met by the same members' other buckets and rounds.
+5. Buckets of up to ``exhaustive`` members then compare all their pairs of different components. Larger ones that still
+   hold several components are dealt into blocks, and each two blocks meet in a unit of bounded size: by one-bit bins (eight
+   standard deviations) it tells which components may touch; groups of those are dealt into blocks again, with full sets,
+   and all pairs of different components there are compared exactly. A unit returns no more links than it has members.
 
 Sets travel only for documents in a pair to be verified, one a pair; links and components never reach the driver.
 """
@@ -130,11 +132,9 @@ def _sketched(docs: DataFrame, words: int) -> DataFrame:
     return _source(docs).mapInArrow(rows, "doc long, n long, name1 long, name2 long, bits array<long>, keys array<long>")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int, filter_bits: int) -> DataFrame:
-    """Those of the pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
-    pairs = stored(pairs)
+def _sets(docs: DataFrame, ids: DataFrame, words: int, filter_bits: int) -> DataFrame:
+    """(doc, shingles binary) of the documents in ids and perhaps some others."""
     sc = docs.sparkSession.sparkContext
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
     wanted = sc.broadcast(BitFilter.of(ids.select(F.xxhash64("doc").alias("name")), filter_bits))
 
     def sets_of(batches):
@@ -146,8 +146,13 @@ def _verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int, filte
                 yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc", "shingles"])
 
     # rows that repeat a doc_id give one set
-    sets = _source(docs).withColumn("name", F.xxhash64("doc")).mapInArrow(sets_of, "doc long, shingles binary").dropDuplicates(["doc"])
-    sets = stored(sets)
+    return _source(docs).withColumn("name", F.xxhash64("doc")).mapInArrow(sets_of, "doc long, shingles binary").dropDuplicates(["doc"])
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int, filter_bits: int) -> DataFrame:
+    """Those of the pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
+    pairs = stored(pairs)
+    sets = stored(_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), words, filter_bits))
 
     def linked(batches):
         for batch in batches:
@@ -166,6 +171,78 @@ def _verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int, filte
     )
 
 
+def _units(rows: DataFrame, by: str, members: int, shingles: int) -> DataFrame:
+    """rows with own, lo, hi: a group of ``by`` is dealt into blocks of about that many members and shingles at most, and a
+    row goes to the units (lo, hi) of its own block and each block of the group."""
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / members, F.sum("n") / shingles)).cast("long")
+    dealt = rows.join(rows.groupBy(by).agg(blocks.alias("blocks")), by).withColumn("own", F.pmod(F.xxhash64("doc", F.lit(11)), "blocks"))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return met.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).drop("blocks", "other")
+
+
+def _forest(unit: pa.Table, near) -> pa.Table:
+    """Of the unit's pairs across blocks (within it, if it has one) for which near(i, js) holds: links (a, b) and their
+    components (ca, cb), just enough of them to join what all of these pairs join."""
+    doc, component = unit["doc"].to_numpy(), unit["component"].to_numpy()
+    own, lo, hi = (unit[c].to_numpy() for c in ("own", "lo", "hi"))
+    _, label = np.unique(component, return_inverse=True)
+    one = lo[0] == hi[0]
+    left, right = (np.arange(len(doc)),) * 2 if one else (np.flatnonzero(own == lo), np.flatnonzero(own == hi))
+    found = []
+    for i in left:
+        js = right[i + 1 :] if one else right
+        js = js[label[js] != label[i]]
+        js = js[near(i, js)] if len(js) else js
+        if len(js):
+            gone, first = np.unique(label[js], return_index=True)
+            found += [(i, j) for j in js[first]]
+            label[np.isin(label, gone)] = label[i]
+    i, j = np.array(found, np.int64).reshape(-1, 2).T
+    return pa.table({"a": doc[i], "b": doc[j], "ca": component[i], "cb": component[j]})
+
+
+def _all_pairs(docs: DataFrame, members: DataFrame, most: float, words: int, percent: int, filter_bits: int, block: int = 2048, set_block: int = 512) -> DataFrame:
+    """Links (a, b, ca, cb) that join the components of members (key, doc, n, component, bits) as all links of two members of
+    a key would: each pair of different components is compared on full sets, or its bins differ by more than ``most``."""
+    link = "a long, b long, ca long, cb long"
+
+    def alike(n, i, js):
+        return 100 * np.minimum(n[i], n[js]) >= percent * np.maximum(n[i], n[js])
+
+    def touching(unit: pa.Table) -> pa.Table:
+        n, bits = unit["n"].to_numpy(), unit["bits"].combine_chunks().flatten().to_numpy().view(U).reshape(-1, 4)
+        return _forest(unit, lambda i, js: alike(n, i, js) & (np.bitwise_count(bits[i] ^ bits[js]).sum(axis=1) <= most))
+
+    def linked(unit: pa.Table) -> pa.Table:
+        n = unit["n"].to_numpy()
+        flat, place, count = np.unique(np.concatenate([np.frombuffer(s.as_py(), U) for s in unit["shingles"]]), return_inverse=True, return_counts=True)
+        # a shingle of one member only is in no intersection
+        ids = [x[count[x] > 1] for x in np.split(place, np.cumsum(n)[:-1])]
+        size, mark = np.array([len(x) for x in ids]), np.zeros(len(flat), bool)
+
+        def near(i, js):
+            out = np.zeros(len(js), bool)
+            enough = lambda both, at: 100 * both >= percent * (n[i] + n[js[at]] - both)
+            some = np.flatnonzero(alike(n, i, js) & enough(np.minimum(size[i], size[js]), slice(None)))
+            if len(some):
+                mark[ids[i]] = True
+                total = np.concatenate([[0], np.cumsum(mark[np.concatenate([ids[j] for j in js[some]])])])
+                mark[ids[i]] = False
+                ends = np.cumsum(size[js[some]])
+                out[some] = enough(total[ends] - total[ends - size[js[some]]], some)
+            return out
+
+        return _forest(unit, near)
+
+    touch = stored(_units(members, "key", block, 1 << 62).groupBy("key", "lo", "hi").applyInArrow(touching, link))
+    between = stored(touch.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
+    groups = components(between.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), between)
+    named = groups.select(F.col("doc").alias("component"), F.col("component").alias("family"))
+    grouped = stored(members.select("doc", "n", "component").distinct().join(named, "component"))
+    sets = _sets(docs, grouped.select("doc"), words, filter_bits)
+    return _units(grouped, "family", set_block, 1 << 18).join(sets, "doc").groupBy("family", "lo", "hi").applyInArrow(linked, link)
+
+
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(doc, component): each node with the smallest node it reaches over links (a, b). Alternating large and small stars."""
     edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
@@ -215,12 +292,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rounds:
         )
 
     labels = stored(buckets.select("doc").distinct().withColumn("component", F.col("doc")))
-    none = labels.select(F.col("doc").alias("a"), F.col("doc").alias("b")).limit(0)
-    tried = none
+    tried = labels.select(F.col("doc").alias("a"), F.col("doc").alias("b")).limit(0)
+
+    def join(between: DataFrame) -> None:
+        """Join components by links (a, b) between them."""
+        nonlocal labels
+        joined = components(between.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), between).select(F.col("doc").alias("component"), F.col("component").alias("least"))
+        labels = stored(labels.join(joined, "component", "left").select("doc", F.coalesce("least", "component").alias("component")))
 
     def step(pairs: DataFrame) -> bool:
         """Verify new pairs, join components; whether a link was found."""
-        nonlocal tried, labels
+        nonlocal tried
         pairs = pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), F.col("np").alias("na"), F.col("nq").alias("nb"))
         pairs = stored(worth(pairs).join(tried, ["a", "b"], "left_anti"))
         if not pairs.take(1):
@@ -231,9 +313,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rounds:
             return False
         # the new links between components, one component a node
         ends = [labels.select(F.col("doc").alias(x), F.col("component").alias(f"c{x}")) for x in "ab"]
-        between = stored(found.join(ends[0], "a").join(ends[1], "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
-        joined = components(between.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), between).select(F.col("doc").alias("component"), F.col("component").alias("least"))
-        labels = stored(labels.join(joined, "component", "left").select("doc", F.coalesce("least", "component").alias("component")))
+        join(stored(found.join(ends[0], "a").join(ends[1], "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()))
         return True
 
     idle = 0
@@ -252,12 +332,23 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rounds:
         idle = 0 if found or not own_order else idle + 1
         if idle == 2:
             break
+
+
+    def still_apart(placed: DataFrame) -> DataFrame:
+        placed = placed.join(labels, "doc")
+        return placed.join(placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key"), "key")
+
     # small buckets whose members are still apart: all pairs across components
-    small = buckets.filter(F.col("size") <= exhaustive).join(labels, "doc")
-    apart = small.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-    small = stored(small.join(apart, "key").select("key", "component", F.col("doc").alias("p"), F.col("n").alias("np")))
+    small = stored(still_apart(buckets.filter(F.col("size") <= exhaustive)).select("key", "component", F.col("doc").alias("p"), F.col("n").alias("np")))
     right = small.select("key", F.col("component").alias("other"), F.col("p").alias("q"), F.col("np").alias("nq"))
     step(small.join(right, "key").filter("p < q and component <> other").select("p", "np", "q", "nq"))
+    # and large ones, in blocks
+    large = stored(still_apart(buckets.filter(F.col("size") > exhaustive)).join(bits, "doc").select("key", "doc", "n", "component", "bits"))
+    if large.take(1):
+        wide = BINS * chance + 8 * (BINS * chance * (1 - chance)) ** 0.5
+        found = stored(_all_pairs(docs, large, wide, words, percent, filter_bits))
+        if found.take(1):
+            join(stored(found.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()))
 
     # the class's component; components of representatives already have the smallest doc_id of all members
     named = members.join(labels.withColumnRenamed("doc", "rep"), "rep", "left").select("doc", F.coalesce("component", "rep").alias("component"))

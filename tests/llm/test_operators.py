@@ -178,6 +178,27 @@ def test_near_duplicates(docs, rows, size):
     assert got == {i: (len(s), find(i), find(i) == i) for i, s in sets.items()}
 
 
+def test_near_duplicates_finds_isolated_links_in_large_buckets(spark):
+    # sets of one-word shingles: a template of which each text has a share of its own, and pairs much closer than that
+    rng, texts = random.Random(8), []
+    for i in range(550):
+        words = ["t%d" % k if rng.random() < 0.91 else "u%d_%d" % (i, k) for k in range(300)]
+        texts.append(words)
+        if i < 60:
+            texts.append([w if rng.random() < 0.95 else "v%d_%d" % (i, k) for k, w in enumerate(words)])
+    rng.shuffle(texts)
+    sets = [set(t) for t in texts]
+    least = list(range(len(sets)))
+    for a, x in enumerate(sets):
+        for b in range(a):
+            if least[a] != least[b] and 100 * len(x & sets[b]) >= 80 * len(x | sets[b]):
+                low, high = sorted((least[a], least[b]))
+                least = [low if c == high else c for c in least]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(docs, 1, filter_bits=1 << 14).collect()}
+    assert got == dict(enumerate(least))
+
+
 def test_language(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     got = language.predictions(docs).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
