@@ -38,6 +38,16 @@ def load_ranks(path: str) -> dict[bytes, int]:
     return {bytes(stand[c] for c in token): i for token, i in vocab.items()}
 
 
+def load_added(path: str) -> dict[str, int]:
+    """Added tokens of a tokenizers .json and their ids; those that a plain search for their text finds are read."""
+    with open(path, encoding="utf-8") as file:
+        added = json.load(file)["added_tokens"]
+    for token in added:
+        if token["single_word"] or token["lstrip"] or token["rstrip"] or token["normalized"]:
+            raise ValueError(f"added token {token['content']!r} is not matched by its text alone")
+    return {token["content"]: token["id"] for token in added}
+
+
 class Transducer:
     """BPE of one vocabulary. ``limit`` bounds the moves and the checked pairs held at once."""
 
@@ -287,15 +297,17 @@ def transducer_encoder(path: str, pattern: str, hold: int = 1_000_000):
 
 @functools.lru_cache(maxsize=4)
 def library_encoder(path: str, pattern: str):
-    """text -> ids (numpy) as the tokenizers library gives them for a byte-level BPE JSON file, without special tokens.
+    """text -> ids (numpy) as the tokenizers library gives them for a byte-level BPE JSON file (add_special_tokens=False).
 
     The tiktoken library encodes by the file's own vocabulary, with a third of the work; tests hold its ids against the
-    tokenizers library.
+    tokenizers library. The file's added tokens are cut out of the text before the merges, as that library does.
     """
     import tiktoken
 
-    library = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=load_ranks(path), special_tokens={})
-    return lambda text: library.encode_to_numpy(text, disallowed_special=())
+    added = load_added(path)
+    library = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=load_ranks(path), special_tokens=added)
+    allowed = set(added)
+    return lambda text: library.encode_to_numpy(text, allowed_special=allowed, disallowed_special=())
 
 
 @functools.lru_cache(maxsize=4)

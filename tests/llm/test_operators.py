@@ -87,6 +87,23 @@ def test_library_ids(rows):
         assert encode(t or "").tolist() == library.encode(t or "", add_special_tokens=False).ids
 
 
+def test_library_ids_of_added_tokens(spark):
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    library, encode, end = Tokenizer.from_file(path), bpe.library_encoder(path, P.PATTERN), "<|endoftext|>"
+    texts = [f"a {end} b", end, end * 3, f"x{end}y  {end}  z \n", f" {end}", f"{end} ", f"it{end}'s", "<|endoftext", f"<|{end}|>", f"é{end}日本 \t{end}\n\n{end}12", "<|ENDOFTEXT|>"]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert want[0] == [64, 220, 50256, 275]
+    assert [encode(t).tolist() for t in texts] == want
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in packing.pack_sum_of_squares(docs, path, P.PATTERN, 256).collect():
+        assert (r["start"], r["ids_crc32"]) == (0, zlib.crc32(np.array([*want[r["doc_id"]], 0], "<u4").tobytes()))
+    for r in packing.pack_best_fit(docs, path, P.PATTERN, 256).collect():
+        ids, ends = np.frombuffer(r["ids"], "<u4").tolist(), r["cu_seqlens"]
+        assert all(ids[ends[k] : ends[k + 1]] == [*want[doc], 0] for k, doc in enumerate(r["doc_ids"]))
+
+
 def test_packing_is_lossless(docs, rows):
     path = P.path("byte_bpe_50k.json")
     encode = bpe.library_encoder(path, P.PATTERN)
