@@ -224,28 +224,31 @@ def pack_best_fit(docs: DataFrame, path: str, pattern: str, size: int = 1024, en
 
 
 def matrix(packed: DataFrame, size: int = 1024, pad: int = 0) -> DataFrame:
-    """Rows of the id matrix: input_ids (array<int>, padded to ``size``), position_ids (from 0 again in each segment),
-    cu_seqlens; write it as Parquet with ``packed.write``."""
+    """packed with ids as a row of the id matrix: input_ids (padded to ``size``) and position_ids (from 0 again in each
+    segment, 0 in the padding), both binary, little-endian unsigned 32-bit; cu_seqlens, doc_ids and starts as they are."""
 
     def rows(batches):
         for batch in batches:
             ids, places = [], []
             for raw, ends in zip(batch.column("ids"), batch.column("cu_seqlens")):
-                own, ends = np.frombuffer(raw.as_py(), "<i4"), np.array(ends.as_py())
-                row, place = np.full(size, pad, np.int32), np.zeros(size, np.int32)
+                own, ends = np.frombuffer(raw.as_py(), "<u4"), np.array(ends.as_py())
+                row, place = np.full(size, pad, "<u4"), np.zeros(size, "<u4")
                 row[: len(own)] = own
                 place[: len(own)] = np.arange(len(own)) - np.repeat(ends[:-1], np.diff(ends))
-                ids.append(row)
-                places.append(place)
-            wide = lambda a: pa.array([x.tolist() for x in a], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column("sequence_id"), wide(ids), wide(places), batch.column("cu_seqlens")], ["sequence_id", "input_ids", "position_ids", "cu_seqlens"])
+                ids.append(row.tobytes())
+                places.append(place.tobytes())
+            columns = [batch.column("sequence_id"), pa.array(ids, pa.binary()), pa.array(places, pa.binary()), *(batch.column(c) for c in ("cu_seqlens", "doc_ids", "starts"))]
+            yield pa.RecordBatch.from_arrays(columns, ["sequence_id", "input_ids", "position_ids", "cu_seqlens", "doc_ids", "starts"])
 
-    return packed.mapInArrow(rows, "sequence_id long, input_ids array<int>, position_ids array<int>, cu_seqlens array<int>")
+    return packed.mapInArrow(rows, "sequence_id long, input_ids binary, position_ids binary, cu_seqlens array<int>, doc_ids array<long>, starts array<long>")
 
 
-def digest(packed: DataFrame) -> DataFrame:
-    """packed with counts and a digest beside its rows: n_tokens, n_segments, ids_sha256."""
-    return packed.select(
+def digest(rows: DataFrame) -> DataFrame:
+    """Rows of ``matrix`` with counts and digests beside them: n_tokens, n_segments, ids_sha256 (without padding),
+    input_sha256 and position_sha256; ids are the row's without padding."""
+    own = F.expr("substring(input_ids, 1, 4 * element_at(cu_seqlens, -1))")
+    return rows.select(
         "sequence_id", F.element_at("cu_seqlens", -1).cast("long").alias("n_tokens"), F.size("doc_ids").cast("long").alias("n_segments"),
-        F.sha2("ids", 256).alias("ids_sha256"), "ids", "cu_seqlens", "doc_ids", "starts",
+        F.sha2(own, 256).alias("ids_sha256"), F.sha2("input_ids", 256).alias("input_sha256"), F.sha2("position_ids", 256).alias("position_sha256"),
+        own.alias("ids"), "input_ids", "position_ids", "cu_seqlens", "doc_ids", "starts",
     )

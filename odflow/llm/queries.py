@@ -6,7 +6,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from odflow.llm import bpe, html_text, language, media, near_dedup, packing, quality, suffix_dedup, toxicity
-from odflow.llm.common import table
+from odflow.llm.common import stored, table
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,7 +24,7 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     packed = packing.pack_best_fit(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
-    return packing.digest(packed)
+    return packing.digest(stored(packing.matrix(packed)))
 
 
 def op4_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

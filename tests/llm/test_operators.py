@@ -135,6 +135,25 @@ def test_packing_is_lossless(docs, rows):
     assert all(np.concatenate([found[i][s] for s in sorted(found[i])]).tolist() == ids.tolist() for i, ids in want.items())
 
 
+def test_best_fit_query_gives_padded_matrices(spark, docs, rows, tmp_path):
+    from odflow.llm.queries import op3_best_fit_packing
+
+    docs.write.parquet(f"file://{tmp_path}/documents.parquet")
+    encode, found = bpe.library_encoder(P.path("byte_bpe_50k.json"), P.PATTERN), collections.defaultdict(dict)
+    padded = 0
+    for r in op3_best_fit_packing(spark, f"file://{tmp_path}").collect():
+        ids, places, ends = np.frombuffer(r["input_ids"], "<u4"), np.frombuffer(r["position_ids"], "<u4"), r["cu_seqlens"]
+        assert len(ids) == len(places) == 1024 and not ids[ends[-1] :].any() and not places[ends[-1] :].any()
+        assert places[: ends[-1]].tolist() == [k for a, b in zip(ends, ends[1:]) for k in range(b - a)]
+        assert bytes(r["ids"]) == ids[: ends[-1]].tobytes() and (r["n_tokens"], r["n_segments"]) == (ends[-1], len(ends) - 1)
+        assert [r[c] for c in ("ids_sha256", "input_sha256", "position_sha256")] == [hashlib.sha256(r[c]).hexdigest() for c in ("ids", "input_ids", "position_ids")]
+        padded += ends[-1] < 1024
+        for k, (doc, start) in enumerate(zip(r["doc_ids"], r["starts"])):
+            found[doc][start] = ids[ends[k] : ends[k + 1]]
+    assert padded and set(found) == {i for i, _ in rows}
+    assert all(np.concatenate([found[i][s] for s in sorted(found[i])]).tolist() == [*encode(t or ""), 0] for i, t in rows)
+
+
 def test_best_fit_decreasing_takes_the_tightest_window():
     assert packing.best_fit_decreasing([6, 5, 5, 4, 25], 10) == [[(4, 0, 10)], [(4, 10, 10)], [(0, 0, 6), (3, 0, 4)], [(1, 0, 5), (2, 0, 5)], [(4, 20, 5)]]
 
