@@ -2,8 +2,9 @@
 
 A page is a sequence of words and tags. Words score positive and tags negative; weights come from labelled pages (those
 that mark their article with an ``article`` or ``main`` element): a tag costs the more, the oftener it stands outside of
-articles, and a word gains by the same of the block it stands in. A linear scan finds the contiguous region of highest
-score; blocks that are boilerplate by their element or name are left out of it.
+articles, and a word gains by how much oftener words of the block element around it stand in articles. A linear scan finds
+the contiguous region of highest score on every page, whether it has such elements or not; blocks that are boilerplate
+by their element or name are left out of it.
 """
 
 from __future__ import annotations
@@ -38,13 +39,13 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"'
 _NAME = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 
 
-def parse(page: str) -> list[tuple[str, str, bool, bool]]:
-    """(tag or '', text, apart, in article) in page order: tags as name or /name, texts with the block they stand in.
+def parse(page: str) -> list[tuple[str, str, bool, bool, str]]:
+    """(tag or '', text, apart, in article, block) in page order: tags as name or /name, texts with the block element around them.
 
     Unclosed elements end with their parent; a block that is apart ends at its own end tag, or at an end tag of an
     element around it.
     """
-    out: list[tuple[str, str, bool, bool]] = []
+    out: list[tuple[str, str, bool, bool, str]] = []
     stack: list[tuple[str, bool]] = []  # element, whether apart
     depth, inside, at, n = 0, 0, 0, len(page)
     while at < n:
@@ -54,7 +55,7 @@ def parse(page: str) -> list[tuple[str, str, bool, bool]]:
         if name is None:
             got = m[0]
             if got[0] != "<" or got == "<":
-                out.append(("", got, depth > 0, inside > 0))
+                out.append(("", got, depth > 0, inside > 0, next((e for e, _ in reversed(stack) if e in BLOCK), "")))
             continue
         name = name.lower()
         if m[1]:
@@ -65,7 +66,7 @@ def parse(page: str) -> list[tuple[str, str, bool, bool]]:
                     inside -= e in ("article", "main")
                     if e == name:
                         break
-            out.append(("/" + name, "", depth > 0, inside > 0))
+            out.append(("/" + name, "", depth > 0, inside > 0, ""))
             continue
         apart = name in APART or (name == "header" and not inside)
         for key, a, b, c in _NAME.findall(m[3]):
@@ -74,7 +75,7 @@ def parse(page: str) -> list[tuple[str, str, bool, bool]]:
             apart |= value.lower() in ROLES if key.lower() == "role" else bool(value and APART_NAME.search(value))
         if name in ("html", "body", "article", "main"):
             apart = False
-        out.append((name, "", depth > 0 or apart, inside > 0))
+        out.append((name, "", depth > 0 or apart, inside > 0, ""))
         if name in RAW:
             end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
             at = end.end() if end else n
@@ -86,49 +87,52 @@ def parse(page: str) -> list[tuple[str, str, bool, bool]]:
 
 
 class Model:
-    """tag costs and the gain of a word."""
+    """Costs of tags, and gains of a word by the block element around it."""
 
     def __init__(self, pages: list[str]):
-        inside, outside = Counter(), Counter()
+        inside, outside, word_in, word_out = Counter(), Counter(), Counter(), Counter()
         for page in pages:
             tokens = parse(page)
-            if any(t == "article" or t == "main" for t, _, _, _ in tokens):
-                for tag, _, apart, article in tokens:
+            if any(t[0] == "article" or t[0] == "main" for t in tokens):
+                for tag, text, apart, article, block in tokens:
                     if tag:
                         (inside if article and not apart else outside)[tag.lstrip("/")] += 1
+                    elif not apart:
+                        (word_in if article else word_out)[block] += len(text.split())
         total_in, total_out = sum(inside.values()) + 1, sum(outside.values()) + 1
         self.cost = {}
         for tag in inside.keys() | outside.keys():
             odds = math.log((outside[tag] + 0.5) / total_out) - math.log((inside[tag] + 0.5) / total_in)
             self.cost[tag] = min(max(odds, 0.05), 8.0)
+        #: of words in blocks that no labelled page shows the gain is 1; the most a word loses is half of that
+        self.gain = {b: min(max(math.log((word_in[b] + 0.5) / (word_out[b] + 0.5)), -0.5), 1.0) for b in word_in.keys() | word_out.keys()}
         #: of tags that no labelled page shows: blocks cost more than inline elements
         self.other_block, self.other = 1.0, 0.1
 
     def text(self, page: str) -> str:
         """Main text; empty if there is none."""
         tokens = parse(page)
-        marked = any(t in ("article", "main") for t, _, _, _ in tokens)
         best, best_at, total, start = 0.0, (0, 0), 0.0, 0
-        for i, (tag, text, apart, inside) in enumerate(tokens):
+        for i, (tag, text, apart, _, block) in enumerate(tokens):
             if tag:
                 name = tag.lstrip("/")
                 value = -self.cost.get(name, self.other_block if name in BLOCK else self.other)
             elif apart:
                 value = -0.2 * len(text.split())
             else:
-                value = float(len(text.split())) * (1.0 if inside or not marked else -0.5)
+                value = len(text.split()) * self.gain.get(block, 1.0)
             if total <= 0:
                 total, start = 0.0, i
             total += value
             if total > best:
                 best, best_at = total, (start, i + 1)
         blocks, now = [], []
-        for tag, text, apart, inside in tokens[slice(*best_at)]:
+        for tag, text, apart, _, _ in tokens[slice(*best_at)]:
             if tag:
                 if tag.lstrip("/") in BLOCK:
                     blocks.append("".join(now))
                     now = []
-            elif not apart and (inside or not marked):
+            elif not apart:
                 now.append(text)
         blocks.append("".join(now))
         return " ".join(b for b in (" ".join(html.unescape(b).split()) for b in blocks) if b)

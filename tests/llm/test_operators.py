@@ -266,6 +266,20 @@ def test_html(spark):
         assert r["text"] == " ".join(b for b in blocks if b) and r["n_chars"] == len(r["text"])
 
 
+def test_html_region_follows_scores(spark):
+    model = html_text.fit(spark.read.parquet("/root/testdata/sf0.001/pages.parquet"))
+    head = '<html><head><title>t</title></head><body><nav><ul><li><a href="/">home</a></li></ul></nav>'
+    words = lambda name: " ".join(f"{name}{k}" for k in range(60))
+    body = f"<p>{words('x')}</p><p>{words('y')}</p>"
+    cards = "".join(f"<article class='{c}'><h3>card {c}</h3><p>read more</p></article>" for c in ("teaser", "related", "card"))
+    main = f"{words('x')} {words('y')}"
+    assert model.text(f"{head}<div class='content'>{body}</div><footer>end</footer></body></html>") == main
+    assert model.text(f"{head}<div class='content'>{body}</div>{cards}<footer>end</footer></body></html>") == main
+    assert model.text(f"{head}{cards}<div class='content'>{body}</div><footer>end</footer></body></html>") == main
+    assert model.text(f"{head}<article><p>{words('x')}</p></article><article><p>{words('y')}</p></article></body></html>") == main
+    assert {-0.5 <= g <= 1.0 for g in model.gain.values()} == {True} and model.gain["p"] == 1.0
+
+
 def test_media(docs, rows):
     got = {r["doc_id"]: r for r in media.media_features(media.stored_media(docs)).collect()}
     for i, t in rows:
@@ -274,3 +288,16 @@ def test_media(docs, rows):
         r = got[i]
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
     assert got[3]["feature"] == got[163]["feature"] and got[3]["media_sha256"] == got[163]["media_sha256"]
+
+
+@pytest.mark.parametrize("extra", [0, 64, 64 * 70])
+def test_media_beyond_the_highest_picture(extra):
+    border = 64 * 64 * 8191
+    payload = np.random.default_rng(3).integers(0, 256, 1 << 16, dtype=np.uint8).tobytes() * (border // (1 << 16) + 2)
+    payload = payload[: border + extra]
+    file = media.encode(payload)
+    picture = media.Picture(file)
+    assert (picture.width, picture.height) == ((512, 65528) if not extra else (520, 8 * -(-len(payload) // 64 // 65)))
+    if extra == 64:
+        (_, value), = media.decode([file])
+        assert media.payload_of(value, len(payload) // 64) == payload
