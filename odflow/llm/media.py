@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 from odflow.llm.common import slices
 
 RUN = 16  # blocks between restart markers
-WIDTH = 64  # blocks in a row of the picture
+WIDTH = 64  # blocks in a row of the picture, more if it would be too high
+SIDE = 8191  # blocks of the longest side that the format's 16 bits can name
+CHUNK = RUN * 1024  # blocks worked on at once: a multiple of 8 runs
 #: Huffman code lengths of our files: DC categories 0-11 in 4 bits, AC sizes 0-8 without a run in 4 bits.
 _DC = ([0, 0, 0, 12] + [0] * 12, list(range(12)))
 _AC = ([0, 0, 0, 9] + [0] * 12, list(range(9)))
@@ -44,19 +46,29 @@ def encode(payload: bytes) -> bytes:
     """A grey baseline JPEG that holds the payload (a positive multiple of 64 bytes)."""
     n = len(payload) // 64
     # a picture is whole rows of blocks; those added at its end have DC unchanged and all other coefficients 1
-    wide = min(n, WIDTH)
+    wide = min(n, max(WIDTH, -(-n // SIDE)))
     high = -(-n // wide)
-    extra = wide * high - n
-    value = np.ones((n + extra, 64), np.int64)
-    value[:n] = _coefficients(np.frombuffer(payload, np.uint8)).reshape(n, 64)
-    value[n:, 0] = value[n - 1, 0]
+    raw, last = np.frombuffer(payload, np.uint8), _coefficients(np.frombuffer(payload, np.uint8, 1, 64 * (n - 1)))[0]
+    # runs do not depend on each other, so that chunks of them are written one after the other
+    scan = [_scan(raw[64 * at : 64 * (at + CHUNK)], min(CHUNK, wide * high - at), last) for at in range(0, wide * high, CHUNK)]
+    tables = lambda cls, t: bytes([cls << 4]) + bytes(t[0]) + bytes(t[1])
+    frame = bytes([8]) + (8 * high).to_bytes(2, "big") + (8 * wide).to_bytes(2, "big") + bytes([1, 1, 0x11, 0])
+    head = b"\xff\xd8" + _segment(0xDB, b"\0" + b"\1" * 64) + _segment(0xC0, frame) + _segment(0xC4, tables(0, _DC)) + _segment(0xC4, tables(1, _AC))
+    return head + _segment(0xDD, RUN.to_bytes(2, "big")) + _segment(0xDA, bytes([1, 1, 0, 0, 63, 0])) + b"\xff\xd7".join(scan) + b"\xff\xd9"
+
+
+def _scan(raw: np.ndarray, blocks: int, last: int) -> bytes:
+    """Runs of the blocks that hold raw and of those added after them, with DC ``last``."""
+    own = len(raw) // 64
+    value = np.ones((blocks, 64), np.int64)
+    value[:own] = _coefficients(raw).reshape(own, 64)
+    value[own:, 0] = last
     heads = value[:, 0].copy()
-    value[1:, 0] -= np.where(np.arange(1, n + extra) % RUN == 0, 0, heads[:-1])
+    value[1:, 0] -= np.where(np.arange(1, blocks) % RUN == 0, 0, heads[:-1])
     flat = value.reshape(-1)
     size = _size(flat)
     low = np.where(flat < 0, flat + (1 << size) - 1, flat)
     bits, length = (size << size) | low, size + 4  # 4-bit codes are the sizes themselves: tables in natural order
-    blocks = n + extra
     runs = -(-blocks // RUN)
     # bits of each run, padded with ones to a byte
     per = np.add.reduceat(length, np.arange(0, 64 * blocks, 64 * RUN))
@@ -81,11 +93,7 @@ def encode(payload: bytes) -> bytes:
     where = np.concatenate([stuffed, marks])
     what = np.concatenate([np.zeros(len(stuffed), np.uint8), kind])
     order = np.argsort(where, kind="stable")
-    scan = np.insert(data, where[order], what[order]).tobytes()
-    tables = lambda cls, t: bytes([cls << 4]) + bytes(t[0]) + bytes(t[1])
-    frame = bytes([8]) + (8 * high).to_bytes(2, "big") + (8 * wide).to_bytes(2, "big") + bytes([1, 1, 0x11, 0])
-    head = b"\xff\xd8" + _segment(0xDB, b"\0" + b"\1" * 64) + _segment(0xC0, frame) + _segment(0xC4, tables(0, _DC)) + _segment(0xC4, tables(1, _AC))
-    return head + _segment(0xDD, RUN.to_bytes(2, "big")) + _segment(0xDA, bytes([1, 1, 0, 0, 63, 0])) + scan + b"\xff\xd9"
+    return np.insert(data, where[order], what[order]).tobytes()
 
 
 def _lookup(counts: bytes, symbols: bytes) -> np.ndarray:
@@ -174,22 +182,36 @@ def _decode_alike(parsed: list[Picture], pictures: list[bytes]) -> list[np.ndarr
     tables = np.stack([_lookup(*parsed[0].huffman[k]) for k in keys])
     dc = np.array([keys.index(d) for _, d, _ in unit])
     ac = np.array([keys.index(16 + a) for _, _, a in unit])
-    body, begin, blocks = [], [], []
-    place = 0
+    # chunks of whole runs: (bytes, blocks) of each run
+    chunks, held = [[]], 0
     for p, data in zip(parsed, pictures):
         left = p.mcu_wide * p.mcu_high
         for lo, hi in p.runs:
             if left <= 0:
                 break
-            raw = data[lo:hi].replace(b"\xff\x00", b"\xff")
-            body.append(raw)
-            begin.append(place)
-            place += len(raw)
             take = min(left, p.restart or left)
-            blocks.append(take * len(unit))
+            if held and held + take * len(unit) > 2 * CHUNK:
+                chunks.append([])
+                held = 0
+            chunks[-1].append((data, lo, hi, take * len(unit)))
+            held += take * len(unit)
             left -= take
         if left > 0:
             raise ValueError("the scan ends early")
+    value = np.concatenate([_decode_runs(runs, unit, tables, dc, ac) for runs in chunks])
+    out, at = [], 0
+    for p in parsed:
+        n = p.mcu_wide * p.mcu_high * len(unit)
+        out.append(value[at : at + n])
+        at += n
+    return out
+
+
+def _decode_runs(runs: list[tuple], unit: list, tables: np.ndarray, dc: np.ndarray, ac: np.ndarray) -> np.ndarray:
+    """Coefficients (blocks x 64) of runs (data, begin, end, blocks)."""
+    body = [data[lo:hi].replace(b"\xff\x00", b"\xff") for data, lo, hi, _ in runs]
+    begin = np.cumsum([0, *map(len, body)])[:-1]
+    blocks = [r[3] for r in runs]
     flat = np.frombuffer(b"".join(body) + b"\xff" * 8, np.uint8).astype(np.int64)
     # 24 bits from each byte on
     window = flat[:-2] << 16 | flat[1:-1] << 8 | flat[2:]
@@ -237,12 +259,7 @@ def _decode_alike(parsed: list[Picture], pictures: list[bytes]) -> list[np.ndarr
         heads = np.searchsorted(run_of[mine], np.arange(len(blocks)))
         before = np.concatenate([[0], total])[heads]
         value[mine, 0] = total - before[run_of[mine]]
-    out, at = [], 0
-    for p in parsed:
-        n = p.mcu_wide * p.mcu_high * len(unit)
-        out.append(value[at : at + n])
-        at += n
-    return out
+    return value.astype(np.int32)
 
 
 def thumbnail(picture: Picture, value: np.ndarray) -> np.ndarray:
