@@ -2,7 +2,7 @@
 
 Per text: words, characters, symbols, repeated lines, words in repeated 3-word windows. Mergeable quantile sketches
 (Greenwald-Khanna summaries, percentile_approx, merged over tasks) of three ratios for each (lang, source) and each lang
-give quartiles; a text leaves if a ratio lies beyond both fences: quartile +- reach * (interquartile range + slack).
+give quartiles; a text leaves if a ratio lies beyond both fences: quartile +- reach * (interquartile range + slack). Where a source's quartile is beyond its language's fence, that one holds.
 """
 
 from __future__ import annotations
@@ -70,7 +70,7 @@ def _ratio(name: str) -> Column:
 
 
 def thresholds(scored: DataFrame, reach: float = 6.0, accuracy: int = 10_000) -> DataFrame:
-    """(lang, source, level, <ratio>_lo, <ratio>_hi): fences by (lang, source) at level 0 and by lang at level 1.
+    """(lang, source, level, <ratio>_lo, _hi, _q1, _q3): fences and quartiles by (lang, source) at level 0 and by lang at level 1.
 
     Learned from rows that pass the base rules. ``reach`` interquartile ranges (with a slack) beyond the quartiles.
     """
@@ -80,13 +80,14 @@ def thresholds(scored: DataFrame, reach: float = 6.0, accuracy: int = 10_000) ->
     for name, (slack, low_too) in RATIOS.items():
         low, high = F.get(name, F.lit(0)), F.get(name, F.lit(1))
         width = reach * (high - low + slack)
-        fences += [(low - width if low_too else F.lit(float("-inf"))).alias(f"{name}_lo"), (high + width).alias(f"{name}_hi")]
+        fences += [(low - width if low_too else F.lit(float("-inf"))).alias(f"{name}_lo"), (high + width).alias(f"{name}_hi"), low.alias(f"{name}_q1"), high.alias(f"{name}_q3")]
     return quartiles.select("lang", "source", "level", *fences)
 
 
 def verdicts(docs: DataFrame, reach: float = 6.0) -> DataFrame:
     """``features`` and kept: base rules passed and no ratio beyond the fences of its lang and source and of its lang.
 
+    A source whose own quartile lies beyond its language's fence is mostly or largely junk: the language's fence holds there.
     A null lang or source is a group of its own. A group without rows that pass the base rules rejects nothing more.
     """
     # a few numbers a row: written once, so that texts are read once
@@ -98,7 +99,9 @@ def verdicts(docs: DataFrame, reach: float = 6.0) -> DataFrame:
     beyond = F.lit(False)
     for name in RATIOS:
         value = _ratio(name)
-        out = lambda t: (value > F.col(f"{t}.{name}_hi")) | (value < F.col(f"{t}.{name}_lo"))  # noqa: B023,E731
-        beyond |= F.coalesce(out("own") & out("wide"), F.lit(False))
+        at = lambda t, end: F.col(f"{t}.{name}_{end}")  # noqa: B023,E731
+        high = (value > at("wide", "hi")) & ((value > at("own", "hi")) | (at("own", "q3") > at("wide", "hi")))
+        low = (value < at("wide", "lo")) & ((value < at("own", "lo")) | (at("own", "q1") < at("wide", "lo")))
+        beyond |= F.coalesce(high | low, F.lit(False))
     names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     return joined.select(*(F.col(f"d.{c}").alias(c) for c in names), (~F.col("d.base_failed") & ~beyond).alias("kept"))

@@ -191,6 +191,15 @@ def test_quality(docs, rows):
         assert not (got[i]["base_failed"] and got[i]["kept"])
 
 
+def test_quality_of_a_source_that_is_mostly_junk(spark):
+    rng = random.Random(6)
+    prose = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(80))
+    junk = lambda: " ".join(w + " ###" for w in prose().split())
+    made = [("good", prose(), True) for _ in range(120)] + [("bad", junk(), False) for _ in range(20)] + [("bad", prose(), True) for _ in range(8)]
+    docs = spark.createDataFrame([(i, t, "en", source) for i, (source, t, _) in enumerate(made)], "doc_id long, text string, lang string, source string")
+    assert {r["doc_id"]: r["kept"] for r in quality.verdicts(docs).collect()} == {i: keep for i, (_, _, keep) in enumerate(made)}
+
+
 @pytest.mark.parametrize("size", [2, 5])
 def test_near_duplicates(docs, rows, size):
     low = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
