@@ -63,6 +63,39 @@ def slices(batches, column: str, most: int = 2 << 20):
             at = to
 
 
+def whole_groups(batches, keys: list[str]):
+    """Rows sorted by ``keys`` as (table, bounds of its groups): no group is split over two tables.
+
+    Memory is a batch and the longest group.
+    """
+    import pyarrow as pa
+
+    held, last = [], None
+
+    def whole():
+        table = pa.Table.from_batches(held).combine_chunks()
+        value = np.stack([table[c].to_numpy() for c in keys])
+        return table, np.concatenate([[0], np.flatnonzero((value[:, 1:] != value[:, :-1]).any(axis=0)) + 1, [table.num_rows]])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        value = np.stack([batch.column(c).to_numpy() for c in keys])
+        if held and (value[:, 0] != last).any():
+            yield whole()
+            held = []
+        last = value[:, -1]
+        change = np.flatnonzero((value[:, 1:] != value[:, :-1]).any(axis=0))
+        if len(change):
+            held.append(batch.slice(0, int(change[-1]) + 1))
+            yield whole()
+            held = []
+            batch = batch.slice(int(change[-1]) + 1)
+        held.append(batch)
+    if held:
+        yield whole()
+
+
 class BitFilter:
     """A Bloom filter over 64-bit names with two probes.
 

@@ -3,20 +3,18 @@
 1. Each document's set of word shingles is hashed to 64 bits and sketched: round i < t throws every element into a
    random bin with value (i, hash), round t + j throws all into bin j, until all t bins hold their least value. Every
    bin fills, and equal bins estimate the Jaccard similarity with a concentration bound.
-2. Documents of equal sets form a class (128-bit name of the set); its smallest doc_id stands for it from here on.
-3. 51 bands of 5 bins: two sets of similarity 0.8 share none with probability (1 - 0.8^5)^51 = 2e-9.
-4. Rounds: in each bucket the first member of each component stands for it and the first of all leads, in an order drawn
-   anew in every round. In the first two all buckets share one order and a component meets only the first of its leaders: a group of
-   near copies gives at most one pair a member, and much of it joins. In later rounds each bucket has its own order and
-   a component meets the leaders of all its buckets. Pairs whose 256 one-bit bins differ by more than six standard
-   deviations from the threshold leave; the others are verified on full sets, and links join components. Two of
-   these in a row without a link end the rounds.
-5. Buckets of up to ``exhaustive`` members then compare all their pairs of different components. Larger ones that still
-   hold several components are dealt into blocks, and each two blocks meet in a unit of bounded size: by one-bit bins (eight
-   standard deviations) it tells which components may touch; groups of those are dealt into blocks again, with full sets,
-   and all pairs of different components there are compared exactly. A unit returns no more links than it has members.
-
-Sets travel only for documents in a pair to be verified, one a pair; links and components never reach the driver.
+2. Documents of equal sets form a class, a node of the graph; its name is 64 bits of the set.
+3. 51 bands of 5 bins: two sets of similarity 0.8 share none with probability (1 - 0.8^5)^51 = 2e-9. Members of a bucket
+   whose sizes allow a link and whose 256 one-bit bins differ by at most six standard deviations from the threshold touch;
+   buckets of more than ``large`` members touch as a whole. What touches, directly or over others, is a family: no link
+   leaves one.
+4. Families are verified on full sets, each of which is shipped once: a family of one block has all its pairs compared, save
+   those joined already. Larger ones are dealt into blocks; those that stand for the components found there meet in
+   new blocks, and then members of components that are still apart meet, block against block, until every pair of
+   different components has been compared. Tasks return components and links between them, never pairs of members.
+
+What a family costs is its members times the blocks of members that stay apart from its large components: a
+template of which a third of all documents are variants just below the threshold takes quadratic work in tasks of bounded size.
 """
 
 from __future__ import annotations
@@ -26,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from odflow.llm.common import BitFilter, slices, stored, string_bytes
+from odflow.llm.common import BitFilter, slices, stored, string_bytes, whole_groups
 
 BINS, ROWS = 256, 5
 BANDS = BINS // ROWS
@@ -106,145 +104,186 @@ def _source(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+def _names(sets: list[np.ndarray]) -> np.ndarray:
+    """A 64-bit name of each set: equal sets, equal names."""
+    return np.array([_mix(s.sum() ^ U(len(s)), _mix(s, U(77)).sum()) if len(s) else U(0) for s in sets], U)
+
+
 def _sketched(docs: DataFrame, words: int) -> DataFrame:
-    """(doc, n, name1, name2, bits array<long>, keys array<long>) of every document."""
+    """(doc, n, node, bits array<long>, keys array<long>) of every row; node names the set."""
 
     def rows(batches):
         for batch in slices(batches, "text"):
             body, ends = string_bytes(batch.column("text"))
             sets = shingle_sets(body, ends, words)
             some = [i for i, s in enumerate(sets) if len(s)]
-            name = np.zeros((len(sets), 2), U)
             bits, keys = np.zeros((len(sets), 4), U), np.zeros((len(sets), BANDS), U)
             if some:
                 got = sketches([sets[i] for i in some])
-                for i in some:
-                    name[i] = sets[i].sum(), _mix(sets[i], U(77)).sum()
                 bits[some] = np.packbits((_mix(got, U(5)) & U(1)).astype(np.uint8), axis=1).view(U)
                 key = np.broadcast_to(_ROUND[:BANDS], (len(some), BANDS))
                 for r in range(ROWS):
                     key = _mix(got[:, r : BANDS * ROWS : ROWS], key)
                 keys[some] = key
             lists = lambda a: pa.FixedSizeListArray.from_arrays(pa.array(a.reshape(-1).view(np.int64)), a.shape[1]).cast(pa.list_(pa.int64()))
-            columns = [batch.column("doc"), pa.array([len(s) for s in sets], pa.int64()), pa.array(name[:, 0].copy().view(np.int64)), pa.array(name[:, 1].copy().view(np.int64)), lists(bits), lists(keys)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc", "n", "name1", "name2", "bits", "keys"])
+            columns = [batch.column("doc"), pa.array([len(s) for s in sets], pa.int64()), pa.array(_names(sets).view(np.int64)), lists(bits), lists(keys)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc", "n", "node", "bits", "keys"])
 
-    return _source(docs).mapInArrow(rows, "doc long, n long, name1 long, name2 long, bits array<long>, keys array<long>")
+    return _source(docs).mapInArrow(rows, "doc long, n long, node long, bits array<long>, keys array<long>")
 
 
-def _sets(docs: DataFrame, ids: DataFrame, words: int, filter_bits: int) -> DataFrame:
-    """(doc, shingles binary) of the documents in ids and perhaps some others."""
-    sc = docs.sparkSession.sparkContext
-    wanted = sc.broadcast(BitFilter.of(ids.select(F.xxhash64("doc").alias("name")), filter_bits))
+def _sets(docs: DataFrame, reps: DataFrame, words: int, filter_bits: int) -> DataFrame:
+    """(node, shingles binary) of the documents in reps (column rep) and perhaps some others."""
+    wanted = docs.sparkSession.sparkContext.broadcast(BitFilter.of(reps.select(F.xxhash64("rep").alias("name")), filter_bits))
 
     def sets_of(batches):
         for batch in batches:
-            keep = wanted.value.has(batch.column("name").to_numpy())
-            kept = pa.Table.from_batches([batch]).filter(pa.array(keep))
+            kept = pa.Table.from_batches([batch]).filter(pa.array(wanted.value.has(batch.column("name").to_numpy())))
             for part in slices(kept.to_batches(), "text"):
                 sets = shingle_sets(*string_bytes(part.column("text")), words)
-                yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(_names(sets).view(np.int64)), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "shingles"])
 
-    # rows that repeat a doc_id give one set
-    return _source(docs).withColumn("name", F.xxhash64("doc")).mapInArrow(sets_of, "doc long, shingles binary").dropDuplicates(["doc"])
+    return _source(docs).withColumn("name", F.xxhash64("doc")).mapInArrow(sets_of, "node long, shingles binary").dropDuplicates(["node"])
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int, filter_bits: int) -> DataFrame:
-    """Those of the pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
-    pairs = stored(pairs)
-    sets = stored(_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), words, filter_bits))
+def _words(bits) -> np.ndarray:
+    return bits.combine_chunks().flatten().to_numpy().view(U).reshape(-1, 4)
+
+
+def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(x ^ y).sum(axis=-1)
 
-    def linked(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("left"), batch.column("right")):
-                x, y = np.frombuffer(x.as_py(), U), np.frombuffer(y.as_py(), U)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return (
-        pairs.join(sets.select(F.col("doc").alias("a"), F.col("shingles").alias("left")), "a")
-        .join(sets.select(F.col("doc").alias("b"), F.col("shingles").alias("right")), "b")
-        .select("a", "b", "left", "right")
-        .mapInArrow(linked, "a long, b long")
-    )
 
+def touching(key: np.ndarray, n: np.ndarray, bits: np.ndarray, percent: int, most: float) -> np.ndarray:
+    """For rows sorted by key: the first row that each one is joined to by pairs of its key with alike sizes and bins.
 
-def _units(rows: DataFrame, by: str, members: int, shingles: int) -> DataFrame:
-    """rows with own, lo, hi: a group of ``by`` is dealt into blocks of about that many members and shingles at most, and a
-    row goes to the units (lo, hi) of its own block and each block of the group."""
-    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / members, F.sum("n") / shingles)).cast("long")
-    dealt = rows.join(rows.groupBy(by).agg(blocks.alias("blocks")), by).withColumn("own", F.pmod(F.xxhash64("doc", F.lit(11)), "blocks"))
-    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    return met.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).drop("blocks", "other")
-
-
-def _forest(unit: pa.Table, near) -> pa.Table:
-    """Of the unit's pairs across blocks (within it, if it has one) for which near(i, js) holds: links (a, b) and their
-    components (ca, cb), just enough of them to join what all of these pairs join."""
-    doc, component = unit["doc"].to_numpy(), unit["component"].to_numpy()
-    own, lo, hi = (unit[c].to_numpy() for c in ("own", "lo", "hi"))
-    _, label = np.unique(component, return_inverse=True)
-    one = lo[0] == hi[0]
-    left, right = (np.arange(len(doc)),) * 2 if one else (np.flatnonzero(own == lo), np.flatnonzero(own == hi))
-    found = []
-    for i in left:
-        js = right[i + 1 :] if one else right
-        js = js[label[js] != label[i]]
-        js = js[near(i, js)] if len(js) else js
-        if len(js):
-            gone, first = np.unique(label[js], return_index=True)
-            found += [(i, j) for j in js[first]]
-            label[np.isin(label, gone)] = label[i]
-    i, j = np.array(found, np.int64).reshape(-1, 2).T
-    return pa.table({"a": doc[i], "b": doc[j], "ca": component[i], "cb": component[j]})
-
-
-def _all_pairs(docs: DataFrame, members: DataFrame, most: float, words: int, percent: int, filter_bits: int, block: int = 2048, set_block: int = 512) -> DataFrame:
-    """Links (a, b, ca, cb) that join the components of members (key, doc, n, component, bits) as all links of two members of
-    a key would: each pair of different components is compared on full sets, or its bins differ by more than ``most``."""
-    link = "a long, b long, ca long, cb long"
-
-    def alike(n, i, js):
-        return 100 * np.minimum(n[i], n[js]) >= percent * np.maximum(n[i], n[js])
-
-    def touching(unit: pa.Table) -> pa.Table:
-        n, bits = unit["n"].to_numpy(), unit["bits"].combine_chunks().flatten().to_numpy().view(U).reshape(-1, 4)
-        return _forest(unit, lambda i, js: alike(n, i, js) & (np.bitwise_count(bits[i] ^ bits[js]).sum(axis=1) <= most))
-
-    def linked(unit: pa.Table) -> pa.Table:
-        n = unit["n"].to_numpy()
-        flat, place, count = np.unique(np.concatenate([np.frombuffer(s.as_py(), U) for s in unit["shingles"]]), return_inverse=True, return_counts=True)
+    Turn r compares the r-th member of every bucket with those after it that are not joined to it yet.
+    """
+    label = np.arange(len(key))
+    start = np.flatnonzero(np.diff(key, prepend=key[:1] - 1))
+    size = np.diff(np.append(start, len(key)))
+    for turn in range(int(size.max(initial=1)) - 1):
+        left = size - turn - 1
+        start, size, left = start[left > 0], size[left > 0], left[left > 0]
+        pivot = np.repeat(start + turn, left)
+        other = pivot + 1 + np.arange(len(pivot)) - np.repeat(np.cumsum(left) - left, left)
+        go = label[pivot] != label[other]
+        pivot, other = pivot[go], other[go]
+        near = (100 * np.minimum(n[pivot], n[other]) >= percent * np.maximum(n[pivot], n[other])) & (_apart(bits[pivot], bits[other]) <= most)
+        pivot, other = pivot[near], other[near]
+        # a bucket has one pivot a turn: what it joins takes the least of their labels
+        least, to = label.copy(), np.arange(len(label))
+        np.minimum.at(least, pivot, label[other])
+        to[label[pivot]], to[label[other]] = least[pivot], least[pivot]
+        label = to[label]
+    return label
+
+
+class _Unit:
+    """Members with their full sets: ``near`` compares one with many."""
+
+    def __init__(self, table: pa.Table, percent: int, most: float):
+        self.n, self.bits, self.percent, self.most = table["n"].to_numpy(), _words(table["bits"]), percent, most
+        flat, place, count = np.unique(np.concatenate([np.frombuffer(s.as_py(), U) for s in table["shingles"]]), return_inverse=True, return_counts=True)
         # a shingle of one member only is in no intersection
-        ids = [x[count[x] > 1] for x in np.split(place, np.cumsum(n)[:-1])]
-        size, mark = np.array([len(x) for x in ids]), np.zeros(len(flat), bool)
-
-        def near(i, js):
-            out = np.zeros(len(js), bool)
-            enough = lambda both, at: 100 * both >= percent * (n[i] + n[js[at]] - both)
-            some = np.flatnonzero(alike(n, i, js) & enough(np.minimum(size[i], size[js]), slice(None)))
-            if len(some):
-                mark[ids[i]] = True
-                total = np.concatenate([[0], np.cumsum(mark[np.concatenate([ids[j] for j in js[some]])])])
-                mark[ids[i]] = False
-                ends = np.cumsum(size[js[some]])
-                out[some] = enough(total[ends] - total[ends - size[js[some]]], some)
-            return out
-
-        return _forest(unit, near)
-
-    touch = stored(_units(members, "key", block, 1 << 62).groupBy("key", "lo", "hi").applyInArrow(touching, link))
-    between = stored(touch.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
-    groups = components(between.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), between)
-    named = groups.select(F.col("doc").alias("component"), F.col("component").alias("family"))
-    grouped = stored(members.select("doc", "n", "component").distinct().join(named, "component"))
-    sets = _sets(docs, grouped.select("doc"), words, filter_bits)
-    return _units(grouped, "family", set_block, 1 << 18).join(sets, "doc").groupBy("family", "lo", "hi").applyInArrow(linked, link)
-
-
-def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(doc, component): each node with the smallest node it reaches over links (a, b). Alternating large and small stars."""
+        self.ids = [x[count[x] > 1] for x in np.split(place, np.cumsum(self.n)[:-1])]
+        self.size, self.mark = np.array([len(x) for x in self.ids]), np.zeros(len(flat), bool)
+
+    def near(self, i: int, js: np.ndarray) -> np.ndarray:
+        """Which of js have 100 * intersection >= percent * union with i; those whose bins differ too much are none."""
+        n, size, percent = self.n, self.size, self.percent
+        out = np.zeros(len(js), bool)
+        enough = lambda both, at: 100 * both >= percent * (n[i] + n[js[at]] - both)
+        some = np.flatnonzero((_apart(self.bits[i], self.bits[js]) <= self.most) & enough(np.minimum(size[i], size[js]), slice(None)))
+        if len(some):
+            self.mark[self.ids[i]] = True
+            total = np.concatenate([[0], np.cumsum(self.mark[np.concatenate([self.ids[j] for j in js[some]])])])
+            self.mark[self.ids[i]] = False
+            ends = np.cumsum(size[js[some]])
+            out[some] = enough(total[ends] - total[ends - size[js[some]]], some)
+        return out
+
+    def join(self, label: np.ndarray, left: np.ndarray, right: np.ndarray | None = None) -> list[tuple[int, int]]:
+        """Unite labels by the links between left and right (within left); pairs of one label are not compared."""
+        found = []
+        for at, i in enumerate(left):
+            js = left[at + 1 :] if right is None else right
+            js = js[label[js] != label[i]]
+            js = js[self.near(i, js)] if len(js) else js
+            if len(js):
+                gone = np.unique(label[js])
+                found += [(int(label[i]), int(g)) for g in gone]
+                label[np.isin(label, gone)] = label[i]
+        return found
+
+
+def _rooted(members: DataFrame, percent: int, most: float) -> DataFrame:
+    """(node, root, family, blocks) of members (node, n, bits, shingles, family, block, blocks): all pairs of a block are
+    compared on full sets, and each member gets one member that stands for those it reaches there."""
+
+    def roots(batches):
+        for table, starts in whole_groups(batches, ["family", "block"]):
+            node = table["node"].to_numpy()
+            root = node.copy()
+            for lo, hi in zip(starts[:-1], starts[1:]):
+                if hi - lo > 1:
+                    label = np.arange(hi - lo)
+                    _Unit(table.slice(lo, hi - lo), percent, most).join(label, np.arange(hi - lo))
+                    root[lo:hi] = node[lo:hi][label]
+            yield from pa.table({"node": node, "root": root, "family": table["family"], "blocks": table["blocks"]}).to_batches()
+
+    dealt = members.select("node", "n", "bits", "shingles", "family", "block", "blocks").repartition("family", "block").sortWithinPartitions("family", "block")
+    return dealt.mapInArrow(roots, "node long, root long, family long, blocks long")
+
+
+def _dealt(members: DataFrame, block: int, shingles: int, salt: int) -> DataFrame:
+    """members (family, node, n, ...) with blocks, the number of blocks of their family, and their own one by chance."""
+    many = F.ceil(F.greatest(F.count(F.lit(1)) / block, F.sum("n") / shingles)).cast("long")
+    large = stored(members.groupBy("family").agg(many.alias("blocks")).filter("blocks > 1"))
+    rows = members.join(large, "family", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
+    return rows.withColumn("block", F.pmod(F.xxhash64("node", F.lit(salt)), F.col("blocks")))
+
+
+def _across(members: DataFrame, percent: int, most: float, block: int, shingles: int) -> DataFrame:
+    """Links (a, b) between components of members (node, n, bits, shingles, family, component), enough of them to join all
+    components of a family that any two members join. Large components have blocks of their own, the others share some; each
+    two blocks of a family meet in a unit, unless they are of one component."""
+    weight = members.groupBy("family", "component").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("s"))
+    weight = stored(weight.withColumn("own", F.ceil(F.greatest(F.col("m") / block, F.col("s") / shingles)).cast("long")).withColumn("big", (2 * F.col("m") > block) | (2 * F.col("s") > shingles)))
+    mixed = weight.filter("not big").groupBy("family").agg(F.ceil(F.greatest(F.sum("m") / block, F.sum("s") / shingles)).cast("long").alias("mixed"))
+    weight = stored(weight.join(mixed, "family", "left"))
+    index = F.when(F.col("big"), F.pmod(F.xxhash64("node", F.lit(13)), F.col("own"))).otherwise(F.pmod(F.xxhash64("component", F.lit(13)), F.col("mixed")))
+    owner = F.when(F.col("big"), F.col("component"))
+    placed = members.join(weight.select("family", "component", "own", "big", "mixed"), ["family", "component"]).withColumn("owner", owner).withColumn("part", F.xxhash64("big", "owner", index))
+    count = F.explode(F.sequence(F.lit(0).cast("long"), F.col("own") - 1))
+    parts = (
+        weight.filter("big").select("family", owner.alias("owner"), count.alias("index")).withColumn("part", F.xxhash64(F.lit(True), "owner", "index"))
+        .unionByName(weight.filter("not big").select("family", F.col("mixed").alias("own")).distinct().select("family", F.lit(None).cast("long").alias("owner"), count.alias("index")).withColumn("part", F.xxhash64(F.lit(False), "owner", "index")))
+        .select("family", "owner", "part")
+    )
+    a, b = (parts.select("family", F.col("owner").alias(f"owner_{x}"), F.col("part").alias(x)) for x in "ab")
+    met = a.join(b, "family").filter("a <= b and coalesce(owner_a <> owner_b, true) and (a <> b or owner_a is null)").withColumn("unit", F.xxhash64("family", "a", "b"))
+    sides = met.select("family", "unit", "a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("part"))
+    shipped = placed.join(stored(sides), ["family", "part"]).withColumn("first", F.col("part") == F.col("a")).withColumn("alone", F.col("a") == F.col("b"))
+
+    def links(batches):
+        for table, starts in whole_groups(batches, ["unit"]):
+            out = []
+            for lo, hi in zip(starts[:-1], starts[1:]):
+                unit = table.slice(lo, hi - lo)
+                names, label = np.unique(unit["component"].to_numpy(), return_inverse=True)
+                first = unit["first"].to_numpy(zero_copy_only=False)
+                if len(names) > 1:
+                    sides = (np.arange(hi - lo),) if unit["alone"][0].as_py() else (np.flatnonzero(first), np.flatnonzero(~first))
+                    out += [(names[i], names[j]) for i, j in _Unit(unit, percent, most).join(label, *sides)]
+            yield pa.RecordBatch.from_arrays([pa.array([int(x[k]) for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    columns = ["node", "n", "bits", "shingles", "component", "unit", "first", "alone"]
+    return shipped.select(columns).repartition("unit").sortWithinPartitions("unit").mapInArrow(links, "a long, b long")
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(node, component): each node of links (a, b) with the smallest node it reaches. Alternating large and small stars."""
     edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
     before = None
     while True:
@@ -259,102 +298,69 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
         if now == before:
             break
         before = now
-    return nodes.join(edges.select(F.col("u").alias("doc"), F.col("v").alias("least")), "doc", "left").select("doc", F.coalesce("least", "doc").alias("component"))
+    ends = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    return ends.unionByName(ends.select(F.col("component").alias("node"), "component").distinct())
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rounds: int = 6, exhaustive: int = 48, filter_bits: int = 1 << 26) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, block: int = 512, shingles: int = 1 << 18, large: int = 1024, filter_bits: int = 1 << 26) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row: sets of similarity percent / 100 or more are linked.
 
     A text of fewer than ``words`` words is one shingle; without words, or null, it is empty and linked with nothing.
-    Null doc_id is treated as the least number and returned as null. Rows that share a doc_id are one document.
-    component_id is the smallest doc_id reachable; of ties and exact copies the smallest doc_id is kept.
+    Null doc_id is treated as the least number and returned as null. Rows that share a doc_id count each by its own text.
+    component_id is the smallest doc_id reachable; of ties and exact copies the smallest doc_id is kept. Other columns are
+    ignored. ``block`` and ``shingles`` bound what a task compares at once, ``large`` the buckets whose pairs are looked at
+    before families are formed; neither changes a result.
     """
     all_docs = stored(_sketched(docs, words))
-    classes = all_docs.filter("n > 0").groupBy("n", "name1", "name2").agg(F.min("doc").alias("rep"))
-    members = stored(all_docs.select("doc", "n", "name1", "name2").join(classes, ["n", "name1", "name2"]).select("doc", "rep"))
-    reps = all_docs.join(members.filter("doc = rep").select("doc").distinct(), "doc", "left_semi").dropDuplicates(["doc"])
-    banded = reps.select("doc", "n", F.explode("keys").alias("key"))
-    shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    buckets = stored(banded.join(shared, "key").select("key", "doc", "n", "size"))
+    classes = stored(all_docs.filter("n > 0").groupBy("node").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("copies"), *(F.first(c).alias(c) for c in ("n", "bits", "keys"))))
     # one-bit bins of sets at the threshold differ with probability (1 - percent / 100) / 2
     chance = (100 - percent) / 200
-    most = BINS * chance + 6 * (BINS * chance * (1 - chance)) ** 0.5
-    bits = stored(reps.select("doc", "bits").join(buckets.select("doc").distinct(), "doc", "left_semi"))
-    differ = sum((F.bit_count(F.col("x")[i].bitwiseXOR(F.col("y")[i])) for i in range(4)), F.lit(0))
-
-    def worth(pairs: DataFrame) -> DataFrame:
-        near = pairs.filter(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b").distinct()
-        return (
-            near.join(bits.select(F.col("doc").alias("a"), F.col("bits").alias("x")), "a")
-            .join(bits.select(F.col("doc").alias("b"), F.col("bits").alias("y")), "b")
-            .filter(differ <= most)
-            .select("a", "b")
-        )
-
-    labels = stored(buckets.select("doc").distinct().withColumn("component", F.col("doc")))
-    tried = labels.select(F.col("doc").alias("a"), F.col("doc").alias("b")).limit(0)
-
-    def join(between: DataFrame) -> None:
-        """Join components by links (a, b) between them."""
-        nonlocal labels
-        joined = components(between.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), between).select(F.col("doc").alias("component"), F.col("component").alias("least"))
-        labels = stored(labels.join(joined, "component", "left").select("doc", F.coalesce("least", "component").alias("component")))
-
-    def step(pairs: DataFrame) -> bool:
-        """Verify new pairs, join components; whether a link was found."""
-        nonlocal tried
-        pairs = pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), F.col("np").alias("na"), F.col("nq").alias("nb"))
-        pairs = stored(worth(pairs).join(tried, ["a", "b"], "left_anti"))
-        if not pairs.take(1):
-            return False
-        found = stored(_verified(docs, pairs, words, percent, filter_bits))
-        tried = tried.unionByName(pairs)
-        if not found.take(1):
-            return False
-        # the new links between components, one component a node
-        ends = [labels.select(F.col("doc").alias(x), F.col("component").alias(f"c{x}")) for x in "ab"]
-        join(stored(found.join(ends[0], "a").join(ends[1], "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()))
-        return True
-
-    idle = 0
-    for turn in range(rounds):
-        # the first member of each component in each bucket, in an order drawn anew
-        own_order = ["key"] if turn >= 2 else []
-        placed = buckets.join(labels, "doc")
-        order = F.xxhash64(*own_order, "doc", F.lit(turn))
-        drawn = placed.groupBy("key", "component").agg(F.min(F.struct(order.alias("order"), "doc", "n")).alias("own"))
-        # the first member of all leads, so large components lead more often
-        lead = drawn.groupBy("key").agg(F.min(F.struct("own", "component")).alias("lead"), F.count(F.lit(1)).alias("parts"))
-        met = drawn.join(lead.filter("parts > 1"), "key").filter("component <> lead.component")
-        if not own_order:
-            met = met.groupBy("component").agg(F.min(F.struct("lead", "own")).alias("first")).select("first.own", "first.lead")
-        found = step(met.select(F.col("own.doc").alias("p"), F.col("own.n").alias("np"), F.col("lead.own.doc").alias("q"), F.col("lead.own.n").alias("nq")))
-        idle = 0 if found or not own_order else idle + 1
-        if idle == 2:
-            break
-
-
-    def still_apart(placed: DataFrame) -> DataFrame:
-        placed = placed.join(labels, "doc")
-        return placed.join(placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key"), "key")
-
-    # small buckets whose members are still apart: all pairs across components
-    small = stored(still_apart(buckets.filter(F.col("size") <= exhaustive)).select("key", "component", F.col("doc").alias("p"), F.col("n").alias("np")))
-    right = small.select("key", F.col("component").alias("other"), F.col("p").alias("q"), F.col("np").alias("nq"))
-    step(small.join(right, "key").filter("p < q and component <> other").select("p", "np", "q", "nq"))
-    # and large ones, in blocks
-    large = stored(still_apart(buckets.filter(F.col("size") > exhaustive)).join(bits, "doc").select("key", "doc", "n", "component", "bits"))
-    if large.take(1):
-        wide = BINS * chance + 8 * (BINS * chance * (1 - chance)) ** 0.5
-        found = stored(_all_pairs(docs, large, wide, words, percent, filter_bits))
+    far = lambda deviations: BINS * chance + deviations * (BINS * chance * (1 - chance)) ** 0.5
+
+    banded = classes.select("node", F.explode("keys").alias("key"))
+    # stored, so that the join's sides are plain shuffles, whose hot keys Spark splits
+    shared = stored(banded.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("least")).filter("size > 1"))
+    buckets = stored(banded.join(shared, "key"))
+
+    def touch(batches):
+        for table, _ in whole_groups(batches, ["key"]):
+            node = table["node"].to_numpy()
+            label = touching(table["key"].to_numpy(), table["n"].to_numpy(), _words(table["bits"]), percent, far(6))
+            joined = label != np.arange(len(node))
+            yield pa.RecordBatch.from_arrays([pa.array(node[joined]), pa.array(node[label[joined]])], ["a", "b"])
+
+    small = buckets.filter(F.col("size") <= large).join(classes.select("node", "n", "bits"), "node").select("key", "node", "n", "bits")
+    links = small.repartition("key").sortWithinPartitions("key").mapInArrow(touch, "a long, b long")
+    families = components(links.unionByName(buckets.filter(F.col("size") > large).select(F.col("node").alias("a"), F.col("least").alias("b"))))
+
+    grouped = stored(families.withColumnRenamed("component", "family").join(classes.select("node", "rep", "n", "bits"), "node"))
+    dealt = _dealt(grouped, block, shingles, 11)
+    sets = stored(dealt.join(_sets(docs, grouped, words, filter_bits), "node"))
+    most = far(8)
+    first = stored(_rooted(sets, percent, most))
+    named = first.filter("blocks = 1").select("node", F.col("root").alias("component"))
+    several = first.filter("blocks > 1")
+    if several.take(1):
+        # those that stand for a block's components meet in new blocks, then members of components still apart meet
+        held = sets.filter("blocks > 1").select("node", "n", "bits", "shingles")
+        heads = several.select(F.col("root").alias("node"), "family").distinct().join(held, "node")
+        second = stored(_rooted(_dealt(heads, block, shingles, 12), percent, most)).select(F.col("node").alias("root"), F.col("root").alias("component"))
+        labels = stored(several.join(second, "root").select("node", "family", "component"))
+        apart = labels.groupBy("family").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("family")
+        found = stored(_across(stored(labels.join(apart, "family").join(held, "node")), percent, most, block, shingles).distinct())
         if found.take(1):
-            join(stored(found.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()))
-
-    # the class's component; components of representatives already have the smallest doc_id of all members
-    named = members.join(labels.withColumnRenamed("doc", "rep"), "rep", "left").select("doc", F.coalesce("component", "rep").alias("component"))
-    rows = all_docs.select("doc", "n").join(named.distinct(), "doc", "left")
+            ends = components(found).select(F.col("node").alias("component"), F.col("component").alias("last"))
+            labels = labels.join(ends, "component", "left").select("node", F.coalesce("last", "component").alias("component"))
+        named = named.unionByName(labels.select("node", "component"))
+
+    # the smallest doc_id of each component, for classes with copies or links
+    known = stored(classes.select("node", "rep", "copies").join(named, "node", "left").filter("copies > 1 or component is not null").select("node", "rep", F.coalesce("component", "node").alias("component")))
+    least = stored(known.groupBy("component").agg(F.min("rep").alias("least")))
+    final = stored(known.join(least, "component").select("node", "least"))
+    # rows without a set have a key of their own, so that they do not meet in one task
+    rows = all_docs.select("doc", "n", F.when(F.col("n") > 0, F.col("node")).otherwise(F.xxhash64("doc")).alias("node")).join(final, "node", "left")
+    component = F.when(F.col("n") > 0, F.coalesce("least", "doc")).otherwise(F.col("doc"))
     null = F.lit(-(2**63))
-    component = F.coalesce("component", "doc")
     return rows.select(
         F.when(F.col("doc") != null, F.col("doc")).alias("doc_id"),
         F.col("n").alias("n_shingles"),
@@ -364,6 +370,6 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rounds:
 
 
 def without_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs whose document is kept."""
+    """The rows of docs whose doc_id is kept; rows that share one stay together."""
     kept = near_duplicates(docs.select("doc_id", "text"), words, percent).filter("kept").select("doc_id").distinct()
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
