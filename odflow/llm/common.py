@@ -17,12 +17,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines share; a temporary one is set only where the session names none (tests)."""
+    """The folder all machines share; a temporary one is set only in local mode where the session names none (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = found.get() if found.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         import tempfile
 
         found = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
@@ -35,7 +37,16 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.stored_at = path
+    return back
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables made by ``stored`` that nothing reads any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def string_bytes(column) -> tuple[np.ndarray, np.ndarray]:
@@ -52,13 +63,13 @@ def string_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     return body[ends[0] : ends[-1]], ends - ends[0]
 
 
-def slices(batches, column: str, most: int = 2 << 20):
-    """The batches' rows in order, in slices of about ``most`` bytes of a string column (one row at least)."""
+def slices(batches, column: str, most: int = 2 << 20, rows: int = 1 << 30):
+    """The batches' rows in order, in slices of about ``most`` bytes of a string column (one row at least, ``rows`` at most)."""
     for batch in batches:
         _, ends = string_bytes(batch.column(column))
         at, n = 0, batch.num_rows
         while at < n:
-            to = max(at + 1, int(np.searchsorted(ends, ends[at] + most, "right")) - 1)
+            to = min(at + rows, max(at + 1, int(np.searchsorted(ends, ends[at] + most, "right")) - 1))
             yield batch.slice(at, to - at)
             at = to
 

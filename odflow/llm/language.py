@@ -8,10 +8,9 @@ language. Scoring a batch is two matrix products.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +18,7 @@ from odflow.llm.common import slices, string_bytes
 
 PLACES = 1 << 14
 ORDERS = 4
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 U = np.uint32
 
 
@@ -79,7 +78,7 @@ def fit(docs: DataFrame, per_language: int = 250) -> Model | None:
     if not counts:
         return None
     part = F.lit(0.0)
-    for lang, n in sorted(counts.items()):
+    for lang, n in sorted(counts.items()):  # a row a language
         part = F.when(F.col("lang") == lang, F.lit(min(1.0, per_language / n))).otherwise(part)
     order = F.xxhash64("doc_id", F.lit(8))
     rows = labelled.filter((order.cast("double") / 2.0**64 + 0.5) < part).select("lang", "text", order.alias("order")).collect()
@@ -98,7 +97,7 @@ def predictions(docs: DataFrame, model: Model | None = None, per_language: int =
 
     def predict(batches):
         model = shared.value
-        for batch in slices(batches, "text", 1 << 20):
+        for batch in slices(batches, "text", 1 << 20, 256):
             text = batch.column("text")
             names, score = ["und"] * batch.num_rows, np.zeros(batch.num_rows)
             if model is not None and batch.num_rows:

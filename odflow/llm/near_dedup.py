@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from odflow.llm.common import BitFilter, slices, stored, string_bytes, whole_groups
+from odflow.llm.common import BitFilter, drop, slices, stored, string_bytes, whole_groups
 
 BINS, ROWS = 256, 5
 BANDS = BINS // ROWS
@@ -288,11 +288,13 @@ def components(links: DataFrame) -> DataFrame:
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        # stored, so that the join below has plain shuffles on both sides and Spark splits a node of many edges
+        least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-        edges = stored(small.unionByName(down.select("u", F.col("m").alias("v"))).distinct())
+        old, edges = edges, stored(small.unionByName(down.select("u", F.col("m").alias("v"))).distinct())
+        drop(old, least)
         # the same edges again: count and sum of hashes tell
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
@@ -333,6 +335,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, block: i
     links = small.repartition("key").sortWithinPartitions("key").mapInArrow(touch, "a long, b long")
     families = components(links.unionByName(buckets.filter(F.col("size") > large).select(F.col("node").alias("a"), F.col("least").alias("b"))))
 
+    drop(shared, buckets)
     grouped = stored(families.withColumnRenamed("component", "family").join(classes.select("node", "rep", "n", "bits"), "node"))
     dealt = _dealt(grouped, block, shingles, 11)
     sets = stored(dealt.join(_sets(docs, grouped, words, filter_bits), "node"))

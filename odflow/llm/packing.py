@@ -1,7 +1,7 @@
 """Packing of token ids into windows: best fit decreasing (op 3) and sum of squares (op 4).
 
 Both run inside the partitions of one map over the table, so no row is shuffled; window numbers hold the partition's
-number in their upper half. Memory is one block of documents and the open windows of a partition.
+number in their upper half. Memory is one block of documents and a bounded number of open windows of a partition.
 """
 
 from __future__ import annotations
@@ -21,6 +21,38 @@ from odflow.llm.common import slices
 Piece = tuple[int, int, int]  # document's number in the block, start in it, length
 
 
+def topped_up(windows: list[list[tuple]], size: int) -> list[list[tuple]]:
+    """The fewest windows that hold the same pieces (..., start, length, ids, ...): the fullest stay as they are and their
+    room is filled, from the fullest on, with what the emptiest held, cut where a window ends. All but the last are full.
+
+    A piece is (document, start, length, tokens, ids); tokens is carried along.
+    """
+    fill = lambda w: sum(p[2] for p in w)
+    windows = sorted(windows, key=fill, reverse=True)
+    keep = -(-sum(map(fill, windows)) // size)
+    spare = [p for w in reversed(windows[keep:]) for p in w]
+    # the last window kept takes what is left over; if it is the only one with room, nothing is cut for it
+    for k, window in enumerate(windows[:keep]):
+        room = size - fill(window)
+        while room:
+            if not spare:
+                if k + 1 == keep:
+                    break
+                spare = windows[keep - 1]  # the emptiest kept one gives its pieces to those before it
+                windows[keep - 1] = []
+            doc, start, length, tokens, ids = spare.pop()
+            take = min(room, length)
+            window.append((doc, start, take, tokens, ids[:take]))
+            room -= take
+            if take < length:
+                spare.append((doc, start + take, length - take, tokens, ids[take:]))
+        if k + 1 == keep:
+            break
+    if spare:
+        windows[keep - 1] += reversed(spare)
+    return [w for w in windows[:keep] if w]
+
+
 class CapacityTree:
     """Segment tree over room left (0 to size): how many open windows have that room, and the least room that fits."""
 
@@ -131,12 +163,13 @@ def _ids(batch: pa.RecordBatch, encode: Callable, end: int) -> Iterator[tuple[in
         yield doc, np.append(encode(text), np.uint32(end)).astype("<u4")
 
 
-def pack_sum_of_squares(docs: DataFrame, path: str, pattern: str, size: int = 1024, end: int = 0) -> DataFrame:
+def pack_sum_of_squares(docs: DataFrame, path: str, pattern: str, size: int = 1024, end: int = 0, most_open: int = 4096) -> DataFrame:
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A document is its ids and the id ``end``; null text is empty, so each row has a piece. It is cut into full windows
-    and a rest, which is placed by sum of squares. At a partition's end the windows still open are laid end to end and
-    cut into full ones, so a partition pads one window at most. Repeated rows are packed each; null doc_id stays null.
+    and a rest, which is placed by sum of squares. When more than ``most_open`` windows are open, and at a partition's end, the
+    fullest open windows are topped up with the pieces of the emptiest, cut to fit, so a partition pads few windows.
+    Repeated rows are packed each; null doc_id stays null; doc_id is returned as a long. An empty table gives no row.
     """
 
     def pieces(batches):
@@ -163,17 +196,11 @@ def pack_sum_of_squares(docs: DataFrame, path: str, pattern: str, size: int = 10
                     full = packer.put((doc, at, len(part), len(ids), part))
                     if full:
                         close(full)
+                    elif packer.count.sum() > most_open:
+                        for window in topped_up(packer.flush(), size):
+                            close(window)
             yield rows()
-        window, room = [], size
-        for doc, start, length, tokens, ids in (p for w in packer.flush() for p in w):
-            while length:
-                take = min(room, length)
-                window.append((doc, start, take, tokens, ids[:take]))
-                start, length, ids, room = start + take, length - take, ids[take:], room - take
-                if not room:
-                    close(window)
-                    window, room = [], size
-        if window:
+        for window in topped_up(packer.flush(), size):
             close(window)
         yield rows()
 
@@ -185,27 +212,38 @@ def pack_best_fit(docs: DataFrame, path: str, pattern: str, size: int = 1024, en
     (cumulative segment lengths from 0), doc_ids and starts of the segments.
 
     Documents are taken in blocks of about ``block`` ids; within a block by best fit decreasing. Windows less than
-    31/32 full go back to the next block as pieces, so only a partition's last ones stay part full. Null text is
-    empty: one id, ``end``. A token-id matrix and position resets follow by ``matrix``.
+    31/32 full go back to the next block as pieces; if those hold more than a quarter of a block, or at a partition's end,
+    the fullest are topped up with the pieces of the emptiest, cut to fit. So memory is a block and a quarter, and only a
+    partition's last window stays part full. Null text is empty: one id, ``end``. Repeated rows are packed each, null
+    doc_id stays null, doc_id is returned as a long; an empty table gives no row. A token-id matrix and position resets follow
+    by ``matrix``.
     """
 
     def windows(batches):
         encode, number = library_encoder(path, pattern), TaskContext.get().partitionId() << 32
-        waiting: list[tuple] = []  # (doc, start, ids)
+        waiting: list[tuple] = []  # (doc, start, length, tokens, ids)
 
         def emit(last: bool) -> pa.RecordBatch:
             nonlocal number, waiting
             rows, back = [], []
-            for window in best_fit_decreasing([len(p[2]) for p in waiting], size):
-                fill = sum(p[2] for p in window)
-                own = [(waiting[k][0], waiting[k][1] + at, waiting[k][2][at : at + n]) for k, at, n in window]
-                if not last and fill * 32 < size * 31:
-                    back += own
-                    continue
-                ids = np.concatenate([p[2] for p in own])
-                rows.append((number, ids.tobytes(), [0, *np.cumsum([len(p[2]) for p in own]).tolist()], [p[0] for p in own], [p[1] for p in own]))
+
+            def close(own: list[tuple]) -> None:
+                nonlocal number
+                ids = np.concatenate([p[4] for p in own])
+                rows.append((number, ids.tobytes(), [0, *np.cumsum([p[2] for p in own]).tolist()], [p[0] for p in own], [p[1] for p in own]))
                 number += 1
-            waiting = back
+
+            for window in best_fit_decreasing([p[2] for p in waiting], size):
+                own = [(waiting[k][0], waiting[k][1] + at, n, waiting[k][3], waiting[k][4][at : at + n]) for k, at, n in window]
+                if sum(p[2] for p in own) * 32 < size * 31:
+                    back.append(own)
+                else:
+                    close(own)
+            if last or 4 * sum(p[2] for w in back for p in w) > block:
+                for own in topped_up(back, size):
+                    close(own)
+                back = []
+            waiting = [p for w in back for p in w]
             c = list(zip(*rows)) if rows else [[]] * 5
             kinds = (pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()))
             return pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(c, kinds)], ["sequence_id", "ids", "cu_seqlens", "doc_ids", "starts"])
@@ -213,11 +251,11 @@ def pack_best_fit(docs: DataFrame, path: str, pattern: str, size: int = 1024, en
         held = 0
         for batch in slices(batches, "text"):
             for doc, ids in _ids(batch, encode, end):
-                waiting.append((doc, 0, ids))
+                waiting.append((doc, 0, len(ids), len(ids), ids))
                 held += len(ids)
-            if held >= block:
-                yield emit(False)
-                held = 0
+                if held >= block:
+                    yield emit(False)
+                    held = 0
         yield emit(True)
 
     return _source(docs).mapInArrow(windows, "sequence_id long, ids binary, cu_seqlens array<int>, doc_ids array<long>, starts array<long>")
