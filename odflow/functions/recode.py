@@ -144,3 +144,82 @@ def band_n(c: Column | str) -> Column:
 def ci95(value: Column, se: Column, floor: bool = True) -> tuple[Column, Column]:
     low = value - 1.96 * se
     return (F.greatest(low, F.lit(0.0)) if floor else low), value + 1.96 * se
+
+
+def check_digit(c: Column | str, digits: int = 6) -> Column:
+    """Check digit of the first ``digits`` figures: modulo 10, weights 1 and 2 in turn, products over 9 less 9."""
+    parts = []
+    for i in range(digits):
+        product = F.substring(_col(c), i + 1, 1).cast("int") * (i % 2 + 1)
+        parts.append(F.when(product > 9, product - 9).otherwise(product))
+    return ((10 - reduce(lambda a, b: a + b, parts) % 10) % 10).cast("string")
+
+
+def substitute_stratum(unit: Column | str, area: Column | str) -> Column:
+    """Stratum where none is published: unit and kind of area."""
+    return F.concat(_col(unit), F.lit("-"), _col(area))
+
+
+def flag_cross(is_flow: Column | str, before: Column | str, now: Column | str) -> Column:
+    """A move over the border of a coarser level; unknown is false."""
+    return flag(_col(is_flow) & (_col(before) != _col(now)))
+
+
+def flag_return(is_flow: Column | str, birth: Column | str, before: Column | str, now: Column | str) -> Column:
+    """A move back to the region of birth from another one."""
+    return flag(_col(is_flow) & (_col(birth) == _col(now)) & (_col(before) != _col(now)))
+
+
+def route_destination(employed: Column | str, destination: Column | str, for_work: bool = True) -> Column:
+    """One question asked of workers and students: its answer for those of one universe, null for the other."""
+    mine = flag(_col(employed))
+    return F.when(mine if for_work else ~mine, _col(destination))
+
+
+def proxy_flow(years: Column | str, last_unit: Column | str, unit: Column | str, age: Column | str, most_years: int = 4, min_age: int = 5) -> Column:
+    """Stand-in for the unit of a fixed date: the last residence of those who came within ``most_years``; null for all others."""
+    came = flag((_col(age) >= min_age) & (_col(years) <= most_years) & (_col(last_unit) != _col(unit)))
+    return F.when(came, _col(last_unit))
+
+
+def core_periphery(o_core: Column | str, d_core: Column | str) -> Column:
+    """Kind of a move inside a region by whether its ends are the core."""
+    o, d = flag(_col(o_core)), flag(_col(d_core))
+    return F.when(o & ~d, F.lit("core_periphery")).when(~o & d, F.lit("periphery_core")).otherwise(F.lit("periphery_periphery"))
+
+
+def work_class(commutes: Column | str, work: Column | str, before: Column | str, core: Column | str, local: Column | str) -> Column:
+    """Where a mover works, set against the move: where they came from, the core, elsewhere, at home, several places, abroad."""
+    going = flag(_col(commutes))
+    return (
+        F.when(going & (_col(work) == _col(before)), F.lit("origin")).when(going & (_col(work) == _col(core)), F.lit("core")).when(going, F.lit("other"))
+        .when(_col(local).isin("1", "2"), F.lit("own")).when(_col(local) == "5", F.lit("several")).when(_col(local) == "4", F.lit("abroad")).otherwise(F.lit("unknown"))
+    )
+
+
+def se_effectiveness(inflow: Column | str, outflow: Column | str, se_in: Column | str, se_out: Column | str) -> Column:
+    """Standard error of (I - E) / (I + E) by the delta method, ends taken as independent: 2 sqrt(E^2 Var I + I^2 Var E) / (I + E)^2."""
+    i, e = _col(inflow), _col(outflow)
+    return F.when(i + e > 0, 2 * F.sqrt(e * e * _col(se_in) * _col(se_in) + i * i * _col(se_out) * _col(se_out)) / ((i + e) * (i + e)))
+
+
+def classify_breaks(c: Column | str, breaks: Sequence[float]) -> Column:
+    """Number of breaks at or below the value; null is class 0."""
+    return F.when(_col(c).isNull(), F.lit(0)).otherwise(reduce(lambda a, b: a + b, [(_col(c) >= b).cast("int") for b in breaks]))
+
+
+def bands_below(least: int) -> list[str]:
+    """Bands that lie wholly below a floor of persons."""
+    return [f"<{BANDS[0]}", *(f"{low}-{high - 1}" for low, high in zip(BANDS, BANDS[1:]) if high - 1 < least)]
+
+
+def cell_state(value: Column | str, existed: Column | str, coverage: Column | str, one_member: Column | str, undefined: Column | None = None) -> Column:
+    """What a panel cell shows: a number, or why it has none. A null ``existed`` means that the edition has no row."""
+    out = F.when(_col(existed).isNull(), "not_measured").when(~_col(existed), "did_not_exist").when(_col(coverage) == "none", "not_covered")
+    out = out.when((_col(coverage) == "insufficient") | flag(_col(one_member)), "insufficient").when(_col(value).isNull(), "suppressed")
+    return (out.when(flag(undefined), "undefined") if undefined is not None else out).otherwise("number")
+
+
+def profile_state(unit_state: Column | str, shown: Column | str, dominant: Column | str) -> Column:
+    """Reason why a profile bar is not drawn, null if it is: the unit's own state, or its dominant class is suppressed."""
+    return F.when(_col(unit_state).isin("did_not_exist", "not_covered", "insufficient"), _col(unit_state)).when((_col(shown) == 0) | _col(dominant).isNull(), "suppressed")

@@ -2,27 +2,30 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from odflow.functions.recode import band_n, precision_class, round_base
 from odflow.spec import Limits
 
 
-def suppress_rows(df: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    ok = F.col("n") >= limits.persons
+def passes(limits: Limits, n: str = "n", n_psu: str = "n_psu") -> Column:
+    """The floors of persons and, where there are household ids, of households; unknown counts do not pass."""
+    ok = F.col(n) >= limits.persons
     if limits.psus is not None:
-        ok &= F.col("n_psu") >= limits.psus
-    return df.filter(ok)
+        ok &= F.col(n_psu) >= limits.psus
+    return F.coalesce(ok, F.lit(False))
+
+
+def suppress_rows(df: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    return df.filter(passes(limits))
 
 
 def suppress_long(df: DataFrame, keys: Sequence[str], limits: Limits = Limits(), other: str = "other") -> DataFrame:
     """Failing cells, and null categories, are folded into one residual of their group and dimension."""
-    ok = (F.col("n") >= limits.persons) & F.col("category").isNotNull()
-    if limits.psus is not None:
-        ok &= F.col("n_psu") >= limits.psus
+    ok = passes(limits) & F.col("category").isNotNull()
     folded = df.withColumn("category", F.when(ok, F.col("category")).otherwise(F.lit(other)))
     return folded.groupBy(*keys, "dimension", "category").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
 
@@ -40,12 +43,79 @@ def publish_flows(matrix: DataFrame, limits: Limits = Limits()) -> DataFrame:
 def complementary(df: DataFrame, keys: Sequence[str], limits: Limits = Limits()) -> DataFrame:
     """kept: where exactly one cell of a group fails, the smallest passing one goes too, so that no difference tells it."""
     group = Window.partitionBy(*keys)
-    ok = (F.col("n") >= limits.persons).cast("int")
+    ok = passes(limits).cast("int")
     marked = df.withColumn("ok", ok).withColumn("failed", F.sum(1 - F.col("ok")).over(group))
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("ok"), "total", "category"))
     return marked.withColumn("kept", (F.col("ok") == 1) & ~((F.col("failed") == 1) & (place == 1))).drop("ok", "failed")
 
 
+def audit_differencing(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Groups of a table with a column ``kept`` that lack exactly one cell: its value is the total less the others."""
+    gone = df.groupBy(*keys).agg(F.count(F.when(~F.col("kept"), 1)).alias("gone"), F.count(F.lit(1)).alias("cells"))
+    return gone.filter("gone = 1 and cells > 1").select(*keys, "cells")
+
+
+def suppress_wide(df: DataFrame, keys: Sequence[str], dims: Mapping[str, Sequence[str]], universes: Mapping[str, Column] = {}, least: int = 5, other: str = "other") -> DataFrame:
+    """total, n, n_psu and a column <dim>__<category> for each listed category of each cell of persons.
+
+    A category of fewer than ``least`` persons is null, and its total goes to <dim>__other with the categories that are not
+    listed, so a dimension's columns add up to its total. Households are grouped first, so n_psu needs no Expand.
+    """
+    sums, counts, final = [], [], []
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    for dim, categories in dims.items():
+        inside = universes.get(dim, F.lit(True))
+        residual = zero(F.sum(f"_w_{dim}"))
+        sums.append(F.sum(F.when(inside & F.col(dim).isNotNull() & ~F.col(dim).isin(*categories), F.col("weight"))).alias(f"_w_{dim}"))
+        for c in categories:
+            at = inside & (F.col(dim) == c)
+            name = f"{dim}__{c}"
+            sums.append(F.sum(F.when(at, F.col("weight"))).alias(f"_w_{name}"))
+            counts.append(F.count(F.when(at, 1)).alias(f"_n_{name}"))
+            ok = F.sum(f"_n_{name}") >= least
+            final.append(F.when(ok, zero(F.sum(f"_w_{name}"))).alias(name))
+            residual += F.when(ok, 0.0).otherwise(zero(F.sum(f"_w_{name}")))
+        final.append(residual.alias(f"{dim}__{other}"))
+    by_psu = df.groupBy(*keys, "psu").agg(F.sum("weight").alias("_z"), F.count(F.lit(1)).alias("_n"), *sums, *counts)
+    return by_psu.groupBy(*keys).agg(F.sum("_z").alias("total"), F.sum("_n").alias("n"), F.count("psu").alias("n_psu"), *final)
+
+
+def _shown(limits: Limits, digits: bool = True) -> list[Column]:
+    one = lambda c, d: F.round(c, d).alias(c)
+    return [round_base("total", limits.base).alias("total"), *((one("se", 1), one("cv", 2)) if digits else (F.col("se"), F.col("cv"))), band_n("n").alias("n_band"), precision_class("cv").alias("precision")]
+
+
+def publish_profiled_flows(cells: DataFrame, matrix: DataFrame, limits: Limits = Limits(), digits: bool = True) -> DataFrame:
+    """Released flows of ``suppress_wide`` cells (o, d) with se and cv of ``matrix``: detail only where there are enough persons."""
+    detail = [c for c in cells.columns if "__" in c]
+    rows = suppress_rows(cells, limits).join(matrix.select("o", "d", "se", "cv"), ["o", "d"], "left")
+    shown = [F.when(F.col("n") >= limits.detail, round_base(c, limits.base)).alias(c) for c in detail]
+    return rows.select("o", "d", *_shown(limits, digits), (F.col("n") >= limits.detail).alias("has_detail"), *shown)
+
+
+def publish_units(units: DataFrame, columns: Sequence[str], limits: Limits = Limits(), keep: Sequence[str] = ()) -> DataFrame:
+    """Released unit indicators: headline totals to the base, rates as they are, bands instead of the counts n_<x>."""
+    bands = [band_n(c).alias(f"{c[2:]}_band") for c in units.columns if c.startswith("n_")]
+    return units.select("unit", *(round_base(c, limits.base).alias(c) for c in columns), *keep, *bands)
+
+
+def publish_profile(profile: DataFrame, keys: Sequence[str], limits: Limits = Limits(), pairs: DataFrame | None = None) -> DataFrame:
+    """Released long profile: failing cells folded; with ``pairs`` (keys, n, n_psu) only for pairs that pass the floor of detail."""
+    rows = profile
+    if pairs is not None:
+        enough = F.col("n") >= limits.detail
+        if limits.psus is not None:
+            enough &= F.col("n_psu") >= limits.psus
+        rows = rows.join(pairs.filter(enough).select(*keys), list(keys), "left_semi")
+    return suppress_long(rows, keys, limits).select(*keys, "dimension", "category", round_base("total", limits.base).alias("total"), band_n("n").alias("n_band"))
+
+
+def publish_cells(cells: DataFrame, keys: Sequence[str], limits: Limits = Limits(), extra: Sequence[str] = (), digits: bool = True) -> DataFrame:
+    """Released commuting, level and metropolitan tables: rows over the floors, rounded totals, bands; se and cv if there are any."""
+    estimate = _shown(limits, digits) if "cv" in cells.columns else [round_base("total", limits.base).alias("total"), band_n("n").alias("n_band")]
+    return suppress_rows(cells, limits).select(*keys, *estimate, *extra)
+
+
 def suppression_report(matrix: DataFrame, published: DataFrame) -> DataFrame:
     a = matrix.agg(F.count(F.lit(1)).alias("pairs"), F.sum("total").alias("volume"))
     kept = matrix.join(published.select("o", "d"), ["o", "d"], "left_semi").agg(F.count(F.lit(1)).alias("published"), F.sum("total").alias("kept"))

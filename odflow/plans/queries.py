@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from odflow.functions import recode as R
 from odflow.operators import audit, estimate, flows, geo, release, series
-from odflow.plans.views import CORES, PERSONS, UNITS, views
+from odflow.plans.views import CORES, LINEAGE, PERSONS, UNITS, views
 from odflow.spec import Limits
 
 QUERIES: dict = {}
@@ -32,6 +32,7 @@ class Survey:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         persons, self.units, self.cores = views(spark, sf_dir)
+        self.spark, self.sf_dir = spark, sf_dir
         self.persons = flows.flag_flow(persons)
         self.frame = estimate.stratum_frame(self.persons)
 
@@ -39,6 +40,16 @@ class Survey:
         moved = self.persons.filter("is_flow").select(F.col("prev_unit").alias("o"), F.col("unit").alias("d"), "psu", "weight")
         return estimate.cell_estimate(moved, ["o", "d"])
 
+    def editions(self) -> DataFrame:
+        """The survey's editions, known from the orders table alone."""
+        return self.spark.read.parquet(f"{self.sf_dir}/orders.parquet").select(F.year("o_orderdate").cast("string").alias("edition")).distinct()
+
+    def edition_flow(self) -> DataFrame:
+        return self.persons.filter("is_flow").groupBy("edition", F.col("prev_unit").alias("o"), F.col("unit").alias("d")).agg(F.sum("weight").alias("total"))
+
+    def lineage(self) -> DataFrame:
+        return self.spark.sql(LINEAGE.replace("FROM units CROSS JOIN editions", "FROM {units} CROSS JOIN {editions}"), units=self.units, editions=self.editions())
+
 
 def query(sql: str | None = None):
     def keep(f):
@@ -50,9 +61,9 @@ def query(sql: str | None = None):
     return keep
 
 
-@query(f"SELECT o, d, round(total / 5.0) * 5 AS total, CASE WHEN n < 20 THEN '5-19' WHEN n < 50 THEN '20-49' WHEN n < 100 THEN '50-99' WHEN n < 500 THEN '100-499' ELSE '500+' END AS n_band, CASE WHEN cv <= 15 THEN 'good' WHEN cv <= 30 THEN 'caution' ELSE 'low' END AS precision FROM (SELECT *, 100 * sqrt(greatest(variance, 0)) / total AS cv FROM ({_variance('o, d', 'moved')})) WHERE n >= 5 AND n_psu >= 3")
+@query(f"SELECT o, d, round(total / 5.0) * 5 AS total, round(sqrt(greatest(variance, 0)), 6) AS se, round(cv, 6) AS cv, CASE WHEN n < 20 THEN '5-19' WHEN n < 50 THEN '20-49' WHEN n < 100 THEN '50-99' WHEN n < 500 THEN '100-499' ELSE '500+' END AS n_band, CASE WHEN cv <= 15 THEN 'good' WHEN cv <= 30 THEN 'caution' ELSE 'low' END AS precision FROM (SELECT *, 100 * sqrt(greatest(variance, 0)) / total AS cv FROM ({_variance('o, d', 'moved')})) WHERE n >= 5 AND n_psu >= 3")
 def published_flow_matrix(s: Survey) -> DataFrame:
-    return release.publish_flows(flows.flow_matrix(s.persons, s.frame)).drop("se", "cv")
+    return release.publish_flows(flows.flow_matrix(s.persons, s.frame)).withColumns({c: F.round(c, 6) for c in ("se", "cv")})
 
 
 @query(f"SELECT o, d, total, n, n_psu, round(variance, 3) AS variance FROM ({_variance('o, d', 'moved')})")
@@ -76,24 +87,34 @@ def suppressed_edition_flows(s: Survey) -> DataFrame:
     return release.suppress_rows(estimate.cell_estimate(rows, ["o", "d", "edition"]))
 
 
-@query("SELECT o1.level2 AS o, d1.level2 AS d, sum(weight) AS total, count(*) AS n, count(DISTINCT psu) AS n_psu FROM moved JOIN units o1 ON o1.unit = o JOIN units d1 ON d1.unit = d WHERE o1.level2 <> d1.level2 GROUP BY ALL")
+def _rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, digits) for c in columns})
+
+
+@query(f""", lm AS (SELECT a.level2 AS o, b.level2 AS d, stratum, psu, weight FROM moved JOIN units a ON a.unit = o JOIN units b ON b.unit = d WHERE a.level2 <> b.level2)
+SELECT o, d, total, n, n_psu, round(variance, 3) AS variance, round(sqrt(greatest(variance, 0)), 6) AS se, round(100 * sqrt(greatest(variance, 0)) / total, 6) AS cv FROM ({_variance('o, d', 'lm')})""")
 def rollup_flows(s: Survey) -> DataFrame:
-    return flows.rollup_flows(s.persons, s.units, "level2", s.frame).select("o", "d", "total", "n", "n_psu")
+    return _rounded(_rounded(flows.rollup_flows(s.persons, s.units, "level2", s.frame), 3, "variance"), 6, "se", "cv")
 
 
-@query("""SELECT unit, coalesce(pop, 0) AS pop, coalesce(pop5, 0) AS pop5, coalesce(unknown_origin, 0) AS unknown_origin, coalesce(international, 0) AS international, coalesce(i, 0) AS inflow, coalesce(e, 0) AS outflow, coalesce(i, 0) - coalesce(e, 0) AS net
+_UNITS = f"""SELECT unit, coalesce(pop, 0) AS pop, coalesce(pop5, 0) AS pop5, coalesce(unknown_origin, 0) AS unknown_origin, coalesce(international, 0) AS international, coalesce(i, 0) AS inflow, coalesce(e, 0) AS outflow, coalesce(i, 0) - coalesce(e, 0) AS net,
+round(CASE WHEN pop5 > 0 THEN 1000 * (coalesce(i, 0) - coalesce(e, 0)) / pop5 END, 9) AS net_rate, round(CASE WHEN coalesce(i, 0) + coalesce(e, 0) > 0 THEN (coalesce(i, 0) - coalesce(e, 0)) / (coalesce(i, 0) + coalesce(e, 0)) END, 9) AS effectiveness,
+round(sqrt(greatest(coalesce(vi, 0) + coalesce(ve, 0), 0)), 6) AS se_net
 FROM units LEFT JOIN (SELECT unit, sum(weight) AS pop, sum(CASE WHEN age >= 5 THEN weight END) AS pop5, sum(CASE WHEN prev_local = '2' AND prev_unit = '99' THEN weight END) AS unknown_origin, sum(CASE WHEN prev_local = '3' THEN weight END) AS international FROM persons GROUP BY unit) USING (unit)
-LEFT JOIN (SELECT d AS unit, sum(total) AS i FROM flow GROUP BY d) USING (unit) LEFT JOIN (SELECT o AS unit, sum(total) AS e FROM flow GROUP BY o) USING (unit)""")
+LEFT JOIN (SELECT d AS unit, total AS i, variance AS vi FROM ({_variance('d', 'moved')})) USING (unit) LEFT JOIN (SELECT o AS unit, total AS e, variance AS ve FROM ({_variance('o', 'moved')})) USING (unit)"""
+
+
+@query(_UNITS)
 def unit_indicators(s: Survey) -> DataFrame:
-    return flows.unit_indicators(s.persons, s.units, s.frame).drop("net_rate", "effectiveness", "se_net")
+    return _rounded(_rounded(flows.unit_indicators(s.persons, s.units, s.frame), 9, "net_rate", "effectiveness"), 6, "se_net")
 
 
 _E = "ends AS (SELECT d AS unit, o AS partner, total AS inflow, 0.0 AS outflow FROM flow UNION ALL SELECT o, d, 0.0, total FROM flow)"
 
 
-@query(f", {_E} SELECT unit, CAST(sum(inflow) AS DOUBLE) AS inflow, CAST(sum(outflow) AS DOUBLE) AS outflow, CAST(sum(inflow) - sum(outflow) AS DOUBLE) AS net, CAST(sum(inflow) + sum(outflow) AS DOUBLE) AS turnover FROM ends GROUP BY unit")
+@query(f", {_E} SELECT unit, CAST(sum(inflow) AS DOUBLE) AS inflow, CAST(sum(outflow) AS DOUBLE) AS outflow, CAST(sum(inflow) - sum(outflow) AS DOUBLE) AS net, CAST(sum(inflow) + sum(outflow) AS DOUBLE) AS turnover, round(CAST((sum(inflow) - sum(outflow)) / (sum(inflow) + sum(outflow)) AS DOUBLE), 9) AS effectiveness FROM ends GROUP BY unit")
 def level_indicators(s: Survey) -> DataFrame:
-    return flows.level_indicators(s.flow()).drop("effectiveness")
+    return _rounded(flows.level_indicators(s.flow()), 9, "effectiveness")
 
 
 @query("SELECT coalesce(a.o, b.d) AS o, coalesce(a.d, b.o) AS d, coalesce(a.total, 0) AS total, coalesce(b.total, 0) AS reverse FROM flow a FULL JOIN flow b ON a.o = b.d AND a.d = b.o")
@@ -167,14 +188,14 @@ def dissimilarity(s: Survey) -> DataFrame:
     return flows.dissimilarity(one("1998"), one("2000")).select(F.round("dissimilarity", 9).alias("dissimilarity"))
 
 
-@query(f", {_E}, u AS (SELECT unit, sum(inflow) AS i, sum(inflow) - sum(outflow) AS net FROM ends GROUP BY unit) SELECT CAST(sum(i) AS DOUBLE) AS moves, CAST(round(50 * sum(abs(net)) / sum(i), 9) AS DOUBLE) AS mei FROM u")
+@query(f", {_E}, u AS (SELECT unit, sum(inflow) AS i, sum(inflow) - sum(outflow) AS net FROM ends GROUP BY unit) SELECT CAST(sum(i) AS DOUBLE) AS moves, CAST(round(100 * sum(i) / 1e6, 9) AS DOUBLE) AS cmi, CAST(round(50 * sum(abs(net)) / sum(i), 9) AS DOUBLE) AS mei, CAST(round(50 * sum(abs(net)) / 1e6, 9) AS DOUBLE) AS anmr FROM u")
 def system_measures(s: Survey) -> DataFrame:
-    return flows.system_measures(s.flow(), 1e6).select("moves", F.round("mei", 9).alias("mei"))
+    return _rounded(flows.system_measures(s.flow(), 1e6), 9, "cmi", "mei", "anmr")
 
 
-@query("SELECT o, d, total, round(total * (SELECT sum(total) FROM flow) / (sum(total) OVER (PARTITION BY o) * sum(total) OVER (PARTITION BY d)), 9) AS od_ratio FROM flow")
+@query("SELECT o, d, total, round(sum(total) OVER (PARTITION BY o) / (SELECT sum(total) FROM flow), 9) AS o_share, round(sum(total) OVER (PARTITION BY d) / (SELECT sum(total) FROM flow), 9) AS d_share, round(total * (SELECT sum(total) FROM flow) / (sum(total) OVER (PARTITION BY o) * sum(total) OVER (PARTITION BY d)), 9) AS od_ratio FROM flow")
 def multiplicative_components(s: Survey) -> DataFrame:
-    return flows.multiplicative_components(s.flow()).select("o", "d", "total", F.round("od_ratio", 9).alias("od_ratio"))
+    return _rounded(flows.multiplicative_components(s.flow()), 9, "o_share", "d_share", "od_ratio")
 
 
 @query()
@@ -216,27 +237,19 @@ def wide_profile(s: Survey) -> DataFrame:
     return estimate.wide_profile(_classified(s).withColumn("sex", F.col("sex").cast("string")), ["unit"], {"education": ["low", "high"], "sex": ["1"]})
 
 
-_COMMUTE = "employed_code = '1' AND work_local = '3' AND work_unit <> '99' AND work_unit <> unit"
-
+_CORES = """SELECT metro, coalesce(named, largest) AS core FROM (SELECT metro, max(CASE WHEN place = 1 THEN unit END) AS largest, max(CASE WHEN unit = core THEN unit END) AS named FROM (SELECT u.metro, u.unit, c.core, row_number() OVER (PARTITION BY u.metro ORDER BY pop DESC NULLS LAST, u.unit DESC) AS place FROM units u LEFT JOIN (SELECT unit, sum(weight) AS pop FROM persons GROUP BY unit) USING (unit) LEFT JOIN cores c ON c.metro = u.metro WHERE u.metro IS NOT NULL) GROUP BY metro)"""
 
-@query(f"SELECT unit AS o, work_unit AS d, sum(weight) AS total, count(*) AS n, count(DISTINCT psu) AS n_psu, median(commute_min) AS minutes, CAST(100 * coalesce(sum(CASE WHEN daily_code = '1' THEN weight END), 0) / sum(weight) AS DOUBLE) AS daily FROM persons WHERE {_COMMUTE} GROUP BY ALL")
-def commute_matrix(s: Survey) -> DataFrame:
-    rows = s.persons.filter(_COMMUTE).withColumnsRenamed({"unit": "o", "work_unit": "d"})
-    cells = estimate.cell_estimate(rows, ["o", "d"])
-    more = rows.groupBy("o", "d").agg(F.median("commute_min").alias("minutes"), estimate.weighted_share(F.col("daily_code") == "1").alias("daily"))
-    return cells.join(more, ["o", "d"])
 
-
-@query("SELECT metro, coalesce(named, largest) AS core FROM (SELECT metro, max(CASE WHEN place = 1 THEN unit END) AS largest, max(CASE WHEN unit = core THEN unit END) AS named FROM (SELECT u.metro, u.unit, c.core, row_number() OVER (PARTITION BY u.metro ORDER BY pop DESC NULLS LAST, u.unit DESC) AS place FROM units u LEFT JOIN (SELECT unit, sum(weight) AS pop FROM persons GROUP BY unit) USING (unit) LEFT JOIN cores c ON c.metro = u.metro WHERE u.metro IS NOT NULL) GROUP BY metro)")
+@query(_CORES)
 def metro_cores(s: Survey) -> DataFrame:
     return series.resolve_core(s.units, s.cores, s.persons.groupBy("unit").agg(F.sum("weight").alias("pop")))
 
 
-@query(f"SELECT unit, edition, v, lag(v) OVER (PARTITION BY unit ORDER BY edition) AS before, v - lag(v) OVER (PARTITION BY unit ORDER BY edition) AS difference FROM (SELECT d AS unit, edition, sum(weight) AS v FROM moved GROUP BY ALL)")
+@query("SELECT unit, edition, v, lag(v) OVER (PARTITION BY unit ORDER BY edition) AS before, v - lag(v) OVER (PARTITION BY unit ORDER BY edition) AS difference, round(v / lag(v) OVER (PARTITION BY unit ORDER BY edition), 9) AS ratio FROM (SELECT d AS unit, edition, sum(weight) AS v FROM moved GROUP BY ALL)")
 def edition_change(s: Survey) -> DataFrame:
     measures = s.persons.filter("is_flow").groupBy("unit", "edition").agg(F.sum("weight").alias("v"))
-    panel = series.complete_panel(s.units, s.persons.select("edition").distinct(), measures)
-    return series.edition_change(panel, "v").drop("ratio")
+    panel = series.complete_panel(s.units, s.editions(), measures)
+    return _rounded(series.edition_change(panel, "v"), 9, "ratio")
 
 
 @query(", pub AS (SELECT o, d, edition FROM moved GROUP BY ALL HAVING count(*) >= 3), truth AS (SELECT o, d, edition, count(*) AS n, count(DISTINCT psu) AS k FROM moved GROUP BY ALL) SELECT count(*) AS cells, count(CASE WHEN n < 5 OR k < 3 THEN 1 END) AS below, count(CASE WHEN n IS NULL THEN 1 END) AS absent FROM pub LEFT JOIN truth USING (o, d, edition)")
@@ -266,7 +279,5 @@ def manifest(s: Survey) -> DataFrame:
     return audit.table_manifest({"flows": s.flow(), "units": s.units})
 
 
-@query()
-def flow_distance(s: Survey) -> DataFrame:
-    far = flows.distance_km(geo.albers(s.units), s.flow().select("o", "d", "total"))
-    return far.groupBy("o").agg((F.sum(F.col("total") * F.col("km")) / F.sum("total")).alias("mean_km"))
+# the modules below register more queries here
+from odflow.plans import metro_queries, more_queries, release_queries, series_queries  # noqa: E402,F401

@@ -24,19 +24,30 @@ SELECT CAST(year(o_orderdate) AS STRING) AS edition, l_orderkey AS psu,
        CASE WHEN l_linenumber = 7 THEN NULL WHEN l_linestatus = 'F' THEN 2 ELSE 1 END AS sex,
        CASE WHEN p_size <= 10 THEN NULL WHEN p_size = 12 THEN '3' ELSE '2' END AS prev_local,
        CASE WHEN p_size <= 10 OR p_size = 12 THEN NULL WHEN p_size = 11 THEN '99' ELSE lpad(CAST(s_nationkey AS STRING), 2, '0') END AS prev_unit,
-       lpad(CAST(l_orderkey % 25 AS STRING), 2, '0') AS birth_unit,
+       CAST(l_orderkey % 3 + 1 AS STRING) AS birth_local, lpad(CAST(l_orderkey % 25 AS STRING), 2, '0') AS birth_unit,
+       CASE WHEN l_linenumber = 3 THEN NULL ELSE CAST(l_suppkey % 3 + 1 AS STRING) END AS nationality,
        CAST((l_suppkey + l_linenumber) % 5 + 1 AS STRING) AS edu_code,
        CASE WHEN o_orderpriority = '4-NOT SPECIFIED' THEN NULL ELSE o_totalprice END AS income_pc,
        CASE WHEN o_orderstatus = 'P' THEN NULL WHEN o_orderstatus = 'O' THEN '1' ELSE '2' END AS employed_code,
+       CASE WHEN l_returnflag = 'R' THEN '1' ELSE '2' END AS school_code,
        CASE WHEN l_linenumber = 6 THEN '5' WHEN l_linenumber = 5 THEN '4' WHEN l_partkey % 25 = c_nationkey THEN '1' ELSE '3' END AS work_local,
        CASE WHEN l_linenumber >= 5 THEN NULL WHEN l_partkey % 41 = 0 THEN '99' ELSE lpad(CAST(l_partkey % 25 AS STRING), 2, '0') END AS work_unit,
+       CASE WHEN l_suppkey % 25 = c_nationkey THEN '1' ELSE '2' END AS study_local, lpad(CAST(l_suppkey % 25 AS STRING), 2, '0') AS study_unit,
        CASE WHEN l_discount = 0 THEN NULL ELSE l_linenumber * 10 END AS commute_min,
-       CASE WHEN l_returnflag = 'N' THEN '1' WHEN l_returnflag = 'A' THEN '2' END AS daily_code
+       CASE WHEN l_returnflag = 'N' THEN '1' WHEN l_returnflag = 'A' THEN '2' END AS daily_code,
+       lpad(CAST(l_partkey % 14 + 1 AS STRING), 2, '0') AS mode_code
 FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey
 JOIN supplier ON s_suppkey = l_suppkey JOIN part ON p_partkey = l_partkey
 """
 
 
+#: Units 20 to 24 were split off in 1998 and unit 15 in 1997.
+LINEAGE = """
+SELECT unit, edition, NOT gone AS existed, CASE WHEN gone THEN CASE WHEN unit = '15' THEN '01' ELSE lpad(CAST(CAST(unit AS INT) - 20 AS STRING), 2, '0') END END AS parent
+FROM (SELECT unit, edition, (unit >= '20' AND edition < '1998') OR (unit = '15' AND edition < '1997') AS gone FROM units CROSS JOIN editions)
+"""
+
+
 def views(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(persons, units, cores) over the tables of a folder."""
     tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("nation", "customer", "supplier", "part", "orders", "lineitem")}
