@@ -3,8 +3,9 @@
 A page is a sequence of words and tags. Words score positive and tags negative; weights come from labelled pages (those
 that mark their article with an ``article`` or ``main`` element): a tag costs the more, the oftener it stands outside of
 articles, and a word gains by how much oftener words of the block element around it stand in articles. A linear scan finds
-the contiguous region of highest score on every page, whether it has such elements or not; blocks that are boilerplate
-by their element or name are left out of it.
+the contiguous region of highest score on every page, whether it has such elements or not. Blocks inside it are left out if
+labelled pages show their class or id outside of articles only, or, for names that no labelled page shows, if their element or
+name says that they are boilerplate.
 """
 
 from __future__ import annotations
@@ -39,14 +40,16 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"'
 _NAME = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 
 
-def parse(page: str) -> list[tuple[str, str, bool, bool, str]]:
+def parse(page: str, names: frozenset = frozenset(), seen: tuple[Counter, Counter] | None = None) -> list[tuple[str, str, bool, bool, str]]:
     """(tag or '', text, apart, in article, block) in page order: tags as name or /name, texts with the block element around them.
 
     Unclosed elements end with their parent; a block that is apart ends at its own end tag, or at an end tag of an
-    element around it.
+    element around it. Elements with a class or id in ``names`` are apart. ``seen`` counts classes and ids of elements in or
+    around an article, and of all others.
     """
     out: list[tuple[str, str, bool, bool, str]] = []
     stack: list[tuple[str, bool]] = []  # element, whether apart
+    around: list[list[str]] = []  # classes and ids of the open elements
     depth, inside, at, n = 0, 0, 0, len(page)
     while at < n:
         m = _TOKEN.match(page, at)
@@ -62,6 +65,7 @@ def parse(page: str) -> list[tuple[str, str, bool, bool, str]]:
             if any(e == name for e, _ in stack):
                 while stack:
                     e, apart = stack.pop()
+                    around.pop()
                     depth -= apart
                     inside -= e in ("article", "main")
                     if e == name:
@@ -69,18 +73,27 @@ def parse(page: str) -> list[tuple[str, str, bool, bool, str]]:
             out.append(("/" + name, "", depth > 0, inside > 0, ""))
             continue
         apart = name in APART or (name == "header" and not inside)
+        own: list[str] = []
         for key, a, b, c in _NAME.findall(m[3]):
             value = a or b or c
+            if key.lower() in ("class", "id"):
+                own += value.lower().split()
             apart |= key.lower() == "hidden" or (key.lower() == "aria-hidden" and value == "true")
             apart |= value.lower() in ROLES if key.lower() == "role" else bool(value and APART_NAME.search(value))
+        apart |= any(t in names for t in own)
         if name in ("html", "body", "article", "main"):
             apart = False
+        if seen is not None:
+            seen[0 if inside else 1].update(own)
+            if name in ("article", "main") and not inside:
+                seen[0].update(own + [t for tokens in around for t in tokens])
         out.append((name, "", depth > 0 or apart, inside > 0, ""))
         if name in RAW:
             end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
             at = end.end() if end else n
         elif name not in VOID and not m[3].rstrip().endswith("/"):
             stack.append((name, apart))
+            around.append(own)
             depth += apart
             inside += name in ("article", "main")
     return out
@@ -91,8 +104,13 @@ class Model:
 
     def __init__(self, pages: list[str]):
         inside, outside, word_in, word_out = Counter(), Counter(), Counter(), Counter()
+        seen = (Counter(), Counter())
         for page in pages:
-            tokens = parse(page)
+            parse(page, seen=seen)
+        #: classes and ids that labelled pages show outside of articles only
+        self.names = frozenset(t for t, n in seen[1].items() if n >= 5 and t not in seen[0])
+        for page in pages:
+            tokens = parse(page, self.names)
             if any(t[0] == "article" or t[0] == "main" for t in tokens):
                 for tag, text, apart, article, block in tokens:
                     if tag:
@@ -106,12 +124,12 @@ class Model:
             self.cost[tag] = min(max(odds, 0.05), 8.0)
         #: of words in blocks that no labelled page shows the gain is 1; the most a word loses is half of that
         self.gain = {b: min(max(math.log((word_in[b] + 0.5) / (word_out[b] + 0.5)), -0.5), 1.0) for b in word_in.keys() | word_out.keys()}
-        #: of tags that no labelled page shows: blocks cost more than inline elements
-        self.other_block, self.other = 1.0, 0.1
+        #: of tags that no labelled page shows: blocks cost more than inline elements, a cell of one word still gains
+        self.other_block, self.other = 0.3, 0.1
 
     def text(self, page: str) -> str:
         """Main text; empty if there is none."""
-        tokens = parse(page)
+        tokens = parse(page, self.names)
         best, best_at, total, start = 0.0, (0, 0), 0.0, 0
         for i, (tag, text, apart, _, block) in enumerate(tokens):
             if tag:

@@ -106,7 +106,8 @@ def _source(docs: DataFrame) -> DataFrame:
 
 def _names(sets: list[np.ndarray]) -> np.ndarray:
     """A 64-bit name of each set: equal sets, equal names."""
-    return np.array([_mix(s.sum() ^ U(len(s)), _mix(s, U(77)).sum()) if len(s) else U(0) for s in sets], U)
+    sums = lambda of: np.array([of(s).sum() if len(s) else 0 for s in sets], U)
+    return _mix(sums(lambda s: s) ^ np.array([len(s) for s in sets], U), sums(lambda s: _mix(s, U(77))))
 
 
 def _sketched(docs: DataFrame, words: int) -> DataFrame:

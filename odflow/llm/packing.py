@@ -147,6 +147,12 @@ class SumOfSquares:
         self.open.setdefault(level, []).append(window)
         return None
 
+    def reopen(self, window: list) -> None:
+        """Take a window that is not full."""
+        level = sum(p[2] for p in window)
+        self.count[level] += 1
+        self.open.setdefault(level, []).append(window)
+
     def flush(self) -> list[list]:
         """The open windows, fullest first; afterwards none is open."""
         out = [w for level in sorted(self.open, reverse=True) for w in self.open[level]]
@@ -198,7 +204,10 @@ def pack_sum_of_squares(docs: DataFrame, path: str, pattern: str, size: int = 10
                         close(full)
                     elif packer.count.sum() > most_open:
                         for window in topped_up(packer.flush(), size):
-                            close(window)
+                            if sum(p[2] for p in window) == size:
+                                close(window)
+                            else:
+                                packer.reopen(window)
             yield rows()
         for window in topped_up(packer.flush(), size):
             close(window)
@@ -240,9 +249,12 @@ def pack_best_fit(docs: DataFrame, path: str, pattern: str, size: int = 1024, en
                 else:
                     close(own)
             if last or 4 * sum(p[2] for w in back for p in w) > block:
-                for own in topped_up(back, size):
-                    close(own)
-                back = []
+                topped, back = topped_up(back, size), []
+                for own in topped:
+                    if last or sum(p[2] for p in own) == size:
+                        close(own)
+                    else:
+                        back.append(own)
             waiting = [p for w in back for p in w]
             c = list(zip(*rows)) if rows else [[]] * 5
             kinds = (pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()))

@@ -66,4 +66,36 @@ QUERIES = {
     )
 } | {"pipeline": corpus_pipeline.run}
 
-SQL: dict[str, str] = {}
+_SPACES = r"[\x20\x09-\x0D]+"
+_QUARTILES = ", ".join(f"quantile_disc({x}, 0.25) AS {x}1, quantile_disc({x}, 0.75) AS {x}3" for x in "abc")
+_FENCES = ", ".join(f"{x}1 - 6.0 * ({x}3 - {x}1 + {slack}) AS {x}_lo, {x}3 + 6.0 * ({x}3 - {x}1 + {slack}) AS {x}_hi, {x}1, {x}3" for x, slack in (("a", 0.05), ("b", 0.5), ("c", 0.01)))
+_BEYOND = " OR ".join(f"coalesce(r.{x} > w.{x}_hi AND (r.{x} > o.{x}_hi OR o.{x}3 > w.{x}_hi), false)" for x in "abc")
+
+#: SQL twins. Quartiles of small groups are exact in both; the order in which equal texts stand does not matter.
+SQL: dict[str, str] = {
+    "op6_quality": rf"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS t FROM documents),
+x AS (SELECT rid, doc_id, lang, source, list_filter(string_split_regex(t, '{_SPACES}'), lambda e: e <> '') AS words, CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  list_filter(string_split(t, chr(10)), lambda e: regexp_matches(e, '[^\x20\x09-\x0D]')) AS lines FROM d),
+k AS (SELECT rid, unnest(range(1, len(words) - 1)) AS i, words FROM x),
+g AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, words[i], words[i + 1], words[i + 2]) AS n FROM k),
+rep AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM g WHERE n > 1) GROUP BY rid),
+f AS (SELECT x.rid, doc_id, lang, source, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars, n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words FROM x LEFT JOIN rep ON rep.rid = x.rid),
+r AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, n_symbols / nullif(n_words, 0) AS a, word_chars / nullif(n_words, 0) AS b, n_dup_lines / nullif(n_words, 0) AS c FROM f),
+o AS (SELECT lang, source, {_FENCES} FROM (SELECT lang, source, {_QUARTILES} FROM r WHERE NOT base_failed GROUP BY lang, source)),
+w AS (SELECT lang, {_FENCES} FROM (SELECT lang, {_QUARTILES} FROM r WHERE NOT base_failed GROUP BY lang))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT ({_BEYOND} OR coalesce(r.b < w.b_lo AND (r.b < o.b_lo OR o.b1 < w.b_lo), false)) AS kept
+FROM r LEFT JOIN o ON r.lang IS NOT DISTINCT FROM o.lang AND r.source IS NOT DISTINCT FROM o.source LEFT JOIN w ON r.lang IS NOT DISTINCT FROM w.lang""",
+    "op9_near_dedup": rf"""WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_SPACES}'), lambda e: e <> '') AS words FROM documents),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(words) = 1 THEN words[1] ELSE unnest(list_transform(range(1, greatest(len(words), 2)), lambda i: words[i] || ' ' || words[i + 1])) END AS g FROM d WHERE len(words) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+-- of two sets that are alike, the prefixes in one order of all shingles share one
+f AS (SELECT g, count(*) AS k FROM s GROUP BY g),
+p AS (SELECT s.doc_id, s.g, n.n FROM s JOIN f USING (g) JOIN n USING (doc_id) QUALIFY row_number() OVER (PARTITION BY s.doc_id ORDER BY f.k, s.g) <= n.n - ceil(0.8 * n.n) + 1),
+c AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb FROM p a JOIN p b ON a.g = b.g AND a.doc_id < b.doc_id WHERE 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)),
+l AS (SELECT c.a, c.b FROM c JOIN s x ON x.doc_id = c.a JOIN s y ON y.doc_id = c.b AND y.g = x.g GROUP BY c.a, c.b, na, nb HAVING 100 * count(*) >= 80 * (na + nb - count(*))),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach AS (SELECT doc_id, doc_id AS r FROM n UNION SELECT reach.doc_id, e.b FROM reach JOIN e ON e.a = reach.r WHERE e.b < reach.doc_id OR e.b > reach.doc_id)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(m.r, d.doc_id) AS component_id, coalesce(m.r, d.doc_id) = d.doc_id AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, min(r) AS r FROM reach GROUP BY doc_id) m USING (doc_id)""",
+}
