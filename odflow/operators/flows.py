@@ -56,24 +56,32 @@ def level_indicators(flows: DataFrame) -> DataFrame:
 
 
 def unit_indicators(persons: DataFrame, dim: DataFrame, frame: DataFrame, min_age: int = 5) -> DataFrame:
-    """A row for every unit of ``dim``: pop, pop5, inflow, outflow, net, rates per 1,000, effectiveness, se_net."""
-    here = persons.groupBy("unit").agg(
-        F.sum("weight").alias("pop"), F.sum(F.when(F.col("age") >= min_age, F.col("weight"))).alias("pop5"),
-        F.sum(F.when((F.col("prev_local") == "2") & (F.col("prev_unit") == "99"), F.col("weight"))).alias("unknown_origin"),
-        F.sum(F.when(F.col("prev_local") == "3", F.col("weight"))).alias("international"),
+    """A row for every unit of ``dim``: pop, pop5, inflow, outflow, net, rates per 1,000, effectiveness, se_net.
+
+    A person counts at the unit of residence and a mover at the one left too, so persons are read once. Variances are those of
+    ``cell_variance``: households without a mover add 0.
+    """
+    w, zero = F.col("weight"), F.lit(0.0)
+    part = lambda p: F.when(p, w).otherwise(zero)
+    here = F.struct(
+        F.col("unit"), w.alias("pop"), part(F.col("age") >= min_age).alias("pop5"), part((F.col("prev_local") == "2") & (F.col("prev_unit") == "99")).alias("unknown_origin"),
+        part(F.col("prev_local") == "3").alias("international"), part(F.col("is_flow")).alias("i"), zero.alias("e"),
     )
-    moved = persons.filter("is_flow")
-    into = cell_variance(moved, ["unit"], frame).select("unit", F.col("total").alias("inflow"), F.col("variance").alias("v_in"))
-    out = cell_variance(moved.select(F.col("prev_unit").alias("from"), "stratum", "psu", "weight"), ["from"], frame)
-    out = out.select(F.col("from").alias("unit"), F.col("total").alias("outflow"), F.col("variance").alias("v_out"))
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0)).alias(c)
-    rows = dim.select("unit").join(here, "unit", "left").join(into, "unit", "left").join(out, "unit", "left")
-    rows = rows.select("unit", *map(zero, ("pop", "pop5", "unknown_origin", "international", "inflow", "outflow", "v_in", "v_out")))
+    left = F.when(F.col("is_flow"), F.struct(F.col("prev_unit").alias("unit"), *(zero.alias(c) for c in ("pop", "pop5", "unknown_origin", "international", "i")), w.alias("e")))
+    plain = ("pop", "pop5", "unknown_origin", "international")
+    each = persons.select("stratum", "psu", F.explode(F.array(here, left)).alias("x")).filter("x is not null").select("stratum", "psu", "x.*")
+    by_psu = each.groupBy("unit", "stratum", "psu").agg(*(F.sum(c).alias(c) for c in (*plain, "i", "e")))
+    squares = [F.sum(F.col(c) * F.col(c)).alias(f"{c}2") for c in ("i", "e")]
+    by_stratum = by_psu.groupBy("unit", "stratum").agg(*(F.sum(c).alias(c) for c in (*plain, "i", "e")), *squares)
+    n = F.col("n_h")
+    spread = lambda c: F.sum(F.when(n > 1, n / (n - 1) * (F.col(f"{c}2") - F.col(c) * F.col(c) / n)).otherwise(zero))
+    sums = by_stratum.join(frame, "stratum", "left").groupBy("unit").agg(*(F.sum(c).alias(c) for c in plain), F.sum("i").alias("inflow"), F.sum("e").alias("outflow"), (spread("i") + spread("e")).alias("v"))
+    rows = dim.select("unit").join(sums, "unit", "left").fillna(0.0)
     total, net = F.col("inflow") + F.col("outflow"), F.col("inflow") - F.col("outflow")
     return rows.select(
-        "unit", "pop", "pop5", "unknown_origin", "international", "inflow", "outflow", net.alias("net"),
+        "unit", *plain, "inflow", "outflow", net.alias("net"),
         F.when(F.col("pop5") > 0, 1000 * net / F.col("pop5")).alias("net_rate"), F.when(total > 0, net / total).alias("effectiveness"),
-        F.sqrt(F.greatest(F.col("v_in") + F.col("v_out"), F.lit(0.0))).alias("se_net"),
+        F.sqrt(F.greatest(F.col("v"), zero)).alias("se_net"),
     )
 
 
@@ -207,20 +215,27 @@ def multiplicative_components(flows: DataFrame) -> DataFrame:
     return j.select("o", "d", "total", (F.col("ro") / F.col("t")).alias("o_share"), (F.col("cd") / F.col("t")).alias("d_share"), (F.col("total") * F.col("t") / (F.col("ro") * F.col("cd"))).alias("od_ratio"))
 
 
-def ipf(seed: DataFrame, rows: DataFrame, cols: DataFrame, rounds: int = 50, tolerance: float = 1e-9, cut_every: int = 1) -> DataFrame:
+def ipf(seed: DataFrame, rows: DataFrame, cols: DataFrame, rounds: int = 50, tolerance: float = 1e-9, cut_every: int = 5) -> DataFrame:
     """Seed (o, d, total) fitted to margins rows (o, target) and cols (d, target); zero cells stay zero.
 
-    Two aggregates and joins a round; only the largest relative error reaches the driver. Each round names its input four times, so lineage is cut in every round, by checkpoint(),
-    which a lost executor survives.
+    Cells of which an end has no target are left out. The seed stays as it is, and a factor for each end is fitted in turn: a
+    round is two joins with a vector and two aggregates. Seed, margins and every ``cut_every`` rounds the factors are
+    checkpointed, which a lost executor survives; then the largest relative error of both margins reaches the driver.
     """
-    x = seed.select("o", "d", F.col("total").cast("double").alias("total")).filter("total > 0")
+    rows, cols = rows.select("o", "target").checkpoint(), cols.select("d", "target").checkpoint()
+    known = seed.select("o", "d", F.col("total").cast("double").alias("total")).filter("total > 0")
+    x = known.join(rows.select("o"), "o", "left_semi").join(cols.select("d"), "d", "left_semi").select("o", "d", "total").checkpoint()
+    r, c = rows.select("o", F.lit(1.0).alias("r")), cols.select("d", F.lit(1.0).alias("c"))
     for k in range(rounds):
-        for end, target in (("o", rows), ("d", cols)):
-            margin = x.groupBy(end).agg(F.sum("total").alias("m")).join(target.select(end, "target"), end)
-            x = x.join(margin, end).select("o", "d", (F.col("total") * F.col("target") / F.col("m")).alias("total"))
-        if k % cut_every == cut_every - 1 or k == rounds - 1:
-            x = x.checkpoint()
-            miss = x.groupBy("o").agg(F.sum("total").alias("m")).join(rows, "o").agg(F.max(F.abs(F.col("m") / F.col("target") - 1))).first()[0]
-            if miss is None or miss <= tolerance:
+        cut = k % cut_every == cut_every - 1 or k == rounds - 1
+        r = x.join(c, "d").groupBy("o").agg(F.sum(F.col("total") * F.col("c")).alias("m")).join(rows, "o").select("o", (F.col("target") / F.col("m")).alias("r"))
+        r = r.checkpoint() if cut else r
+        c = x.join(r, "o").groupBy("d").agg(F.sum(F.col("total") * F.col("r")).alias("m")).join(cols, "d").select("d", (F.col("target") / F.col("m")).alias("c"))
+        if cut:
+            c = c.checkpoint()
+            fit = x.join(r, "o").join(c, "d").withColumn("f", F.col("total") * F.col("r") * F.col("c"))
+            miss = lambda end, target: fit.groupBy(end).agg(F.sum("f").alias("f")).join(target, end).agg(F.max(F.abs(F.col("f") / F.col("target") - 1)).alias("e"))  # noqa: B023,E731
+            worst = miss("o", rows).unionByName(miss("d", cols)).agg(F.max("e")).first()[0]
+            if worst is None or worst <= tolerance:
                 break
-    return x
+    return x.join(r, "o").join(c, "d").select("o", "d", (F.col("total") * F.col("r") * F.col("c")).alias("total"))

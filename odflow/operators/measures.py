@@ -50,7 +50,7 @@ def nearest(points: DataFrame, targets: DataFrame, cell: float, levels: int = 5,
     for k in range(levels):
         side = cell * factor**k
         square = lambda df, x, y: df.withColumns({"_i": F.floor(F.col(x) / side), "_j": F.floor(F.col(y) / side)})  # noqa: B023,E731
-        around = square(rest, "x", "y").withColumn("_i", F.col("_i") + F.explode(near)).withColumn("_j", F.col("_j") + F.explode(near))
+        around = square(rest, "x", "y").withColumn("_di", F.explode(near)).withColumn("_dj", F.explode(near)).select("point", "x", "y", (F.col("_i") + F.col("_di")).alias("_i"), (F.col("_j") + F.col("_dj")).alias("_j"))
         met = around.join(square(targets.select("target", "tx", "ty"), "tx", "ty"), ["_i", "_j"]).withColumn("distance", far).filter(F.col("distance") <= side)
         found.append(met.groupBy("point").agg(F.min(F.struct("distance", "target")).alias("best")))
         rest = rest.join(found[-1], "point", "left_anti")

@@ -201,9 +201,9 @@ def multiplicative_components(s: Survey) -> DataFrame:
 @query()
 def fitted_flows(s: Survey) -> DataFrame:
     """Flows fitted to the margins of their transpose."""
-    f = s.flow().select("o", "d", "total")
+    f = s.flow().select("o", "d", "total").checkpoint()
     rows, cols = f.groupBy("d").agg(F.sum("total").alias("target")).withColumnRenamed("d", "o"), f.groupBy("o").agg(F.sum("total").alias("target")).withColumnRenamed("o", "d")
-    return flows.ipf(f, rows, cols, rounds=10)
+    return flows.ipf(f, rows, cols)
 
 
 def _classified(s: Survey) -> DataFrame:

@@ -32,6 +32,21 @@ def read_fixed_width(spark: SparkSession, path: str, layout: Sequence[tuple[str,
     return lines.select(*columns)
 
 
+def reject_short(lines: DataFrame, min_length: int) -> tuple[DataFrame, DataFrame]:
+    """(lines long enough, one row of counts: good, bad) of a text column ``value``; null is short."""
+    ok = F.coalesce(F.length("value") >= min_length, F.lit(False))
+    return lines.filter(ok), lines.agg(F.count(F.when(ok, 1)).alias("good"), F.count(F.when(~ok, 1)).alias("bad"))
+
+
+def read_parts(spark: SparkSession, paths: Sequence[str], expected: int) -> DataFrame:
+    """One table from Parquet parts; an error if not every expected part is there with rows."""
+    df = spark.read.parquet(*paths)
+    found = df.select(F.regexp_replace(F.input_file_name(), "/[^/]*$", "").alias("part")).distinct().count()
+    if len(set(paths)) != expected or found != expected:
+        raise ValueError(f"{found} of {expected} parts have rows")
+    return df
+
+
 def patch_rows(base: DataFrame, patch: DataFrame, key: str) -> DataFrame:
     """Rows whose key was issued again come from the patch alone."""
     return base.join(patch.select(key).distinct(), key, "left_anti").select(*base.columns).unionByName(patch.select(*base.columns))
@@ -46,10 +61,20 @@ def write_table(df: DataFrame, root: str, name: str) -> None:
     df.write.mode("overwrite").parquet(f"{root}/{name}")
 
 
-def write_row_arrays(df: DataFrame, path: str, order: Sequence[str]) -> None:
-    """One JSON array a line, in the order of keys."""
-    df.orderBy(*order).select(F.to_json(F.array(*(F.col(c).cast("string") for c in df.columns)))).write.mode("overwrite").text(path)
+def write_row_arrays(df: DataFrame, path: str, order: Sequence[str], digits: int | None = None) -> None:
+    """One JSON array a line, in the order of keys; numbers stay numbers, fractions are rounded, nulls are null."""
+    def cell(name: str, kind: str):
+        c = F.round(name, digits) if digits is not None and kind in ("double", "float") else F.col(name)
+        # the value of a struct with one field, without its braces and name
+        text = F.to_json(F.struct(c.alias("v")), {"ignoreNullFields": "false"})
+        return F.substring(text, F.lit(6), F.length(text) - 6)
+
+    cells = [cell(n, k) for n, k in df.dtypes]
+    df.orderBy(*order).select(F.concat(F.lit("["), F.concat_ws(",", *cells), F.lit("]"))).write.mode("overwrite").text(path)
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").csv(path, header=True)
+def write_csv(df: DataFrame, path: str, attribution: str | None = None, keep=None) -> None:
+    """CSV with a header, of the rows where ``keep`` holds; the attribution is a column of its own."""
+    rows = df.filter(keep) if keep is not None else df
+    rows = rows.withColumn("source", F.lit(attribution)) if attribution else rows
+    rows.write.mode("overwrite").csv(path, header=True)
