@@ -216,23 +216,18 @@ def pack_sum_of_squares(docs: DataFrame, path: str, pattern: str, size: int = 10
     return _source(docs).mapInArrow(pieces, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
-def pack_best_fit(docs: DataFrame, path: str, pattern: str, size: int = 1024, end: int = 0, block: int = 1 << 22) -> DataFrame:
-    """One row a window: sequence_id, ids (binary, little-endian unsigned 32-bit, without padding), cu_seqlens
-    (cumulative segment lengths from 0), doc_ids and starts of the segments.
+_PACKED = "sequence_id long, ids binary, cu_seqlens array<int>, doc_ids array<long>, starts array<long>"
+_MATRIX = "sequence_id long, input_ids binary, position_ids binary, cu_seqlens array<int>, doc_ids array<long>, starts array<long>"
 
-    Documents are taken in blocks of about ``block`` ids; within a block by best fit decreasing. Windows less than
-    31/32 full go back to the next block as pieces; if those hold more than a quarter of a block, or at a partition's end,
-    the fullest are topped up with the pieces of the emptiest, cut to fit. So memory is a block and a quarter, and only a
-    partition's last window stays part full. Null text is empty: one id, ``end``. Repeated rows are packed each, null
-    doc_id stays null, doc_id is returned as a long; an empty table gives no row. A token-id matrix and position resets follow
-    by ``matrix``.
-    """
+
+def _windows(path: str, pattern: str, size: int, end: int, block: int) -> Callable:
+    """The work of ``pack_best_fit`` on a partition's batches."""
 
     def windows(batches):
         encode, number = library_encoder(path, pattern), TaskContext.get().partitionId() << 32
         waiting: list[tuple] = []  # (doc, start, length, tokens, ids)
 
-        def emit(last: bool) -> pa.RecordBatch:
+        def emit(last: bool) -> Iterator[pa.RecordBatch]:
             nonlocal number, waiting
             rows, back = [], []
 
@@ -258,7 +253,8 @@ def pack_best_fit(docs: DataFrame, path: str, pattern: str, size: int = 1024, en
             waiting = [p for w in back for p in w]
             c = list(zip(*rows)) if rows else [[]] * 5
             kinds = (pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()))
-            return pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(c, kinds)], ["sequence_id", "ids", "cu_seqlens", "doc_ids", "starts"])
+            made = pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(c, kinds)], ["sequence_id", "ids", "cu_seqlens", "doc_ids", "starts"])
+            return (made.slice(at, 512) for at in range(0, max(1, made.num_rows), 512))
 
         held = 0
         for batch in slices(batches, "text"):
@@ -266,16 +262,36 @@ def pack_best_fit(docs: DataFrame, path: str, pattern: str, size: int = 1024, en
                 waiting.append((doc, 0, len(ids), len(ids), ids))
                 held += len(ids)
                 if held >= block:
-                    yield emit(False)
+                    yield from emit(False)
                     held = 0
-        yield emit(True)
+        yield from emit(True)
 
-    return _source(docs).mapInArrow(windows, "sequence_id long, ids binary, cu_seqlens array<int>, doc_ids array<long>, starts array<long>")
+    return windows
 
 
-def matrix(packed: DataFrame, size: int = 1024, pad: int = 0) -> DataFrame:
-    """packed with ids as a row of the id matrix: input_ids (padded to ``size``) and position_ids (from 0 again in each
-    segment, 0 in the padding), both binary, little-endian unsigned 32-bit; cu_seqlens, doc_ids and starts as they are."""
+def pack_best_fit(docs: DataFrame, path: str, pattern: str, size: int = 1024, end: int = 0, block: int = 1 << 22) -> DataFrame:
+    """One row a window: sequence_id, ids (binary, little-endian unsigned 32-bit, without padding), cu_seqlens
+    (cumulative segment lengths from 0), doc_ids and starts of the segments.
+
+    Documents are taken in blocks of about ``block`` ids; within a block by best fit decreasing. Windows less than
+    31/32 full go back to the next block as pieces; if those hold more than a quarter of a block, or at a partition's end,
+    the fullest are topped up with the pieces of the emptiest, cut to fit. So memory is a block and a quarter, and only a
+    partition's last window stays part full. Null text is empty: one id, ``end``. Repeated rows are packed each, null
+    doc_id stays null, doc_id is returned as a long; an empty table gives no row. A token-id matrix and position resets follow
+    by ``matrix``.
+    """
+
+    return _source(docs).mapInArrow(_windows(path, pattern, size, end, block), _PACKED)
+
+
+def pack_matrix(docs: DataFrame, path: str, pattern: str, size: int = 1024, end: int = 0, block: int = 1 << 22, pad: int = 0) -> DataFrame:
+    """``matrix`` of ``pack_best_fit`` in one pass: one Python worker a task packs and pads."""
+    windows, padded = _windows(path, pattern, size, end, block), _padded(size, pad)
+    return _source(docs).mapInArrow(lambda batches: padded(windows(batches)), _MATRIX)
+
+
+def _padded(size: int, pad: int) -> Callable:
+    """The work of ``matrix`` on batches."""
 
     def rows(batches):
         for batch in batches:
@@ -290,7 +306,13 @@ def matrix(packed: DataFrame, size: int = 1024, pad: int = 0) -> DataFrame:
             columns = [batch.column("sequence_id"), pa.array(ids, pa.binary()), pa.array(places, pa.binary()), *(batch.column(c) for c in ("cu_seqlens", "doc_ids", "starts"))]
             yield pa.RecordBatch.from_arrays(columns, ["sequence_id", "input_ids", "position_ids", "cu_seqlens", "doc_ids", "starts"])
 
-    return packed.mapInArrow(rows, "sequence_id long, input_ids binary, position_ids binary, cu_seqlens array<int>, doc_ids array<long>, starts array<long>")
+    return rows
+
+
+def matrix(packed: DataFrame, size: int = 1024, pad: int = 0) -> DataFrame:
+    """packed with ids as a row of the id matrix: input_ids (padded to ``size``) and position_ids (from 0 again in each
+    segment, 0 in the padding), both binary, little-endian unsigned 32-bit; cu_seqlens, doc_ids and starts as they are."""
+    return packed.mapInArrow(_padded(size, pad), _MATRIX)
 
 
 def digest(rows: DataFrame) -> DataFrame:

@@ -23,8 +23,8 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    packed = packing.pack_best_fit(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
-    return packing.digest(stored(packing.matrix(packed)))
+    packed = packing.pack_matrix(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    return packing.digest(stored(packed))
 
 
 def op4_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
