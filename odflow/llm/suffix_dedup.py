@@ -204,8 +204,10 @@ def repeated_spans(docs: DataFrame, min_bytes: int = 100, filter_bits: int = 1 <
 
     A byte is in a span if a string of ``min_bytes`` (64 to 4096) bytes over it also starts earlier: in a row of smaller
     doc_id, or earlier in the same one; overlaps count. Null text is empty; null doc_id sorts first. Rows that repeat a
-    doc_id with the same text are one document: neither removes the other. Other columns are ignored. ``filter_bits`` (a
-    power of two) bounds each of three broadcast filters.
+    doc_id with the same text are one document: neither removes the other. Rows that repeat it with different texts count as
+    versions of one document, ordered by start alone: a string that two versions hold at the same start stays in both, and a
+    repeated one may stay in a version where another keeps a first one at the same start. An empty table gives no row. Other
+    columns are ignored. ``filter_bits`` (a power of two) bounds each of three broadcast filters.
     """
     if not 64 <= min_bytes <= 4096 or filter_bits & (filter_bits - 1) or not 1 << 10 <= filter_bits <= 1 << 31:
         raise ValueError("min_bytes is 64 to 4096, filter_bits a power of two of at most 2**31")
