@@ -38,6 +38,23 @@ def repeated(pairs):
     return pairs.selectExpr("doc", "pos", "rank", "count(*) OVER (PARTITION BY rank) AS n").filter("n > 1").drop("n")
 
 
+def rounds(docs, goals=(32, 64, 100)):
+    """(length, pairs whose string of that length repeats) for growing lengths; docs are (key, text)."""
+    pairs, length = None, 0
+    for goal in goals:
+        if pairs is None:
+            new = docs.mapInArrow(positions, "doc long, pos int, rank long")
+        else:
+            further = pairs.select("doc", (F.col("pos") - (goal - length)).alias("pos"), F.col("rank").alias("next"))
+            new = pairs.join(further, ["doc", "pos"]).select("doc", "pos", F.xxhash64("rank", "next").alias("rank"))
+        pairs, length = stored(repeated(new)), goal
+        yield goal, pairs
+
+
+def keyed(docs):
+    return docs.select(F.col("doc_id").cast("long").alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+
+
 def shuffled(spark) -> int:
     stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
     return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
@@ -45,21 +62,14 @@ def shuffled(spark) -> int:
 
 def main(folder: str) -> None:
     spark = SparkSession.builder.master("local[8]").config("spark.driver.memory", "12g").config("spark.sql.shuffle.partitions", "128").config("spark.ui.enabled", "false").getOrCreate()
-    docs = table(spark, folder, "documents").select(F.col("doc_id").cast("long").alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+    docs = keyed(table(spark, folder, "documents"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0]
     print(f"texts: {size / 1e9:.3f} GB", flush=True)
-    before, pairs, length = 0, None, 0
-    for goal in (32, 64, 100):
-        start = time.time()
-        if pairs is None:
-            new = docs.mapInArrow(positions, "doc long, pos int, rank long")
-        else:
-            further = pairs.select("doc", (F.col("pos") - (goal - length)).alias("pos"), F.col("rank").alias("next"))
-            new = pairs.join(further, ["doc", "pos"]).select("doc", "pos", F.xxhash64("rank", "next").alias("rank"))
-        pairs, length = stored(repeated(new)), goal
+    before, start = shuffled(spark), time.time()
+    for goal, pairs in rounds(docs):
         rows, now = pairs.count(), shuffled(spark)
         print(f"length {goal}: {rows} positions repeat, shuffle {(now - before) / 1e9:.2f} GB, {(now - before) / size:.1f} x the texts, {time.time() - start:.0f} s", flush=True)
-        before = now
+        before, start = now, time.time()
 
 
 if __name__ == "__main__":
