@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from odflow.functions import recode as R
-from odflow.operators import audit, flows, panels, release, series
+from odflow.operators import audit, estimate, flows, measures, panels, release, series
 from odflow.plans.queries import QUERIES
 from odflow.sources import files
 from odflow.spec import EditionSpec, Limits
@@ -157,3 +157,26 @@ def test_loglinear_needs_two_by_two(spark):
 def test_empty_flows(spark):
     f = spark.createDataFrame([], "o string, d string, total double")
     assert flows.level_indicators(f).count() == 0 and flows.system_measures(f, 10.0).first()["moves"] is None
+
+
+def test_first_row_of_each_group_and_outer_pairs(spark):
+    df = spark.createDataFrame([("x", 1, 5.0), ("x", 2, 5.0), ("x", 3, 4.0), ("y", 9, None), ("y", 8, 1.0)], "k string, id int, v double")
+    got = measures.arg_top(df, ["k"], [F.col("v").desc_nulls_last(), F.col("id")])
+    assert sorted(map(tuple, got.collect())) == [("x", 1, 5.0), ("y", 8, 1.0)]
+    a = spark.createDataFrame([("p", "q", 2.0), ("q", "p", 1.0)], "o string, d string, total double")
+    b = spark.createDataFrame([("p", "q", 3.0), ("r", "p", 7.0)], "o string, d string, total double")
+    assert sorted(map(tuple, flows.outer_pairs(a, b).collect())) == [("p", "q", 2.0, 3.0), ("q", "p", 1.0, 0.0), ("r", "p", 0.0, 7.0)]
+
+
+def test_share_check_digit_and_classes(spark):
+    df = spark.createDataFrame([("a", 1.0, True), ("a", 3.0, False), ("a", 4.0, None), ("z", 0.0, True)], "k string, weight double, yes boolean")
+    got = df.groupBy("k").agg(estimate.weighted_share(F.col("yes")).alias("share"))
+    assert {r.k: r.share for r in got.collect()} == {"a": 12.5, "z": None}
+    codes = spark.createDataFrame([("110001",), ("355030",), ("000000",)], "c string")
+    assert [r[0] for r in codes.select(R.check_digit("c")).collect()] == ["5", "8", "0"]
+    cv = spark.createDataFrame([(None,), (15.0,), (15.1,), (30.0,), (30.1,)], "cv double")
+    assert [r[0] for r in cv.select(R.precision_class("cv")).collect()] == ["none", "good", "caution", "caution", "low"]
+    rows = [(True, "A", "A", "C", None), (True, "C", "A", "C", None), (True, "B", "A", "C", None), (False, None, "A", "C", "2"), (None, None, "A", "C", "5"), (False, None, "A", "C", "4"), (False, None, "A", "C", None)]
+    work = spark.createDataFrame(rows, "go boolean, work string, before string, core string, local string")
+    got = [r[0] for r in work.select(R.work_class("go", "work", "before", "core", "local")).collect()]
+    assert got == ["origin", "core", "other", "own", "several", "abroad", "unknown"]
