@@ -9,6 +9,7 @@ from odflow.functions import recode as R
 from odflow.operators import audit, estimate, flows, measures, series
 from odflow.plans.metro_queries import _METRO, _movers
 from odflow.plans.queries import _CLASSES, _E, _UNITS, Survey, _classified, _rounded, _variance, query
+from odflow.plans.views import read
 
 
 @query("""SELECT DISTINCT edu_code, age, sex, prev_local, prev_unit, unit, birth_unit, mode_code, CASE WHEN edu_code = '5' THEN NULL ELSE edu_code END AS known_edu, CASE WHEN lpad(mode_code, 3, '0') BETWEEN '007' AND '007' THEN 'foot' WHEN lpad(mode_code, 3, '0') BETWEEN '001' AND '009' THEN 'road' WHEN lpad(mode_code, 3, '0') BETWEEN '010' AND '012' THEN 'rail' END AS mode_class,
@@ -210,7 +211,7 @@ def medians(s: Survey) -> DataFrame:
 
 @query(", e AS (SELECT psu, count(CASE WHEN age >= 18 THEN 1 END) AS k FROM persons GROUP BY psu), h AS (SELECT o_orderkey AS psu, o_totalprice AS income FROM orders WHERE o_orderpriority <> '4-NOT SPECIFIED') SELECT unit, count(income) AS with_household, round(sum(income / nullif(k, 0)), 3) AS per_capita FROM persons LEFT JOIN h USING (psu) LEFT JOIN e USING (psu) GROUP BY unit")
 def per_capita_income(s: Survey) -> DataFrame:
-    h = s.spark.read.parquet(f"{s.sf_dir}/orders.parquet").filter("o_orderpriority <> '4-NOT SPECIFIED'").select(F.col("o_orderkey").alias("psu"), F.col("o_totalprice").alias("income"))
+    h = read(s.spark, s.sf_dir, "orders").filter("o_orderpriority <> '4-NOT SPECIFIED'").select(F.col("o_orderkey").alias("psu"), F.col("o_totalprice").alias("income"))
     people = measures.attach_household(measures.per_capita(s.persons, h, "income", F.col("age") >= 18), h)
     return _rounded(people.groupBy("unit").agg(F.count("income").alias("with_household"), F.sum("per_capita").alias("per_capita")), 3, "per_capita")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from odflow.functions import recode as R
 from odflow.operators import audit, estimate, flows, geo, release, series
-from odflow.plans.views import CORES, LINEAGE, PERSONS, UNITS, views
+from odflow.plans.views import CORES, LINEAGE, PERSONS, UNITS, read, views
 from odflow.spec import Limits
 
 QUERIES: dict = {}
@@ -42,7 +42,7 @@ class Survey:
 
     def editions(self) -> DataFrame:
         """The survey's editions, known from the orders table alone."""
-        return self.spark.read.parquet(f"{self.sf_dir}/orders.parquet").select(F.year("o_orderdate").cast("string").alias("edition")).distinct()
+        return read(self.spark, self.sf_dir, "orders").select(F.year("o_orderdate").cast("string").alias("edition")).distinct()
 
     def edition_flow(self) -> DataFrame:
         return self.persons.filter("is_flow").groupBy("edition", F.col("prev_unit").alias("o"), F.col("unit").alias("d")).agg(F.sum("weight").alias("total"))

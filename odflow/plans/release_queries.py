@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from odflow.operators import audit, estimate, flows, metro, release
 from odflow.plans.metro_queries import _BASE, _METRO, _movers, _people
 from odflow.plans.queries import _CLASSES, _E, _LONG, _UNITS, Survey, _classified, _rounded, _variance, query
+from odflow.plans.views import read
 from odflow.spec import Limits
 
 _WIDE = {"education": ["low", "high"], "age_band": ["15_24", "25_39"], "income": ["i1", "i5"]}
@@ -175,7 +176,7 @@ def check_share(s: Survey) -> DataFrame:
 
 @query("SELECT 'join' AS name, CAST(count(o_orderkey) AS DOUBLE) AS value, CAST(count(*) AS DOUBLE) AS expected, count(o_orderkey) = count(*) AS ok FROM persons LEFT JOIN orders ON o_orderkey = psu")
 def check_join_complete(s: Survey) -> DataFrame:
-    households = s.spark.read.parquet(f"{s.sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("psu"))
+    households = read(s.spark, s.sf_dir, "orders").select(F.col("o_orderkey").alias("psu"))
     return audit.check_join_complete(s.persons, households, "psu")
 
 
