@@ -96,16 +96,20 @@ def to_wage_units(c: Column | str, wage: float) -> Column:
     return _col(c) / F.lit(wage)
 
 
-def classify_status(is_flow: Column, birth_here: Column, prev_local: Column | str, born_abroad: Column) -> Column:
-    """Ordered rules: return, first move or later stage of the internal movers; the others by where they came from."""
+def classify_status(prev_local="prev_local", prev_unit="prev_unit", birth_local="birth_local", birth_unit="birth_unit", nationality="nationality", sentinels: Sequence[str] = ("99",)) -> Column:
+    """Kind of a mover by the first rule that holds; null for those who did not move.
+
+    From abroad as a citizen (nationality 1 or 2) or a foreigner (any other, unknown included); to the unit of birth; born abroad;
+    origin unknown; from the unit of birth; from a later one; the rest of the internal movers.
+    """
+    came, born, before = _col(prev_local), _col(birth_local), _col(prev_unit)
+    inside = came == "2"
     return (
-        F.when(flag(born_abroad), F.lit("foreign_born"))
-        .when(flag(is_flow) & flag(birth_here), F.lit("return"))
-        .when(flag(is_flow), F.lit("mover"))
-        .when(_col(prev_local) == "2", F.lit("unknown_origin"))
-        .when(_col(prev_local) == "3", F.lit("from_abroad"))
-        .otherwise(F.lit("stayer"))
-    )
+        F.when((came == "3") & _col(nationality).isin("1", "2"), "abroad_citizen").when(came == "3", "abroad_foreigner")
+        .when(inside & (born == "1"), "return").when(inside & (born == "3"), "born_abroad").when(inside & before.isin(*sentinels), "unknown_origin")
+        .when(inside & (born == "2") & (before == _col(birth_unit)), "first_exit").when(inside & (born == "2") & (before != _col(birth_unit)), "multi_stage")
+        .when(inside, "other")
+    )
 
 
 def precision_class(cv: Column | str) -> Column:

@@ -98,8 +98,8 @@ def check_group_totals(df: DataFrame, reference: DataFrame, group: str, toleranc
 
 
 def check_share(df: DataFrame, predicate: Column, low: float, high: float, name: str = "share") -> DataFrame:
-    """Percent of rows where the predicate holds, between bounds."""
-    one = df.agg((100 * F.count(F.when(predicate, 1)) / F.count(F.lit(1))).alias("v"))
+    """Percent of rows where the predicate holds, between bounds; an empty table is null and not ok."""
+    one = df.agg(F.try_divide(100 * F.count(F.when(predicate, 1)), F.count(F.lit(1))).alias("v"))
     return _checks(one, [(name, F.col("v"), F.lit(high), F.col("v").between(low, high))])
 
 
@@ -141,7 +141,7 @@ def check_bounds(series: DataFrame, bounds: Mapping[str, tuple[float, float]], s
 def check_geometry(inside: DataFrame, points: DataFrame, most: float = 0.005) -> DataFrame:
     """Share of unit points (point, unit) that lie in no polygon of their own unit (inside: point, unit), against a bound."""
     hit = inside.select("point", "unit").distinct().withColumn("_in", F.lit(1))
-    one = points.select("point", "unit").join(hit, ["point", "unit"], "left").agg((1 - F.count("_in") / F.count(F.lit(1))).alias("v"))
+    one = points.select("point", "unit").join(hit, ["point", "unit"], "left").agg((1 - F.try_divide(F.count("_in"), F.count(F.lit(1)))).alias("v"))
     return _checks(one, [("points_outside", F.col("v"), F.lit(most), F.col("v") <= most)])
 
 

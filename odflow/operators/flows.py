@@ -56,32 +56,33 @@ def level_indicators(flows: DataFrame) -> DataFrame:
 
 
 def unit_indicators(persons: DataFrame, dim: DataFrame, frame: DataFrame, min_age: int = 5) -> DataFrame:
-    """A row for every unit of ``dim``: pop, pop5, inflow, outflow, net, rates per 1,000, effectiveness, se_net.
+    """A row for every unit of ``dim``: weights, counts, rates per 1,000 of pop5, effectiveness, and errors of both ends.
 
-    A person counts at the unit of residence and a mover at the one left too, so persons are read once. Variances are those of
-    ``cell_variance``: households without a mover add 0.
+    pop, pop5, inflow, unknown_origin, international, outflow, net; n_in, n_out, n_unknown, n_international; psu_in, psu_out;
+    in_rate, out_rate, net_rate, effectiveness; se_in, se_out, se_net (ends taken as independent), cv_in, cv_out in percent.
+    Everyone is summed by unit before anything is shuffled; only movers are grouped by household, once for either end.
     """
-    w, zero = F.col("weight"), F.lit(0.0)
-    part = lambda p: F.when(p, w).otherwise(zero)
-    here = F.struct(
-        F.col("unit"), w.alias("pop"), part(F.col("age") >= min_age).alias("pop5"), part((F.col("prev_local") == "2") & (F.col("prev_unit") == "99")).alias("unknown_origin"),
-        part(F.col("prev_local") == "3").alias("international"), part(F.col("is_flow")).alias("i"), zero.alias("e"),
+    w = F.col("weight")
+    part = lambda p: F.coalesce(F.sum(F.when(p, w)), F.lit(0.0))
+    unknown, abroad = (F.col("prev_local") == "2") & ~F.col("is_flow"), F.col("prev_local") == "3"
+    here = persons.groupBy("unit").agg(
+        F.sum(w).alias("pop"), part(F.col("age") >= min_age).alias("pop5"), part(unknown).alias("unknown_origin"), part(abroad).alias("international"),
+        F.count(F.when(unknown, 1)).alias("n_unknown"), F.count(F.when(abroad, 1)).alias("n_international"),
     )
-    left = F.when(F.col("is_flow"), F.struct(F.col("prev_unit").alias("unit"), *(zero.alias(c) for c in ("pop", "pop5", "unknown_origin", "international", "i")), w.alias("e")))
-    plain = ("pop", "pop5", "unknown_origin", "international")
-    each = persons.select("stratum", "psu", F.explode(F.array(here, left)).alias("x")).filter("x is not null").select("stratum", "psu", "x.*")
-    by_psu = each.groupBy("unit", "stratum", "psu").agg(*(F.sum(c).alias(c) for c in (*plain, "i", "e")))
-    squares = [F.sum(F.col(c) * F.col(c)).alias(f"{c}2") for c in ("i", "e")]
-    by_stratum = by_psu.groupBy("unit", "stratum").agg(*(F.sum(c).alias(c) for c in (*plain, "i", "e")), *squares)
-    n = F.col("n_h")
-    spread = lambda c: F.sum(F.when(n > 1, n / (n - 1) * (F.col(f"{c}2") - F.col(c) * F.col(c) / n)).otherwise(zero))
-    sums = by_stratum.join(frame, "stratum", "left").groupBy("unit").agg(*(F.sum(c).alias(c) for c in plain), F.sum("i").alias("inflow"), F.sum("e").alias("outflow"), (spread("i") + spread("e")).alias("v"))
-    rows = dim.select("unit").join(sums, "unit", "left").fillna(0.0)
-    total, net = F.col("inflow") + F.col("outflow"), F.col("inflow") - F.col("outflow")
+    end = F.explode(F.array(F.struct(F.lit("in").alias("way"), F.col("unit")), F.struct(F.lit("out").alias("way"), F.col("prev_unit").alias("unit")))).alias("x")
+    moved = persons.filter("is_flow").select("stratum", "psu", "weight", end).select("stratum", "psu", "weight", "x.*")
+    both = se_cv(cell_variance(moved, ["unit", "way"], frame))
+    at = lambda way, c: F.max(F.when(F.col("way") == way, F.col(c)))
+    ends_ = both.groupBy("unit").agg(*(at(way, c).alias(f"{n}_{way}") for way in ("in", "out") for c, n in (("total", "t"), ("n", "n"), ("n_psu", "psu"), ("se", "se"), ("cv", "cv"))))
+    counts = ("n_in", "n_out", "n_unknown", "n_international", "psu_in", "psu_out")
+    weights = ("pop", "pop5", "unknown_origin", "international", "t_in", "t_out", "se_in", "se_out")
+    rows = dim.select("unit").join(here, "unit", "left").join(ends_, "unit", "left").fillna(0, [*counts, *weights])
+    i, o = F.col("t_in"), F.col("t_out")
+    rate = lambda x: F.when(F.col("pop5") > 0, 1000 * x / F.col("pop5"))
     return rows.select(
-        "unit", *plain, "inflow", "outflow", net.alias("net"),
-        F.when(F.col("pop5") > 0, 1000 * net / F.col("pop5")).alias("net_rate"), F.when(total > 0, net / total).alias("effectiveness"),
-        F.sqrt(F.greatest(F.col("v"), zero)).alias("se_net"),
+        "unit", "pop", "pop5", "unknown_origin", "international", i.alias("inflow"), o.alias("outflow"), (i - o).alias("net"), *counts,
+        rate(i).alias("in_rate"), rate(o).alias("out_rate"), rate(i - o).alias("net_rate"), F.when(i + o > 0, (i - o) / (i + o)).alias("effectiveness"),
+        "se_in", "se_out", F.sqrt(F.col("se_in") * F.col("se_in") + F.col("se_out") * F.col("se_out")).alias("se_net"), "cv_in", "cv_out",
     )
 
 
@@ -161,18 +162,18 @@ def weighted_median(df: DataFrame, keys: Sequence[str], x: str, w: str) -> DataF
 
 
 def partner_gini(flows: DataFrame, end: str) -> DataFrame:
-    """Gini index of the partners' volumes of each unit at an end: sum((2 i - n - 1) x_i) / (n sum x)."""
+    """Gini index of the partners' volumes of each unit at an end: sum((2 i - n - 1) x_i) / (n sum x); null without volume."""
     w = Window.partitionBy(end).orderBy("total", "o", "d")
     x = flows.select(F.col(end).alias("unit"), "total", F.row_number().over(w).alias("i"), F.count(F.lit(1)).over(Window.partitionBy(end)).alias("n"))
-    return x.groupBy("unit").agg((F.sum((2 * F.col("i") - F.col("n") - 1) * F.col("total")) / (F.max("n") * F.sum("total"))).alias("gini"))
+    return x.groupBy("unit").agg(F.when(F.sum("total") > 0, F.sum((2 * F.col("i") - F.col("n") - 1) * F.col("total")) / (F.max("n") * F.sum("total"))).alias("gini"))
 
 
 def pct_cross(flows: DataFrame, dim: DataFrame, level: str) -> DataFrame:
-    """Fraction of each unit's exchange that crosses the coarser border."""
+    """Fraction of each unit's exchange that crosses the coarser border; null without exchange."""
     both = attach_ends(flows.select("o", "d", "total"), dim, [level])
     e = ends(both.select("o", "d", "total", (F.col(f"o_{level}") != F.col(f"d_{level}")).alias("cross")))
     v = F.col("inflow") + F.col("outflow")
-    return e.groupBy("unit").agg((F.coalesce(F.sum(F.when(F.col("cross"), v)), F.lit(0.0)) / F.sum(v)).alias("share"))
+    return e.groupBy("unit").agg(F.when(F.sum(v) > 0, F.coalesce(F.sum(F.when(F.col("cross"), v)), F.lit(0.0)) / F.sum(v)).alias("share"))
 
 
 def distance_km(points: DataFrame, flows: DataFrame) -> DataFrame:
@@ -182,60 +183,111 @@ def distance_km(points: DataFrame, flows: DataFrame) -> DataFrame:
 
 
 def dissimilarity(a: DataFrame, b: DataFrame, support: str = "union") -> DataFrame:
-    """Half the sum of |p - q| of two flow structures; support: union or common pairs."""
+    """Half the sum of |p - q| of two flow structures, null if one is empty or sums to 0; support: union or common pairs."""
     pairs = outer_pairs(a, b)
     if support == "common":
         pairs = pairs.filter("a > 0 and b > 0")
     whole = pairs.agg(F.sum("a").alias("sa"), F.sum("b").alias("sb"))
-    return pairs.join(F.broadcast(whole)).agg((0.5 * F.sum(F.abs(F.col("a") / F.col("sa") - F.col("b") / F.col("sb")))).alias("dissimilarity"))
+    return pairs.join(F.broadcast(whole)).agg((0.5 * F.sum(F.abs(F.try_divide("a", "sa") - F.try_divide("b", "sb")))).alias("dissimilarity"))
 
 
 def system_measures(flows: DataFrame, population: float | Column) -> DataFrame:
-    """One row: moves, crude intensity 100 M / P, effectiveness 100 / 2 sum|net| / M, aggregate net rate."""
+    """One row: moves, crude intensity 100 M / P, effectiveness 100 / 2 sum|net| / M, aggregate net rate; null over 0."""
     pop = population if isinstance(population, Column) else F.lit(float(population))
     s = level_indicators(flows).agg(F.sum("inflow").alias("moves"), F.sum(F.abs("net")).alias("spread"))
-    return s.select("moves", (100 * F.col("moves") / pop).alias("cmi"), (50 * F.col("spread") / F.col("moves")).alias("mei"), (50 * F.col("spread") / pop).alias("anmr"))
+    return s.select("moves", F.try_divide(100 * F.col("moves"), pop).alias("cmi"), F.try_divide(50 * F.col("spread"), "moves").alias("mei"), F.try_divide(50 * F.col("spread"), pop).alias("anmr"))
 
 
 def weighted_slope(df: DataFrame, x: str, y: str, w: str) -> DataFrame:
-    """Weighted least-squares slope and intercept from sums; null with fewer than three points."""
+    """Weighted least-squares slope and intercept from sums; null with fewer than three points, or if all have one x."""
     s = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull() & (F.col(w) > 0)).agg(
         F.count(F.lit(1)).alias("n"), F.sum(w).alias("sw"), F.sum(F.col(w) * F.col(x)).alias("sx"), F.sum(F.col(w) * F.col(y)).alias("sy"),
         F.sum(F.col(w) * F.col(x) * F.col(x)).alias("sxx"), F.sum(F.col(w) * F.col(x) * F.col(y)).alias("sxy"),
     )
-    slope = (F.col("sw") * F.col("sxy") - F.col("sx") * F.col("sy")) / (F.col("sw") * F.col("sxx") - F.col("sx") * F.col("sx"))
-    return s.select("n", F.when(F.col("n") >= 3, slope).alias("slope")).join(F.broadcast(s.select("sw", "sx", "sy"))).select("n", "slope", ((F.col("sy") - F.col("slope") * F.col("sx")) / F.col("sw")).alias("intercept"))
+    slope = F.try_divide(F.col("sw") * F.col("sxy") - F.col("sx") * F.col("sy"), F.col("sw") * F.col("sxx") - F.col("sx") * F.col("sx"))
+    return s.select("n", F.when(F.col("n") >= 3, slope).alias("slope")).join(F.broadcast(s.select("sw", "sx", "sy"))).select("n", "slope", F.try_divide(F.col("sy") - F.col("slope") * F.col("sx"), "sw").alias("intercept"))
 
 
 def multiplicative_components(flows: DataFrame) -> DataFrame:
-    """total, share of the row, share of the column, and observed over expected of each pair ("total" coding)."""
+    """total, share of the row, share of the column, and observed over expected of each pair ("total" coding); null over 0."""
     rows, cols = flows.groupBy("o").agg(F.sum("total").alias("ro")), flows.groupBy("d").agg(F.sum("total").alias("cd"))
     whole = flows.agg(F.sum("total").alias("t"))
     j = flows.select("o", "d", "total").join(rows, "o").join(cols, "d").join(F.broadcast(whole))
-    return j.select("o", "d", "total", (F.col("ro") / F.col("t")).alias("o_share"), (F.col("cd") / F.col("t")).alias("d_share"), (F.col("total") * F.col("t") / (F.col("ro") * F.col("cd"))).alias("od_ratio"))
+    return j.select("o", "d", "total", F.try_divide("ro", "t").alias("o_share"), F.try_divide("cd", "t").alias("d_share"), F.try_divide(F.col("total") * F.col("t"), F.col("ro") * F.col("cd")).alias("od_ratio"))
 
 
 def ipf(seed: DataFrame, rows: DataFrame, cols: DataFrame, rounds: int = 50, tolerance: float = 1e-9, cut_every: int = 5) -> DataFrame:
-    """Seed (o, d, total) fitted to margins rows (o, target) and cols (d, target); zero cells stay zero.
+    """The fitted cells of ``fit_margins``."""
+    return fit_margins(seed, rows, cols, rounds, tolerance, cut_every)[0]
 
-    Cells of which an end has no target are left out. The seed stays as it is, and a factor for each end is fitted in turn: a
-    round is two joins with a vector and two aggregates. Seed, margins and every ``cut_every`` rounds the factors are
-    checkpointed, which a lost executor survives; then the largest relative error of both margins reaches the driver.
+
+def fit_margins(seed: DataFrame, rows: DataFrame, cols: DataFrame, rounds: int = 50, tolerance: float = 1e-9, cut_every: int = 5) -> tuple[DataFrame, DataFrame]:
+    """(cells, status): a seed (o, d, total) fitted to margins rows (o, target) and cols (d, target); zero cells stay zero.
+
+    cells: o, d, total. Cells of which an end has no target are left out; a target of 0 makes its cells 0.
+    status, one row: converged, rounds, error (largest miss of a margin, relative to it; absolute where it is 0), unreached (ends
+    with a positive target and no cell that could carry it), blocks, unbalanced (blocks of the seed, joined by cells of positive
+    targets, whose two margins sum to different totals: no fit can reach both). With either above 0 the fit cannot converge.
+
+    The seed stays as it is, and a factor for each end is fitted in turn: a round is two joins with a vector and two aggregates.
+    Seed, margins and every ``cut_every`` rounds the factors are checkpointed, which a lost executor survives; then the error of
+    both margins, one row, reaches the driver.
     """
-    rows, cols = rows.select("o", "target").checkpoint(), cols.select("d", "target").checkpoint()
+    rows, cols = rows.select("o", F.col("target").cast("double").alias("target")).checkpoint(), cols.select("d", F.col("target").cast("double").alias("target")).checkpoint()
     known = seed.select("o", "d", F.col("total").cast("double").alias("total")).filter("total > 0")
     x = known.join(rows.select("o"), "o", "left_semi").join(cols.select("d"), "d", "left_semi").select("o", "d", "total").checkpoint()
+    live = x.join(rows.filter("target > 0").select("o"), "o", "left_semi").join(cols.filter("target > 0").select("d"), "d", "left_semi").select("o", "d", "total")
     r, c = rows.select("o", F.lit(1.0).alias("r")), cols.select("d", F.lit(1.0).alias("c"))
+    done, worst = 0, None
+    factor = lambda target: F.when(F.col("m") > 0, F.col(target) / F.col("m")).otherwise(0.0)
     for k in range(rounds):
         cut = k % cut_every == cut_every - 1 or k == rounds - 1
-        r = x.join(c, "d").groupBy("o").agg(F.sum(F.col("total") * F.col("c")).alias("m")).join(rows, "o").select("o", (F.col("target") / F.col("m")).alias("r"))
+        r = x.join(c, "d").groupBy("o").agg(F.sum(F.col("total") * F.col("c")).alias("m")).join(rows, "o").select("o", factor("target").alias("r"))
         r = r.checkpoint() if cut else r
-        c = x.join(r, "o").groupBy("d").agg(F.sum(F.col("total") * F.col("r")).alias("m")).join(cols, "d").select("d", (F.col("target") / F.col("m")).alias("c"))
+        c = x.join(r, "o").groupBy("d").agg(F.sum(F.col("total") * F.col("r")).alias("m")).join(cols, "d").select("d", factor("target").alias("c"))
         if cut:
-            c = c.checkpoint()
-            fit = x.join(r, "o").join(c, "d").withColumn("f", F.col("total") * F.col("r") * F.col("c"))
-            miss = lambda end, target: fit.groupBy(end).agg(F.sum("f").alias("f")).join(target, end).agg(F.max(F.abs(F.col("f") / F.col("target") - 1)).alias("e"))  # noqa: B023,E731
-            worst = miss("o", rows).unionByName(miss("d", cols)).agg(F.max("e")).first()[0]
+            c, done = c.checkpoint(), k + 1
+            worst = _misses(x, r, c, rows, cols).agg(F.max("miss")).first()[0]
             if worst is None or worst <= tolerance:
                 break
-    return x.join(r, "o").join(c, "d").select("o", "d", (F.col("total") * F.col("r") * F.col("c")).alias("total"))
+    cells = x.join(r, "o").join(c, "d").select("o", "d", (F.col("total") * F.col("r") * F.col("c")).alias("total"))
+    ends_ = rows.filter("target > 0").select(F.lit("o").alias("side"), F.col("o").alias("key"), "target").unionByName(cols.filter("target > 0").select(F.lit("d").alias("side"), F.col("d").alias("key"), "target"))
+    met = live.select(F.explode(F.array(F.struct(F.lit("o").alias("side"), F.col("o").alias("key")), F.struct(F.lit("d").alias("side"), F.col("d").alias("key")))).alias("e")).select("e.*").distinct()
+    unreached = ends_.join(met, ["side", "key"], "left_anti").agg(F.count(F.lit(1)).alias("unreached"))
+    sums = seed_blocks(live).join(ends_, ["side", "key"]).groupBy("block").agg(*(F.coalesce(F.sum(F.when(F.col("side") == s, F.col("target"))), F.lit(0.0)).alias(s) for s in ("o", "d")))
+    off = F.abs(F.col("o") - F.col("d")) > tolerance * F.greatest("o", "d")
+    blocks = sums.agg(F.count(F.lit(1)).alias("blocks"), F.count(F.when(off, 1)).alias("unbalanced"))
+    fitted = blocks.sparkSession.createDataFrame([(worst is None or worst <= tolerance, done, worst)], "converged boolean, rounds int, error double")
+    return cells, fitted.join(F.broadcast(unreached)).join(F.broadcast(blocks))
+
+
+def _misses(x: DataFrame, r: DataFrame, c: DataFrame, rows: DataFrame, cols: DataFrame) -> DataFrame:
+    """(miss) of every margin: its fitted sum against the target, relative to it."""
+    fit = x.join(r, "o").join(c, "d").withColumn("f", F.col("total") * F.col("r") * F.col("c"))
+
+    def miss(end: str, target: DataFrame) -> DataFrame:
+        sums = target.join(fit.groupBy(end).agg(F.sum("f").alias("f")), end, "left").fillna(0.0, ["f"])
+        return sums.select(F.when(F.col("target") != 0, F.abs(F.col("f") / F.col("target") - 1)).otherwise(F.abs("f")).alias("miss"))
+
+    return miss("o", rows).unionByName(miss("d", cols))
+
+
+def seed_blocks(cells: DataFrame, most_rounds: int = 60) -> DataFrame:
+    """(side, key, block): the connected parts of a table (o, d), each named by its smallest origin.
+
+    Every end takes the least name among its cells, and then the name that its name's own origin has, so names halve their way; each
+    round is checkpointed and its changes are counted. ``most_rounds`` is a guard that raises, never a cut.
+    """
+    pairs = cells.select("o", "d").distinct().checkpoint()
+    o = pairs.select("o").distinct().select("o", F.col("o").alias("block")).checkpoint()
+    for _ in range(most_rounds):
+        d = pairs.join(o, "o").groupBy("d").agg(F.min("block").alias("block"))
+        near = pairs.join(d, "d").groupBy("o").agg(F.min("block").alias("near"))
+        jump = o.select(F.col("o").alias("near"), F.col("block").alias("far"))
+        new = o.join(near, "o").join(jump, "near").select("o", F.col("block").alias("old"), F.least("near", "far").alias("block")).checkpoint()
+        changed = new.filter("block <> old").limit(1).count()
+        o = new.select("o", "block")
+        if not changed:
+            d = pairs.join(o, "o").groupBy("d").agg(F.min("block").alias("block"))
+            return o.select(F.lit("o").alias("side"), F.col("o").alias("key"), "block").unionByName(d.select(F.lit("d").alias("side"), F.col("d").alias("key"), "block"))
+    raise ValueError(f"blocks of the table still change after {most_rounds} rounds")

@@ -30,7 +30,8 @@ def albers(df: DataFrame, lon: str = "lon", lat: str = "lat") -> DataFrame:
 
 
 def weighted_centroid(df: DataFrame, keys: Sequence[str], weight: str) -> DataFrame:
-    return df.groupBy(*keys).agg((F.sum(F.col("lon") * F.col(weight)) / F.sum(weight)).alias("lon"), (F.sum(F.col("lat") * F.col(weight)) / F.sum(weight)).alias("lat"))
+    """lon, lat of each group, weighted; null where the weights sum to 0."""
+    return df.groupBy(*keys).agg(*(F.try_divide(F.sum(F.col(c) * F.col(weight)), F.sum(weight)).alias(c) for c in ("lon", "lat")))
 
 
 def bbox(df: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -204,9 +204,9 @@ def national_cross(flows: DataFrame, dim: DataFrame, level: str) -> DataFrame:
 
 
 def smi(rates: DataFrame, standard: DataFrame, band: str = "band") -> DataFrame:
-    """Age-standardised intensity in percent: rates (edition, band, rate) weighted by a standard population (band, pop), common bands only."""
+    """Age-standardised intensity in percent: rates (edition, band, rate) weighted by a standard population (band, pop), common bands only; null over 0."""
     rows = rates.join(standard.select(band, F.col("pop").alias("_pop")), band).groupBy("edition")
-    return rows.agg((100 * F.sum(F.col("rate") * F.col("_pop")) / F.sum("_pop")).alias("smi"))
+    return rows.agg(F.when(F.sum("_pop") > 0, 100 * F.sum(F.col("rate") * F.col("_pop")) / F.sum("_pop")).alias("smi"))
 
 
 def fielding_slope(units: DataFrame, y: str, density: str, pop: str) -> DataFrame:

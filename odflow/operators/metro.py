@@ -6,7 +6,9 @@ kind, pop); a region has one core. Dimensions are joined by their keys, and Spar
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Mapping, Sequence
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -81,13 +83,24 @@ def metro_members(dim: DataFrame, cores: DataFrame, pop: DataFrame, name: str =
     return rows.select("metro", "unit", (F.col("unit") == F.col("core")).alias("is_core"), kind.alias("kind"), "pop")
 
 
+@cache
+def _accents() -> tuple[str, str]:
+    """Lower-case letters that Unicode takes apart into one plain Latin letter and marks, and those letters."""
+    found = {}
+    for c in map(chr, range(0x80, 0x2000)):
+        plain = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+        if plain != c and len(plain) == 1 and plain.isascii() and plain.islower() and plain.isalpha():
+            found[c] = plain
+    return "".join(found), "".join(found.values())
+
+
 def infer_core(members: DataFrame) -> DataFrame:
     """(metro, core): the most populous member whose name's words stand in a row in the region's name, else the most populous.
 
     members: metro, metro_name, unit, unit_name, pop. Names are compared without accents and case. Ties: most words, then
     population (nulls last), then the higher code.
     """
-    plain = lambda c: F.split(F.trim(F.regexp_replace(F.translate(F.lower(c), "áàâãäéèêëíìîïóòôõöúùûüçñ", "aaaaaeeeeiiiiooooouuuucn"), "[^a-z0-9]+", " ")), " ")
+    plain = lambda c: F.split(F.trim(F.regexp_replace(F.translate(F.lower(c), *_accents()), "[^a-z0-9]+", " ")), " ")
     m = members.withColumn("own", plain(F.col("unit_name"))).withColumn("all", plain(F.col("metro_name")))
     starts = F.sequence(F.lit(1), F.greatest(F.size("all") - F.size("own") + 1, F.lit(1)))
     held = (F.size("own") <= F.size("all")) & F.exists(starts, lambda i: F.slice("all", i, F.size("own")) == F.col("own"))

@@ -23,10 +23,13 @@ def suppress_rows(df: DataFrame, limits: Limits = Limits()) -> DataFrame:
     return df.filter(passes(limits))
 
 
-def suppress_long(df: DataFrame, keys: Sequence[str], limits: Limits = Limits(), other: str = "other") -> DataFrame:
-    """Failing cells, and null categories, are folded into one residual of their group and dimension."""
+def suppress_long(df: DataFrame, keys: Sequence[str], limits: Limits = Limits(), other: str = "other", nulls: str = "fold") -> DataFrame:
+    """Failing cells are folded into one residual of their group and dimension. nulls: null categories are folded too, or dropped."""
+    if nulls not in ("fold", "drop"):
+        raise ValueError(f"nulls: fold or drop, not {nulls}")
     ok = passes(limits) & F.col("category").isNotNull()
-    folded = df.withColumn("category", F.when(ok, F.col("category")).otherwise(F.lit(other)))
+    known = df if nulls == "fold" else df.filter("category is not null")
+    folded = known.withColumn("category", F.when(ok, F.col("category")).otherwise(F.lit(other)))
     return folded.groupBy(*keys, "dimension", "category").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
 
 
@@ -93,21 +96,24 @@ def publish_profiled_flows(cells: DataFrame, matrix: DataFrame, limits: Limits =
     return rows.select("o", "d", *_shown(limits, digits), (F.col("n") >= limits.detail).alias("has_detail"), *shown)
 
 
-def publish_units(units: DataFrame, columns: Sequence[str], limits: Limits = Limits(), keep: Sequence[str] = ()) -> DataFrame:
-    """Released unit indicators: headline totals to the base, rates as they are, bands instead of the counts n_<x>."""
-    bands = [band_n(c).alias(f"{c[2:]}_band") for c in units.columns if c.startswith("n_")]
-    return units.select("unit", *(round_base(c, limits.base).alias(c) for c in columns), *keep, *bands)
+def publish_units(units: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """Released ``flows.unit_indicators``: totals to the base, rates, errors and cv rounded, bands for counts, precision of both ends."""
+    totals = ("pop", "pop5", "inflow", "unknown_origin", "international", "outflow", "net")
+    digits = {"in_rate": 2, "out_rate": 2, "net_rate": 2, "effectiveness": 4, "se_in": 1, "se_out": 1, "se_net": 1, "cv_in": 2, "cv_out": 2}
+    bands = [band_n(f"n_{x}").alias(f"{x}_band") for x in ("in", "out")]
+    classes = [precision_class(f"cv_{x}").alias(f"precision_{x}") for x in ("in", "out")]
+    return units.select("unit", *(round_base(c, limits.base).alias(c) for c in totals), *(F.round(c, d).alias(c) for c, d in digits.items()), *bands, *classes)
 
 
-def publish_profile(profile: DataFrame, keys: Sequence[str], limits: Limits = Limits(), pairs: DataFrame | None = None) -> DataFrame:
-    """Released long profile: failing cells folded; with ``pairs`` (keys, n, n_psu) only for pairs that pass the floor of detail."""
+def publish_profile(profile: DataFrame, keys: Sequence[str], limits: Limits = Limits(), pairs: DataFrame | None = None, nulls: str = "fold") -> DataFrame:
+    """Released long profile: failing cells folded (nulls: see ``suppress_long``); with ``pairs`` (keys, n, n_psu) only for pairs that pass the floor of detail."""
     rows = profile
     if pairs is not None:
         enough = F.col("n") >= limits.detail
         if limits.psus is not None:
             enough &= F.col("n_psu") >= limits.psus
         rows = rows.join(pairs.filter(enough).select(*keys), list(keys), "left_semi")
-    return suppress_long(rows, keys, limits).select(*keys, "dimension", "category", round_base("total", limits.base).alias("total"), band_n("n").alias("n_band"))
+    return suppress_long(rows, keys, limits, nulls=nulls).select(*keys, "dimension", "category", round_base("total", limits.base).alias("total"), band_n("n").alias("n_band"))
 
 
 def publish_cells(cells: DataFrame, keys: Sequence[str], limits: Limits = Limits(), extra: Sequence[str] = (), digits: bool = True) -> DataFrame:
@@ -117,6 +123,7 @@ def publish_cells(cells: DataFrame, keys: Sequence[str], limits: Limits = Limits
 
 
 def suppression_report(matrix: DataFrame, published: DataFrame) -> DataFrame:
+    """One row: pairs, published ones, and the percent of the volume that they hold; null without volume."""
     a = matrix.agg(F.count(F.lit(1)).alias("pairs"), F.sum("total").alias("volume"))
     kept = matrix.join(published.select("o", "d"), ["o", "d"], "left_semi").agg(F.count(F.lit(1)).alias("published"), F.sum("total").alias("kept"))
-    return a.join(F.broadcast(kept)).select("pairs", "published", (100 * F.col("kept") / F.col("volume")).alias("pct_volume"))
+    return a.join(F.broadcast(kept)).select("pairs", "published", F.try_divide(100 * F.col("kept"), "volume").alias("pct_volume"))

@@ -15,7 +15,7 @@ from odflow.plans.views import read
 @query("""SELECT DISTINCT edu_code, age, sex, prev_local, prev_unit, unit, birth_unit, mode_code, CASE WHEN edu_code = '5' THEN NULL ELSE edu_code END AS known_edu, CASE WHEN lpad(mode_code, 3, '0') BETWEEN '007' AND '007' THEN 'foot' WHEN lpad(mode_code, 3, '0') BETWEEN '001' AND '009' THEN 'road' WHEN lpad(mode_code, 3, '0') BETWEEN '010' AND '012' THEN 'rail' END AS mode_class,
 lpad(mode_code, 3, '0') AS padded, CASE WHEN sex IS NOT NULL THEN CAST(age AS STRING) || '_' || CAST(sex AS STRING) END AS crossed, CASE WHEN age >= 25 THEN edu_code END AS adult_edu, CASE edu_code WHEN '1' THEN 'a' WHEN '2' THEN 'b' END AS mapped, TRY_CAST(nullif(trim(CASE WHEN age % 3 = 0 THEN ' ' || CAST(age AS STRING) || '.5 ' WHEN age % 3 = 1 THEN '  ' ELSE 'x' END), '') AS DOUBLE) AS number,
 coalesce(employed_code = '1', false) OR coalesce(school_code = '1', false) AS active, age / 4.0 AS in_wages, CAST(NULL AS BOOLEAN) AS asked, unit AS required,
-CASE WHEN coalesce(nationality = '3', false) THEN 'foreign_born' WHEN is_flow AND coalesce(birth_unit = unit, false) THEN 'return' WHEN is_flow THEN 'mover' WHEN prev_local = '2' THEN 'unknown_origin' WHEN prev_local = '3' THEN 'from_abroad' ELSE 'stayer' END AS status,
+CASE WHEN prev_local = '3' THEN CASE WHEN nationality IN ('1', '2') THEN 'abroad_citizen' ELSE 'abroad_foreigner' END WHEN prev_local = '2' THEN CASE WHEN birth_local = '1' THEN 'return' WHEN birth_local = '3' THEN 'born_abroad' WHEN prev_unit = '99' THEN 'unknown_origin' WHEN birth_local = '2' AND prev_unit = birth_unit THEN 'first_exit' WHEN birth_local = '2' AND prev_unit <> birth_unit THEN 'multi_stage' ELSE 'other' END END AS status, birth_local,
 CASE WHEN coalesce(employed_code = '1', false) THEN work_unit END AS to_work, CASE WHEN NOT coalesce(employed_code = '1', false) THEN work_unit END AS to_study, stratum || '-' || unit AS substitute, CASE WHEN employed_code = '1' THEN 3 WHEN school_code IS NULL THEN 0 ELSE 0 END + CASE WHEN age >= 30 THEN 1 ELSE 0 END AS step, nationality, employed_code, school_code, work_unit FROM persons WHERE edition = '2000'""")
 def recodes(s: Survey) -> DataFrame:
     padded = R.pad_code("mode_code", 3)
@@ -25,7 +25,7 @@ def recodes(s: Survey) -> DataFrame:
         *names, R.nullify_sentinels("edu_code", ["5"]).alias("known_edu"), R.recode_ranges(padded, [("foot", "007", "007"), ("road", "001", "009"), ("rail", "010", "012")]).alias("mode_class"), padded.alias("padded"),
         R.cross_label(F.col("age").cast("string"), F.col("sex").cast("string")).alias("crossed"), R.in_universe("edu_code", F.col("age") >= 25).alias("adult_edu"), R.map_codes("edu_code", {"1": "a", "2": "b"}).alias("mapped"),
         R.safe_num(text).alias("number"), R.any_yes(["employed_code", "school_code"]).alias("active"), R.to_wage_units("age", 4.0).alias("in_wages"), R.not_measured().alias("asked"), R.require("unit", F.col("unit").isNotNull(), "no unit").alias("required"),
-        R.classify_status(F.col("is_flow"), F.col("birth_unit") == F.col("unit"), "prev_local", F.col("nationality") == "3").alias("status"),
+        R.classify_status().alias("status"), "birth_local",
         R.route_destination(F.col("employed_code") == "1", "work_unit").alias("to_work"), R.route_destination(F.col("employed_code") == "1", "work_unit", for_work=False).alias("to_study"), R.substitute_stratum("stratum", "unit").alias("substitute"),
         (F.when(F.col("employed_code") == "1", 3).otherwise(0) + R.classify_breaks("age", [30])).alias("step"),
     ).distinct()

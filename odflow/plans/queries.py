@@ -97,16 +97,20 @@ def rollup_flows(s: Survey) -> DataFrame:
     return _rounded(_rounded(flows.rollup_flows(s.persons, s.units, "level2", s.frame), 3, "variance"), 6, "se", "cv")
 
 
-_UNITS = f"""SELECT unit, coalesce(pop, 0) AS pop, coalesce(pop5, 0) AS pop5, coalesce(unknown_origin, 0) AS unknown_origin, coalesce(international, 0) AS international, coalesce(i, 0) AS inflow, coalesce(e, 0) AS outflow, coalesce(i, 0) - coalesce(e, 0) AS net,
-round(CASE WHEN pop5 > 0 THEN 1000 * (coalesce(i, 0) - coalesce(e, 0)) / pop5 END, 9) AS net_rate, round(CASE WHEN coalesce(i, 0) + coalesce(e, 0) > 0 THEN (coalesce(i, 0) - coalesce(e, 0)) / (coalesce(i, 0) + coalesce(e, 0)) END, 9) AS effectiveness,
-round(sqrt(greatest(coalesce(vi, 0) + coalesce(ve, 0), 0)), 6) AS se_net
-FROM units LEFT JOIN (SELECT unit, sum(weight) AS pop, sum(CASE WHEN age >= 5 THEN weight END) AS pop5, sum(CASE WHEN prev_local = '2' AND prev_unit = '99' THEN weight END) AS unknown_origin, sum(CASE WHEN prev_local = '3' THEN weight END) AS international FROM persons GROUP BY unit) USING (unit)
-LEFT JOIN (SELECT d AS unit, total AS i, variance AS vi FROM ({_variance('d', 'moved')})) USING (unit) LEFT JOIN (SELECT o AS unit, total AS e, variance AS ve FROM ({_variance('o', 'moved')})) USING (unit)"""
+_RATE = "round(CASE WHEN pop5 > 0 THEN 1000 * ({0}) / pop5 END, 9)"
+_I, _O = "coalesce(i, 0)", "coalesce(e, 0)"
+_UNITS = f"""SELECT unit, coalesce(pop, 0) AS pop, coalesce(pop5, 0) AS pop5, coalesce(unknown_origin, 0) AS unknown_origin, coalesce(international, 0) AS international, {_I} AS inflow, {_O} AS outflow, {_I} - {_O} AS net,
+CAST(coalesce(n_in, 0) AS BIGINT) AS n_in, CAST(coalesce(n_out, 0) AS BIGINT) AS n_out, coalesce(n_unknown, 0) AS n_unknown, coalesce(n_international, 0) AS n_international, CAST(coalesce(psu_in, 0) AS BIGINT) AS psu_in, CAST(coalesce(psu_out, 0) AS BIGINT) AS psu_out,
+{_RATE.format(_I)} AS in_rate, {_RATE.format(_O)} AS out_rate, {_RATE.format(f"{_I} - {_O}")} AS net_rate, round(CASE WHEN {_I} + {_O} > 0 THEN ({_I} - {_O}) / ({_I} + {_O}) END, 9) AS effectiveness,
+round(sqrt(greatest(coalesce(vi, 0), 0)), 6) AS se_in, round(sqrt(greatest(coalesce(ve, 0), 0)), 6) AS se_out, round(sqrt(greatest(coalesce(vi, 0), 0) + greatest(coalesce(ve, 0), 0)), 6) AS se_net,
+round(CASE WHEN i > 0 THEN 100 * sqrt(greatest(vi, 0)) / i END, 6) AS cv_in, round(CASE WHEN e > 0 THEN 100 * sqrt(greatest(ve, 0)) / e END, 6) AS cv_out
+FROM units LEFT JOIN (SELECT unit, sum(weight) AS pop, sum(CASE WHEN age >= 5 THEN weight END) AS pop5, sum(CASE WHEN prev_local = '2' AND NOT is_flow THEN weight END) AS unknown_origin, sum(CASE WHEN prev_local = '3' THEN weight END) AS international, count(CASE WHEN prev_local = '2' AND NOT is_flow THEN 1 END) AS n_unknown, count(CASE WHEN prev_local = '3' THEN 1 END) AS n_international FROM persons GROUP BY unit) USING (unit)
+LEFT JOIN (SELECT d AS unit, total AS i, variance AS vi, n AS n_in, n_psu AS psu_in FROM ({_variance('d', 'moved')})) USING (unit) LEFT JOIN (SELECT o AS unit, total AS e, variance AS ve, n AS n_out, n_psu AS psu_out FROM ({_variance('o', 'moved')})) USING (unit)"""
 
 
 @query(_UNITS)
 def unit_indicators(s: Survey) -> DataFrame:
-    return _rounded(_rounded(flows.unit_indicators(s.persons, s.units, s.frame), 9, "net_rate", "effectiveness"), 6, "se_net")
+    return _rounded(_rounded(flows.unit_indicators(s.persons, s.units, s.frame), 9, "in_rate", "out_rate", "net_rate", "effectiveness"), 6, "se_in", "se_out", "se_net", "cv_in", "cv_out")
 
 
 _E = "ends AS (SELECT d AS unit, o AS partner, total AS inflow, 0.0 AS outflow FROM flow UNION ALL SELECT o, d, 0.0, total FROM flow)"
@@ -147,11 +151,19 @@ def connectivity_partners(s: Survey) -> DataFrame:
     return flows.connectivity(s.flow(), distinct_partners=True)
 
 
-@query("SELECT unit, round(sum((2 * i - n - 1) * total) / (max(n) * sum(total)), 6) AS gini FROM (SELECT o AS unit, total, row_number() OVER (PARTITION BY o ORDER BY total, o, d) AS i, count(*) OVER (PARTITION BY o) AS n FROM flow) GROUP BY unit")
+_GINI = "SELECT unit, round(sum((2 * i - n - 1) * total) / (max(n) * sum(total)), 6) AS gini FROM (SELECT {0} AS unit, total, row_number() OVER (PARTITION BY {0} ORDER BY total, o, d) AS i, count(*) OVER (PARTITION BY {0}) AS n FROM flow) GROUP BY unit"
+
+
+@query(_GINI.format("o"))
 def partner_gini(s: Survey) -> DataFrame:
     return flows.partner_gini(s.flow(), "o").withColumn("gini", F.round("gini", 6))
 
 
+@query(_GINI.format("d"))
+def partner_gini_of_arrivals(s: Survey) -> DataFrame:
+    return flows.partner_gini(s.flow(), "d").withColumn("gini", F.round("gini", 6))
+
+
 @query("SELECT unit, min(age) AS median FROM (SELECT unit, age, sum(w) OVER (PARTITION BY unit ORDER BY age) AS run, sum(w) OVER (PARTITION BY unit) AS whole FROM (SELECT unit, age, sum(weight) AS w FROM persons GROUP BY unit, age)) WHERE run >= 0.5 * whole GROUP BY unit")
 def weighted_median_age(s: Survey) -> DataFrame:
     return flows.weighted_median(s.persons, ["unit"], "age", "weight")
@@ -206,6 +218,14 @@ def fitted_flows(s: Survey) -> DataFrame:
     return flows.ipf(f, rows, cols)
 
 
+@query()
+def fit_status(s: Survey) -> DataFrame:
+    """Whether that fit converged, in how many rounds, and what of its margins could not be reached."""
+    f = s.flow().select("o", "d", "total").checkpoint()
+    rows, cols = f.groupBy("d").agg(F.sum("total").alias("target")).withColumnRenamed("d", "o"), f.groupBy("o").agg(F.sum("total").alias("target")).withColumnRenamed("o", "d")
+    return flows.fit_margins(f, rows, cols)[1]
+
+
 def _classified(s: Survey) -> DataFrame:
     return s.persons.withColumns({
         "age_band": R.bin_lt("age", [5, 15, 25, 40, 60], ["05_14", "15_24", "25_39", "40_59", "60_plus"]),

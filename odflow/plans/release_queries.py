@@ -54,17 +54,20 @@ def published_profiled_flows(s: Survey) -> DataFrame:
     return _rounded(release.publish_profiled_flows(_cells(s), flows.flow_matrix(s.persons, s.frame), digits=False), 6, "se", "cv")
 
 
-@query(f"SELECT unit, round(pop / 5.0) * 5 AS pop, round(inflow / 5.0) * 5 AS inflow, round(outflow / 5.0) * 5 AS outflow, round(net / 5.0) * 5 AS net, net_rate, {_BAND.format('n')} AS inflow_band FROM ({_UNITS}) LEFT JOIN (SELECT d AS unit, count(*) AS n FROM moved GROUP BY d) USING (unit)")
+_FIVES = ", ".join(f"round({c} / 5.0) * 5 AS {c}" for c in ("pop", "pop5", "inflow", "unknown_origin", "international", "outflow", "net"))
+_ROUNDS = ", ".join(f"round({c}, {d}) AS {c}" for c, d in (("in_rate", 2), ("out_rate", 2), ("net_rate", 2), ("effectiveness", 4), ("se_in", 1), ("se_out", 1), ("se_net", 1), ("cv_in", 2), ("cv_out", 2)))
+
+
+@query(f"SELECT unit, {_FIVES}, {_ROUNDS}, {_BAND.format('n_in')} AS in_band, {_BAND.format('n_out')} AS out_band, {_PRECISION.replace('cv ', 'cv_in ')} AS precision_in, {_PRECISION.replace('cv ', 'cv_out ')} AS precision_out FROM ({_UNITS})")
 def published_units(s: Survey) -> DataFrame:
-    n = s.persons.filter("is_flow").groupBy("unit").agg(F.count(F.lit(1)).alias("n_inflow"))
-    units = _rounded(flows.unit_indicators(s.persons, s.units, s.frame), 9, "net_rate").join(n, "unit", "left")
-    return release.publish_units(units, ["pop", "inflow", "outflow", "net"], keep=["net_rate"])
+    units = flows.unit_indicators(s.persons, s.units, s.frame)
+    return release.publish_units(_rounded(_rounded(units, 9, "in_rate", "out_rate", "net_rate", "effectiveness"), 6, "se_in", "se_out", "se_net", "cv_in", "cv_out"))
 
 
-@query(_LONG + f", k AS (SELECT unit, dimension, category, sum(weight) AS total, count(*) AS n, count(DISTINCT psu) AS m FROM l GROUP BY ALL), f AS (SELECT unit, dimension, CASE WHEN n >= 5 AND m >= 3 AND category IS NOT NULL THEN category ELSE 'other' END AS category, sum(total) AS total, sum(n) AS n FROM k GROUP BY ALL) SELECT unit, dimension, category, round(total / 5.0) * 5 AS total, {_BAND.format('n')} AS n_band FROM f")
+@query(_LONG + f", k AS (SELECT unit, dimension, category, sum(weight) AS total, count(*) AS n, count(DISTINCT psu) AS m FROM l WHERE category IS NOT NULL GROUP BY ALL), f AS (SELECT unit, dimension, CASE WHEN n >= 5 AND m >= 3 THEN category ELSE 'other' END AS category, sum(total) AS total, sum(n) AS n FROM k GROUP BY ALL) SELECT unit, dimension, category, round(total / 5.0) * 5 AS total, {_BAND.format('n')} AS n_band FROM f")
 def published_unit_profile(s: Survey) -> DataFrame:
     profile = estimate.long_profile(_classified(s), ["unit"], ["age_band", "education", "income"], {"education": F.col("age") >= 25})
-    return release.publish_profile(profile, ["unit"])
+    return release.publish_profile(profile, ["unit"], nulls="drop")
 
 
 @query(_BASE + f", l AS (SELECT o, d, psu, weight, 'mode_code' AS dimension, mode_code AS category FROM wc UNION ALL SELECT o, d, psu, weight, 'age_band', coalesce(age_band, 'unknown') FROM wc), p AS (SELECT o, d FROM wc GROUP BY ALL HAVING count(*) >= 20 AND count(DISTINCT psu) >= 3), k AS (SELECT o, d, dimension, category, sum(weight) AS total, count(*) AS n, count(DISTINCT psu) AS m FROM l JOIN p USING (o, d) GROUP BY ALL), f AS (SELECT o, d, dimension, CASE WHEN n >= 5 AND m >= 3 THEN category ELSE 'other' END AS category, sum(total) AS total, sum(n) AS n FROM k GROUP BY ALL) SELECT o, d, dimension, category, round(total / 5.0) * 5 AS total, {_BAND.format('n')} AS n_band FROM f")
