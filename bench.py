@@ -6,7 +6,7 @@ import time
 
 from pyspark.sql import SparkSession
 
-from odflow.plans.queries import QUERIES
+from odflow.plans.queries import QUERIES, Survey
 
 NAMES = ("published_flow_matrix", "flow_matrix", "long_profile", "suppressed_profile", "rollup_flows", "unit_indicators", "audit_of_a_loose_release", "fitted_flows")
 
@@ -16,9 +16,13 @@ def main() -> None:
     conf = {"spark.sql.shuffle.partitions": cpus, "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "8g", "spark.checkpoint.dir": "file:///tmp/odflow-bench-checkpoints"}
     spark = SparkSession.builder.master(f"local[{cpus}]").config(map=conf).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    # one untimed query first: the JVM's start is no query's work
-    QUERIES["stratum_frame"](spark, folder).write.format("noop").mode("overwrite").save()
+    # an untimed scan first: the JVM's start is no query's work
+    spark.read.parquet(f"{folder}/nation.parquet").groupBy("n_regionkey").count().collect()
     took = {}
+    # the persons that all queries read are worked out and stored once; their time is part of the sum
+    began = time.time()
+    Survey(spark, folder).persons
+    took["stored_persons"] = round(time.time() - began, 3)
     for name in NAMES:
         began = time.time()
         QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()

@@ -66,15 +66,26 @@ def code_diff(a: DataFrame, b: DataFrame, key: str = "code") -> DataFrame:
 
 
 def reconcile(a: DataFrame, b: DataFrame, groups: Mapping[str, Sequence[str]], weight: str = "weight") -> DataFrame:
-    """(check, left, right, ok) of two sources: rows, weights, and for each group of columns the rows that one side lacks."""
-    def two(name: str, x: Column) -> DataFrame:
-        return a.agg(x.cast("double").alias("left")).join(F.broadcast(b.agg(x.cast("double").alias("right")))).select(F.lit(name).alias("check"), "left", "right", (F.abs(F.col("left") - F.col("right")) < 1e-6).alias("ok"))
-
-    parts = [two("rows", F.count(F.lit(1))), two("weight", F.coalesce(F.sum(weight), F.lit(0.0)))]
-    for name, columns in groups.items():
-        d = multiset_diff(a, b, columns)
-        parts.append(d.select(F.lit(name).alias("check"), F.col("only_a").cast("double").alias("left"), F.col("only_b").cast("double").alias("right"), ((F.col("only_a") == 0) & (F.col("only_b") == 0)).alias("ok")))
-    return reduce(DataFrame.unionByName, parts)
+    """(check, left, right, ok) of two sources: rows, weights, and for each group of columns the rows that one side lacks.
+
+    Rows are counted with repeats and null equals null. Each side is read once: rows are marked by side, every row gives its values
+    in each group, and one aggregation by these counts both sides.
+    """
+    columns = sorted({c for own in groups.values() for c in own} | {weight})
+    side = lambda df, of: df.select(*columns, F.lit(of).alias("_side"))
+    whole = [F.struct(F.lit(name).alias("check"), F.lit(None).cast("string").alias("key"), value.alias("value")) for name, value in (("rows", F.lit(1.0)), ("weight", F.coalesce(F.col(weight).cast("double"), F.lit(0.0))))]
+    values = lambda own: F.to_json(F.struct(*own), {"ignoreNullFields": "false"})
+    each = [F.struct(F.lit(name).alias("check"), values(own).alias("key"), F.lit(1.0).alias("value")) for name, own in groups.items()]
+    rows = side(a, 0).unionByName(side(b, 1)).select("_side", F.explode(F.array(*whole, *each)).alias("x")).select("_side", "x.*")
+    on = lambda of: F.sum(F.when(F.col("_side") == of, F.col("value")).otherwise(0.0))
+    counted = rows.groupBy("check", "key").agg(on(0).alias("a"), on(1).alias("b"))
+    more = F.col("key").isNotNull()
+    excess = lambda x, y: F.sum(F.when(more, F.greatest(F.col(x) - F.col(y), F.lit(0.0))).otherwise(F.col(x)))
+    sums = counted.groupBy("check").agg(excess("a", "b").alias("left"), excess("b", "a").alias("right"))
+    names = F.explode(F.array(*map(F.lit, ("rows", "weight", *groups)))).alias("check")
+    out = a.sparkSession.range(1).select(names).join(sums, "check", "left").fillna(0.0, ["left", "right"])
+    exact = F.when(F.col("check").isin("rows", "weight"), F.abs(F.col("left") - F.col("right")) < 1e-6).otherwise((F.col("left") == 0) & (F.col("right") == 0))
+    return out.select("check", "left", "right", exact.alias("ok"))
 
 
 def _checks(df: DataFrame, rows: Sequence[tuple[str, Column, Column, Column]]) -> DataFrame:

@@ -25,11 +25,11 @@ def _people(s: Survey) -> DataFrame:
 
 def _members(s: Survey) -> DataFrame:
     pop = s.persons.groupBy("unit").agg(F.sum("weight").alias("pop"))
-    return metro.metro_members(s.units, series.resolve_core(s.units, s.cores, pop), pop)
+    return s.once("members", lambda: metro.metro_members(s.units, series.resolve_core(s.units, s.cores, pop), pop), key=None)
 
 
 def _movers(s: Survey) -> DataFrame:
-    return metro.intra_movers(_people(s), _members(s))
+    return s.once("movers", lambda: metro.intra_movers(_people(s), _members(s)))
 
 
 def _sum(p: str) -> str:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from odflow.functions import recode as R
 from odflow.operators import audit, estimate, flows, geo, release, series
-from odflow.plans.views import CORES, LINEAGE, PERSONS, UNITS, read, views
+from odflow.plans.views import CORES, LINEAGE, PERSONS, TABLES, UNITS, read, views
+from odflow.sources import store
 from odflow.spec import Limits
 
 QUERIES: dict = {}
@@ -28,13 +31,26 @@ FROM (SELECT {keys}, stratum, sum(z) AS s1, sum(z * z) AS s2, sum(c) AS n, count
 
 
 class Survey:
-    """Views of one folder, with the flags that most queries need."""
+    """Views of one folder. Persons, and tables that several queries read off them, are stored once, in buckets of households.
+
+    A household lies in one stratum and one unit, and none is large, so buckets of households are even whatever the strata are:
+    cells by household, their variances and the frame are grouped where the persons lie.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        persons, self.units, self.cores = views(spark, sf_dir)
+        self._view, self.units, self.cores = views(spark, sf_dir)
         self.spark, self.sf_dir = spark, sf_dir
-        self.persons = flows.flag_flow(persons)
-        self.frame = estimate.stratum_frame(self.persons)
+
+    @cached_property
+    def persons(self) -> DataFrame:
+        return self.once("persons", lambda: flows.flag_flow(self._view))
+
+    @cached_property
+    def frame(self) -> DataFrame:
+        return estimate.stratum_frame(self.persons)
+
+    def once(self, name: str, make, key: str | None = "psu") -> DataFrame:
+        return store.once(self.spark, name, [f"{self.sf_dir}/{t}.parquet" for t in TABLES], make, key)
 
     def flow(self) -> DataFrame:
         moved = self.persons.filter("is_flow").select(F.col("prev_unit").alias("o"), F.col("unit").alias("d"), "psu", "weight")
@@ -300,4 +316,4 @@ def manifest(s: Survey) -> DataFrame:
 
 
 # the modules below register more queries here
-from odflow.plans import metro_queries, more_queries, release_queries, series_queries  # noqa: E402,F401
+from odflow.plans import metro_queries, more_queries, panel_queries, release_queries, series_queries  # noqa: E402,F401

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+TABLES = ("nation", "customer", "supplier", "part", "orders", "lineitem")
+
 #: Schemas by application and file: Spark starts a job to read one, which for small tables takes longer than the query's plan.
 _SCHEMAS: dict[tuple[str, str], StructType] = {}
 
@@ -63,13 +65,13 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def views(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(persons, units, cores) over the tables of a folder."""
-    tables = {t: read(spark, sf_dir, t) for t in ("nation", "customer", "supplier", "part", "orders", "lineitem")}
+    tables = {t: read(spark, sf_dir, t) for t in TABLES}
     # names as arguments, so that no temporary view of one folder stands in for another's
     sql = lambda text: spark.sql(_named(text), **{k: v for k, v in tables.items() if f"{{{k}}}" in _named(text)})
     return sql(PERSONS), sql(UNITS), spark.sql(CORES)
 
 
 def _named(text: str) -> str:
-    for t in ("nation", "customer", "supplier", "part", "orders", "lineitem"):
+    for t in TABLES:
         text = text.replace(f"FROM {t}\n", f"FROM {{{t}}}\n").replace(f"FROM {t} ", f"FROM {{{t}}} ").replace(f"JOIN {t} ", f"JOIN {{{t}}} ")
     return text
