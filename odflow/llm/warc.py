@@ -296,7 +296,9 @@ def read_archives(archives: DataFrame, batch_bytes: int = 4 << 20) -> DataFrame:
         if held:
             yield pa.RecordBatch.from_pylist(held, schema)
 
-    return archives.select("archive").repartition("archive").mapInArrow(read, RECORD)
+    # a number of its own: the list is tiny, and partitions chosen by its bytes would leave all archives to one task
+    parts = int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return archives.select("archive").repartition(parts, "archive").mapInArrow(read, RECORD)
 
 
 def _rows(archive: str, stream):
