@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from odflow.functions.recode import flag
 from odflow.operators.estimate import cell_variance, se_cv
+from odflow.sources.store import cut
 
 
 def flag_flow(persons: DataFrame, sentinels: Sequence[str] = ("99",)) -> DataFrame:
@@ -230,23 +231,23 @@ def fit_margins(seed: DataFrame, rows: DataFrame, cols: DataFrame, rounds: int =
     targets, whose two margins sum to different totals: no fit can reach both). With either above 0 the fit cannot converge.
 
     The seed stays as it is, and a factor for each end is fitted in turn: a round is two joins with a vector and two aggregates.
-    Seed, margins and every ``cut_every`` rounds the factors are checkpointed, which a lost executor survives; then the error of
+    Seed, margins and every ``cut_every`` rounds the factors are written, which a lost executor survives; then the error of
     both margins, one row, reaches the driver.
     """
-    rows, cols = rows.select("o", F.col("target").cast("double").alias("target")).checkpoint(), cols.select("d", F.col("target").cast("double").alias("target")).checkpoint()
+    rows, cols = (cut(m.select(c, F.col("target").cast("double").alias("target"))) for m, c in ((rows, "o"), (cols, "d")))
     known = seed.select("o", "d", F.col("total").cast("double").alias("total")).filter("total > 0")
-    x = known.join(rows.select("o"), "o", "left_semi").join(cols.select("d"), "d", "left_semi").select("o", "d", "total").checkpoint()
+    x = cut(known.join(rows.select("o"), "o", "left_semi").join(cols.select("d"), "d", "left_semi").select("o", "d", "total"))
     live = x.join(rows.filter("target > 0").select("o"), "o", "left_semi").join(cols.filter("target > 0").select("d"), "d", "left_semi").select("o", "d", "total")
     r, c = rows.select("o", F.lit(1.0).alias("r")), cols.select("d", F.lit(1.0).alias("c"))
     done, worst = 0, None
     factor = lambda target: F.when(F.col("m") > 0, F.col(target) / F.col("m")).otherwise(0.0)
     for k in range(rounds):
-        cut = k % cut_every == cut_every - 1 or k == rounds - 1
+        last = k % cut_every == cut_every - 1 or k == rounds - 1
         r = x.join(c, "d").groupBy("o").agg(F.sum(F.col("total") * F.col("c")).alias("m")).join(rows, "o").select("o", factor("target").alias("r"))
-        r = r.checkpoint() if cut else r
+        r = cut(r) if last else r
         c = x.join(r, "o").groupBy("d").agg(F.sum(F.col("total") * F.col("r")).alias("m")).join(cols, "d").select("d", factor("target").alias("c"))
-        if cut:
-            c, done = c.checkpoint(), k + 1
+        if last:
+            c, done = cut(c), k + 1
             worst = _misses(x, r, c, rows, cols).agg(F.max("miss")).first()[0]
             if worst is None or worst <= tolerance:
                 break
@@ -276,15 +277,15 @@ def seed_blocks(cells: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(side, key, block): the connected parts of a table (o, d), each named by its smallest origin.
 
     Every end takes the least name among its cells, and then the name that its name's own origin has, so names halve their way; each
-    round is checkpointed and its changes are counted. ``most_rounds`` is a guard that raises, never a cut.
+    round is written and its changes are counted. ``most_rounds`` is a guard that raises, never a cut.
     """
-    pairs = cells.select("o", "d").distinct().checkpoint()
-    o = pairs.select("o").distinct().select("o", F.col("o").alias("block")).checkpoint()
+    pairs = cut(cells.select("o", "d").distinct())
+    o = cut(pairs.select("o").distinct().select("o", F.col("o").alias("block")))
     for _ in range(most_rounds):
         d = pairs.join(o, "o").groupBy("d").agg(F.min("block").alias("block"))
         near = pairs.join(d, "d").groupBy("o").agg(F.min("block").alias("near"))
         jump = o.select(F.col("o").alias("near"), F.col("block").alias("far"))
-        new = o.join(near, "o").join(jump, "near").select("o", F.col("block").alias("old"), F.least("near", "far").alias("block")).checkpoint()
+        new = cut(o.join(near, "o").join(jump, "near").select("o", F.col("block").alias("old"), F.least("near", "far").alias("block")))
         changed = new.filter("block <> old").limit(1).count()
         o = new.select("o", "block")
         if not changed:

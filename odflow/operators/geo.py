@@ -45,11 +45,50 @@ def polygon_area(vertices: DataFrame) -> DataFrame:
     return step.groupBy("unit").agg(F.abs(F.sum("s") / 2).alias("area"))
 
 
-def points_in_polygons(points: DataFrame, vertices: DataFrame, cell: float = 1.0) -> DataFrame:
-    """(point, unit): ray casting by parity. Edges meet points through strips of latitude, so no cross join is made."""
+def _edges(vertices: DataFrame) -> DataFrame:
+    """unit, x1, y1, x2, y2 of rings (unit, ring, i, x, y); level edges are crossed by no ray."""
     w = Window.partitionBy("unit", "ring").orderBy("i")
-    edges = vertices.select("unit", F.col("x").alias("x1"), F.col("y").alias("y1"), F.lead("x").over(w).alias("x2"), F.lead("y").over(w).alias("y2")).filter("y1 <> y2")
-    strips = edges.withColumn("strip", F.explode(F.sequence(F.floor(F.least("y1", "y2") / cell), F.floor(F.greatest("y1", "y2") / cell))))
-    hit = points.withColumn("strip", F.floor(F.col("y") / cell)).join(strips, "strip")
-    crosses = ((F.col("y1") > F.col("y")) != (F.col("y2") > F.col("y"))) & (F.col("x") < (F.col("x2") - F.col("x1")) * (F.col("y") - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1"))
-    return hit.filter(crosses).groupBy("point", "unit").agg(F.count(F.lit(1)).alias("n")).filter("n % 2 = 1").select("point", "unit")
+    edges = vertices.select("unit", F.col("x").alias("x1"), F.col("y").alias("y1"), F.lead("x").over(w).alias("x2"), F.lead("y").over(w).alias("y2"))
+    return edges.filter("x2 is not null")
+
+
+def _crosses(x: str, y: str):
+    """Whether the ray from (x, y) to the right crosses the edge; a shared end counts for one of the two edges."""
+    rise = F.when(F.col("y1") != F.col("y2"), (F.col("x2") - F.col("x1")) * (F.col(y) - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1"))
+    return F.coalesce(((F.col("y1") > F.col(y)) != (F.col("y2") > F.col(y))) & (F.col(x) < rise), F.lit(False))
+
+
+def polygon_cells(vertices: DataFrame, cell: float = 1.0) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """An index of polygons in squares of side ``cell``: (border, full, rows).
+
+    border: unit, i, j of the squares that an edge passes; full: unit, i, j of those that lie wholly inside; rows: unit, j and the edges
+    (x1, y1, x2, y2) of a unit that reach into row j. Squares between two border squares of a row are all inside or all
+    outside: a ray from the first one's middle tells which.
+    """
+    edges = _edges(vertices)
+    low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
+    rows = edges.withColumn("j", F.explode(F.sequence(F.floor(low / cell), F.floor(high / cell))))
+    # where the edge enters and leaves the row
+    part = lambda y: F.when(F.col("y1") != F.col("y2"), F.col("x1") + (F.col("x2") - F.col("x1")) * (y - F.col("y1")) / (F.col("y2") - F.col("y1")))
+    a, b = part(F.greatest(low, F.col("j") * cell)), part(F.least(high, (F.col("j") + 1) * cell))
+    west, east = F.coalesce(F.least(a, b), F.least("x1", "x2")), F.coalesce(F.greatest(a, b), F.greatest("x1", "x2"))
+    slack = 1e-9 * cell
+    border = rows.select("unit", "j", F.explode(F.sequence(F.floor((west - slack) / cell), F.floor((east + slack) / cell))).alias("i")).distinct()
+    gap = border.withColumn("next", F.lead("i").over(Window.partitionBy("unit", "j").orderBy("i"))).filter("next > i + 1")
+    gap = gap.select("unit", "j", (F.col("i") + 1).alias("first"), (F.col("next") - 1).alias("last"), ((F.col("i") + 1.5) * cell).alias("x"), ((F.col("j") + 0.5) * cell).alias("y"))
+    met = gap.join(rows, ["unit", "j"]).groupBy("unit", "j", "first", "last").agg(F.count(F.when(_crosses("x", "y"), 1)).alias("n"))
+    full = met.filter("n % 2 = 1").select("unit", F.explode(F.sequence("first", "last")).alias("i"), "j")
+    return border.select("unit", "i", "j"), full, rows.filter("y1 <> y2").select("unit", "j", "x1", "y1", "x2", "y2")
+
+
+def points_in_polygons(points: DataFrame, vertices: DataFrame, cell: float = 1.0) -> DataFrame:
+    """(point, unit) of points (point, x, y): inside by parity, so holes are outside and islands inside.
+
+    A point in a square that lies wholly in a unit is answered by the square. In a square on the unit's border it is cast
+    against the unit's own edges of its row. Points meet squares by both coordinates, and edges by unit and row.
+    """
+    border, full, rows = polygon_cells(vertices, cell)
+    placed = points.select("point", "x", "y", F.floor(F.col("x") / cell).alias("i"), F.floor(F.col("y") / cell).alias("j"))
+    inside = placed.join(full, ["i", "j"]).select("point", "unit")
+    cast = placed.join(border, ["i", "j"]).join(rows, ["unit", "j"]).groupBy("point", "unit").agg(F.count(F.when(_crosses("x", "y"), 1)).alias("n"))
+    return inside.unionByName(cast.filter("n % 2 = 1").select("point", "unit"))

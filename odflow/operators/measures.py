@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from odflow.functions.recode import recode
 from odflow.operators.flows import attach_ends, ends, top_partners, weighted_median
+from odflow.operators.ranks import numbered, values_at
 
 
 def attach_household(persons: DataFrame, households: DataFrame, psu: str = "psu") -> DataFrame:
@@ -38,23 +39,38 @@ def conditional_lookup(df: DataFrame, lookup: DataFrame, key: Column, guard: Col
     return df.withColumn("_key", F.when(guard, key)).join(side, "_key", "left").drop("_key")
 
 
-def nearest(points: DataFrame, targets: DataFrame, cell: float, levels: int = 5, factor: int = 4) -> DataFrame:
+def nearest(points: DataFrame, targets: DataFrame, levels: int | None = None) -> DataFrame:
     """(point, target, distance): the nearest target of each point (point, x, y; target, tx, ty), ties to the smaller code.
 
-    Points meet the targets of the nine squares around them, first squares of side ``cell``, then ever larger ones for those that found
-    none within a side. Points farther than the last side from every target have no row.
+    Every point with coordinates has a row, however far it lies, unless there is no target with coordinates. Targets are laid in a
+    tree of squares, four by four in each, that keeps the box around the targets of every square. A point goes down the tree from
+    the root and keeps the squares that may hold its nearest target: their boxes are not farther than the farthest corner of
+    the best one. So far and clustered targets cost no more than close ones. ``levels``: depth of the tree, by the number of
+    targets if None.
     """
+    t = targets.filter("tx is not null and ty is not null").groupBy("tx", "ty").agg(F.min("target").alias("target"))
+    whole = t.agg(F.min("tx"), F.min("ty"), F.max("tx"), F.max("ty"), F.count(F.lit(1))).first()
+    west, south, east, north, n = whole
+    kept = points.filter("x is not null and y is not null").select("point", "x", "y")
+    if not n:
+        return kept.join(t.select("target"), F.lit(False)).select("point", "target", F.lit(0.0).alias("distance"))
+    levels = levels or max(1, math.ceil(math.log(n, 16)) + 1)
+    side = (max(east - west, north - south) or 1.0) * 1.000001
+    at = lambda c, low, k: F.floor((F.col(c) - low) / (side / 4**k))
+    for k in range(1, levels + 1):
+        box = t.groupBy(at("tx", west, k).alias("i"), at("ty", south, k).alias("j")).agg(F.min("tx").alias("w"), F.min("ty").alias("s"), F.max("tx").alias("e"), F.max("ty").alias("n"))
+        box = box.withColumns({"pi": F.floor(F.col("i") / 4), "pj": F.floor(F.col("j") / 4)})
+        # 16^k squares at most: below that size a level may be sent to all
+        box = F.broadcast(box) if k <= 3 else box
+        met = kept.join(box) if k == 1 else kept.join(box, (F.col("ci") == F.col("pi")) & (F.col("cj") == F.col("pj")))
+        out = lambda c, lo, hi: F.greatest(F.col(lo) - F.col(c), F.col(c) - F.col(hi), F.lit(0.0))
+        over = lambda c, lo, hi: F.greatest(F.abs(F.col(lo) - F.col(c)), F.abs(F.col(hi) - F.col(c)))
+        met = met.withColumns({"low": F.hypot(out("x", "w", "e"), out("y", "s", "n")), "high": F.hypot(over("x", "w", "e"), over("y", "s", "n"))})
+        best = F.min("high").over(Window.partitionBy("point", "x", "y"))
+        kept = met.withColumn("best", best).filter(F.col("low") <= F.col("best") * (1 + 1e-12)).select("point", "x", "y", F.col("i").alias("ci"), F.col("j").alias("cj"))
+    ends_ = t.withColumns({"ci": at("tx", west, levels), "cj": at("ty", south, levels)})
     far = F.hypot(F.col("x") - F.col("tx"), F.col("y") - F.col("ty"))
-    near = F.array(*map(F.lit, (-1, 0, 1)))
-    rest, found = points.select("point", "x", "y"), []
-    for k in range(levels):
-        side = cell * factor**k
-        square = lambda df, x, y: df.withColumns({"_i": F.floor(F.col(x) / side), "_j": F.floor(F.col(y) / side)})  # noqa: B023,E731
-        around = square(rest, "x", "y").withColumn("_di", F.explode(near)).withColumn("_dj", F.explode(near)).select("point", "x", "y", (F.col("_i") + F.col("_di")).alias("_i"), (F.col("_j") + F.col("_dj")).alias("_j"))
-        met = around.join(square(targets.select("target", "tx", "ty"), "tx", "ty"), ["_i", "_j"]).withColumn("distance", far).filter(F.col("distance") <= side)
-        found.append(met.groupBy("point").agg(F.min(F.struct("distance", "target")).alias("best")))
-        rest = rest.join(found[-1], "point", "left_anti")
-    return reduce(DataFrame.unionByName, found).select("point", "best.target", "best.distance")
+    return kept.join(ends_, ["ci", "cj"]).groupBy("point").agg(F.min(F.struct(far.alias("distance"), "target")).alias("b")).select("point", "b.target", "b.distance")
 
 
 def median_of(column: str, predicate: Column | None = None) -> Column:
@@ -129,7 +145,7 @@ def order_by_recent_rank(ranks: DataFrame, editions: Sequence[str], key: str = "
     """(unit, position): by the rank of the latest edition, then of the one before and so on, missing ranks last, then by code."""
     wide = ranks.groupBy(key).agg(*(F.min(F.when(F.col("edition") == e, F.col("place"))).alias(f"e{i}") for i, e in enumerate(editions)))
     order = [F.asc_nulls_last(f"e{i}") for i in reversed(range(len(editions)))]
-    return wide.select(key, F.row_number().over(Window.orderBy(*order, key)).alias("position"))
+    return numbered(wide, [*order, F.col(key)]).select(key, "position")
 
 
 def extremes(df: DataFrame, column: str, k: int, key: str = "unit") -> DataFrame:
@@ -159,25 +175,18 @@ def alluvial(paths: DataFrame, stages: Sequence[str], k: int, kind: str = "class
 
 
 def symmetric_breaks(df: DataFrame, column: str, shares: Sequence[float] = (0.60, 0.85, 0.96)) -> DataFrame:
-    """One row b1, b2, ...: the value of |x| at place floor(p n) of the positive ones in rising order, from 0; 1, 2, 3 without any.
-
-    Equal values are counted before they are ordered, so the window holds distinct values only.
-    """
-    size = F.abs(F.col(column))
-    counts = df.filter(size > 0).groupBy(size.alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    run = F.sum("c").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-    placed = counts.withColumn("upto", run).join(F.broadcast(counts.agg(F.sum("c").alias("n"))))
-    at = lambda p: F.least(F.col("n") - 1, F.floor(F.lit(p) * F.col("n")))
-    picks = [F.coalesce(F.min(F.when(F.col("upto") > at(p), F.col("v"))), F.lit(float(i + 1))).alias(f"b{i + 1}") for i, p in enumerate(shares)]
-    return placed.agg(*picks)
+    """One row b1, b2, ...: the value of |x| at place floor(p n) of the positive ones in rising order, from 0; 1, 2, 3 without any."""
+    sizes = df.select(F.abs(F.col(column)).alias("v")).filter("v > 0")
+    place = lambda p, n: min(n - 1, math.floor(p * n))
+    n, found = values_at(sizes, "v", lambda n: [place(p, n) for p in shares])
+    breaks = [float(found.get(place(p, n), i + 1)) for i, p in enumerate(shares)]
+    return df.sparkSession.createDataFrame([breaks], ", ".join(f"b{i + 1} double" for i in range(len(breaks))))
 
 
 def quantile_filter(df: DataFrame, column: str, q: float) -> DataFrame:
-    """Rows at or above the value at place floor(q (n - 1)) in rising order; q = 0 keeps all."""
-    counts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    run = F.sum("c").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-    cut = counts.withColumn("upto", run).join(F.broadcast(counts.agg(F.sum("c").alias("n")))).filter(F.col("upto") > F.floor(F.lit(q) * (F.col("n") - 1))).agg(F.min("v").alias("_cut"))
-    return df.join(F.broadcast(cut)).filter(F.col(column) >= F.col("_cut")).drop("_cut")
+    """Rows at or above the value at place floor(q (n - 1)) in rising order; q = 0 keeps all that have a value."""
+    _, found = values_at(df, column, lambda n: [math.floor(q * (n - 1))])
+    return df.filter(F.col(column) >= F.lit(min(found.values()))) if found else df.filter(F.lit(False))
 
 
 def turnover(units: DataFrame) -> DataFrame:

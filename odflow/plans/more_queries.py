@@ -234,7 +234,7 @@ def conditional_lookup(s: Survey) -> DataFrame:
 def nearest_units(s: Survey) -> DataFrame:
     points = s.units.select(F.col("unit").alias("point"), F.col("lon").alias("x"), F.col("lat").alias("y"))
     targets = s.units.filter("metro is null").select(F.col("unit").alias("target"), F.col("lon").alias("tx"), F.col("lat").alias("ty"))
-    return _rounded(measures.nearest(points, targets, 2.0), 9, "distance")
+    return _rounded(measures.nearest(points, targets), 9, "distance")
 
 
 @query("SELECT unit AS code, 'unexpected' AS side FROM units WHERE unit NOT IN (SELECT CAST(unit AS STRING) FROM persons WHERE unit < '20') UNION ALL SELECT DISTINCT 'x' || unit, 'missing' FROM persons WHERE unit = '03'")

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from odflow.operators import audit, estimate, flows, metro, release
+from odflow.operators import audit, estimate, flows, linked, metro, release
 from odflow.plans.metro_queries import _BASE, _METRO, _movers, _people
 from odflow.plans.queries import _CLASSES, _E, _LONG, _UNITS, Survey, _classified, _rounded, _variance, query
 from odflow.plans.views import read
+from odflow.sources import files, store
 from odflow.spec import Limits
 
 _WIDE = {"education": ["low", "high"], "age_band": ["15_24", "25_39"], "income": ["i1", "i5"]}
@@ -197,3 +200,24 @@ def check_bounds(s: Survey) -> DataFrame:
 def check_profile(s: Survey) -> DataFrame:
     profile = estimate.long_profile(_classified(s).filter("is_flow"), ["unit"], ["education", "income"], {"education": F.col("age") >= 25})
     return audit.check_profile(profile, s.flow())
+
+
+@query()
+def linked_suppression(s: Survey) -> DataFrame:
+    """Every edition's flows with what is hidden so that neither cells nor the margins beside them tell a hidden one (no SQL twin: rounds)."""
+    cells, margins = linked.protect_margins(_edition_cells(s), ["edition"])
+    for end in ("o", "d"):
+        side = margins.filter(F.col("side") == end).select("edition", F.col("unit").alias(end), F.col("published").alias(f"{end}_published"))
+        cells = cells.join(side, ["edition", end])
+    return cells.select("edition", "o", "d", "total", "n", "n_psu", "hidden", "o_published", "d_published")
+
+
+_OBSERVED = [("rows", "count(*)", 1.0, None), ("weight", "sum(weight)", 1.0, None), ("households", "count(psu)", 1.0, None), ("unknown_flags", "count(CASE WHEN is_flow IS NULL THEN 1 END)", None, 0.0), ("loops", "count(CASE WHEN is_flow AND prev_unit = unit THEN 1 END)", None, 0.0), ("oldest", "max(age)", None, 89.0)]
+
+
+@query("SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{name}' AS name, CAST({value} AS DOUBLE) AS value, CAST({'NULL' if low is None else low} AS DOUBLE) AS low, CAST({'NULL' if high is None else high} AS DOUBLE) AS high, coalesce({value} >= {'-1e300' if low is None else low} AND {value} <= {'1e300' if high is None else high}, false) AS ok FROM persons WHERE age IS NOT NULL" for name, value, low, high in _OBSERVED) + ") UNION ALL SELECT 'read', CAST(count(*) AS DOUBLE), CAST(1 AS DOUBLE), NULL, count(*) >= 1 FROM persons")
+def checks_while_writing(s: Survey) -> DataFrame:
+    """Checks of the persons gathered in the one pass that writes them."""
+    checks = [files.Check(name, F.expr(value), low, high) for name, value, low, high in _OBSERVED]
+    path = f"{store.shared_folder(s.spark)}/{uuid.uuid4().hex}"
+    return files.write_checked(s.persons, path, checks, [files.Check("read", F.count(F.lit(1)), 1.0)], F.col("age").isNotNull())

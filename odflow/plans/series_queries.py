@@ -212,6 +212,49 @@ def grid_overlap(s: Survey) -> DataFrame:
     return panels.grid_overlap(hits(False), hits(True))
 
 
+#: Rectangles of a mesh of units whose sides depend on the unit, each with a hole, over the mesh of unit squares.
+_SLABS = ", sl AS (SELECT unit, CAST(unit AS INT) % 5 + 0.3 AS w, CAST(unit AS INT) // 5 + 0.1 AS s, CAST(unit AS INT) % 5 + 1.1 + (CAST(unit AS INT) % 3) * 0.5 AS e, CAST(unit AS INT) // 5 + 0.9 + (CAST(unit AS INT) % 4) * 0.3 AS n FROM units), gp AS (SELECT unit AS own, CAST(unit AS INT) % 5 + dx AS x, CAST(unit AS INT) // 5 + dy AS y FROM units CROSS JOIN (SELECT unnest(range(8)) / 8.0 + 0.0625 AS dx) CROSS JOIN (SELECT unnest(range(8)) / 8.0 + 0.0625 AS dy)), sh AS (SELECT sl.unit, gp.own FROM sl JOIN gp ON x > w AND x < e AND y > s AND y < n AND NOT (x > w + 0.2 AND x < w + 0.5 AND y > s + 0.2 AND y < s + 0.5))"
+
+
+def _slabs(s: Survey) -> DataFrame:
+    k = F.col("unit").cast("int")
+    at = s.units.select("unit", (k % 5 + 0.3).alias("w"), (F.floor(k / 5) + 0.1).alias("s"), (k % 5 + 1.1 + (k % 3) * 0.5).alias("e"), (F.floor(k / 5) + 0.9 + (k % 4) * 0.3).alias("n"))
+    w, south, e, n = (F.col(c) for c in "wsen")
+    outer = [(w, south), (e, south), (e, n), (w, n), (w, south)]
+    hole = [(w + a, south + b) for a, b in ((0.2, 0.2), (0.2, 0.5), (0.5, 0.5), (0.5, 0.2), (0.2, 0.2))]
+    corners = F.array(*(F.struct(F.lit(ring).alias("ring"), F.lit(i).alias("i"), x.alias("x"), y.alias("y")) for ring, line in enumerate((outer, hole)) for i, (x, y) in enumerate(line)))
+    return at.select("unit", F.explode(corners).alias("c")).select("unit", "c.*")
+
+
+def _fine_grid(s: Survey) -> DataFrame:
+    """64 points in each square of the mesh."""
+    k, step = F.col("unit").cast("int"), F.array(*(F.lit(i / 8 + 0.0625) for i in range(8)))
+    at = s.units.select("unit", k.alias("k")).withColumn("dx", F.explode(step)).withColumn("dy", F.explode(step))
+    return at.select(F.concat_ws("/", "unit", "dx", "dy").alias("point"), (F.col("k") % 5 + F.col("dx")).alias("x"), (F.floor(F.col("k") / 5) + F.col("dy")).alias("y"))
+
+
+@query(_SLABS + " SELECT unit, own AS parent, round(count(*) / sum(count(*)) OVER (PARTITION BY unit), 9) AS share FROM sh GROUP BY unit, own")
+def partial_overlaps(s: Survey) -> DataFrame:
+    """Shares of slabs with holes that lie in each square of the mesh."""
+    hits = geo.points_in_polygons(_fine_grid(s), _slabs(s), 0.25)
+    return _rounded(panels.grid_overlap(hits, geo.points_in_polygons(_fine_grid(s), _mesh(s, False))), 9, "share")
+
+
+@query(_SLABS + " SELECT unit, round((e - w) * (n - s) - 0.09, 9) AS area FROM sl")
+def areas_with_holes(s: Survey) -> DataFrame:
+    return _rounded(geo.polygon_area(_slabs(s)), 9, "area")
+
+
+@query(_SLABS + ", ct AS (SELECT unit AS own, CAST(unit AS INT) % 5 + 0.55 AS x, CAST(unit AS INT) // 5 + 0.45 + (CAST(unit AS INT) % 2) * 0.3 AS y FROM units), v AS (SELECT 1 - count(CASE WHEN x > w AND x < e AND y > s AND y < n AND NOT (x > w + 0.2 AND x < w + 0.5 AND y > s + 0.2 AND y < s + 0.5) THEN 1 END) / count(*) AS v FROM ct JOIN sl ON sl.unit = ct.own) SELECT 'points_outside' AS name, round(v, 9) AS value, CAST(0.005 AS DOUBLE) AS expected, v <= 0.005 AS ok FROM v")
+def check_of_points_outside(s: Survey) -> DataFrame:
+    """Points of units of which some lie in a hole of their own slab."""
+    from odflow.operators import audit
+
+    k = F.col("unit").cast("int")
+    points = s.units.select("unit", F.col("unit").alias("point"), (k % 5 + 0.55).alias("x"), (F.floor(k / 5) + 0.45 + (k % 2) * 0.3).alias("y"))
+    return _rounded(audit.check_geometry(geo.points_in_polygons(points.drop("unit"), _slabs(s), 0.25), points), 9, "value")
+
+
 @query("SELECT unit, CAST(unit AS INT) % 5 < 4 AND unit <> '24' AS existed, CASE WHEN CAST(unit AS INT) % 5 = 4 THEN CASE WHEN unit = '24' THEN NULL WHEN unit = '19' THEN '00' ELSE lpad(CAST(CAST(unit AS INT) - 1 AS STRING), 2, '0') END END AS parent, CASE WHEN CAST(unit AS INT) % 5 < 4 THEN 'existed' WHEN unit = '24' THEN 'none' WHEN unit = '19' THEN 'nearest' WHEN unit = '14' THEN 'several_parents' ELSE 'single_parent' END AS method FROM units")
 def assigned_parents(s: Survey) -> DataFrame:
     hits = lambda merged: geo.points_in_polygons(_grid(s), _mesh(s, merged))

@@ -53,3 +53,14 @@ def once(spark: SparkSession, name: str, sources: Sequence[str], make: Callable[
         out.option("path", f"{shared_folder(spark)}/{table}").saveAsTable(table)
         _MADE[at] = table
     return spark.table(_MADE[at])
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read back: its lineage ends there, and its size is known.
+
+    Rounds of joins need the latter: a checkpoint keeps the estimate of its plan, which every further join multiplies.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
