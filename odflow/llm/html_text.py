@@ -29,7 +29,7 @@ BLOCK = frozenset(
     "head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 #: Elements and parts of names that hold no article text.
-APART = frozenset("nav footer aside form button dialog menu".split()) | RAW
+APART = frozenset("nav footer aside button dialog menu".split()) | RAW
 APART_NAME = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|banner|promo\w*|nav\w*|menu\w*|breadcrumb\w*|sidebar\w*|side|footer|site-?header|masthead|cookie\w*|consent|notice\w*|alert|popup|modal|"
     r"newsletter|subscribe\w*|share|sharing|social|related|recommend\w*|comment\w*|replies|disqus|widget\w*|pagination|login|signup|search|skip-?link|copyright|legal)(?:$|[\s_-])",
@@ -45,12 +45,14 @@ def parse(page: str, names: frozenset = frozenset(), seen: tuple[Counter, Counte
 
     Unclosed elements end with their parent; a block that is apart ends at its own end tag, or at an end tag of an
     element around it. Elements with a class or id in ``names`` are apart. ``seen`` counts classes and ids of elements in or
-    around an article, and of all others.
+    around an article, and of all others. A form is apart unless it holds most of the page's words, for then it wraps the page; a header
+    outside of articles is apart unless it lies in another block and has a heading and no list, form or menu, for then it is the text's own.
     """
     out: list[tuple[str, str, bool, bool, str]] = []
     stack: list[tuple[str, bool]] = []  # element, whether apart
     around: list[list[str]] = []  # classes and ids of the open elements
     depth, inside, at, n = 0, 0, 0, len(page)
+    spans: list[list] = []  # forms and headers: name, first token, end, whether inside of another element
     while at < n:
         m = _TOKEN.match(page, at)
         at = m.end()
@@ -68,11 +70,13 @@ def parse(page: str, names: frozenset = frozenset(), seen: tuple[Counter, Counte
                     around.pop()
                     depth -= apart
                     inside -= e in ("article", "main")
+                    if e in ("form", "header"):
+                        next(x for x in reversed(spans) if x[0].endswith(e) and x[2] is None)[2] = len(out)
                     if e == name:
                         break
             out.append(("/" + name, "", depth > 0, inside > 0, ""))
             continue
-        apart = name in APART or (name == "header" and not inside)
+        apart = name in APART
         own: list[str] = []
         for key, a, b, c in _NAME.findall(m[3]):
             value = a or b or c
@@ -88,15 +92,53 @@ def parse(page: str, names: frozenset = frozenset(), seen: tuple[Counter, Counte
             if name in ("article", "main") and not inside:
                 seen[0].update(own + [t for tokens in around for t in tokens])
         out.append((name, "", depth > 0 or apart, inside > 0, ""))
-        if name in RAW:
+        closed = m[3].rstrip().endswith("/")
+        if name in RAW and (not closed or name in ("script", "style")):
             end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
             at = end.end() if end else n
-        elif name not in VOID and not m[3].rstrip().endswith("/"):
+        elif name not in VOID and not closed:
+            if name == "form" or (name == "header" and not inside):
+                spans.append([name, len(out) - 1, None, bool(stack) and stack[-1][0] not in ("html", "body")])
+            elif name == "header":  # an article's own stays
+                spans.append(["own header", len(out), None, True])
             stack.append((name, apart))
             around.append(own)
             depth += apart
             inside += name in ("article", "main")
-    return out
+    for span in spans:
+        span[2] = len(out) if span[2] is None else span[2]
+    return _without_spans(out, spans)
+
+
+def _without_spans(tokens: list[tuple[str, str, bool, bool, str]], spans: list[list]) -> list[tuple[str, str, bool, bool, str]]:
+    """tokens with those forms and headers apart that do not belong to the text."""
+    if not spans:
+        return tokens
+    words = [0 if tag or apart else len(text.split()) for tag, text, apart, _, _ in tokens]
+    whole, gone = sum(words), set()
+    for name, first, end, within in spans:
+        if name == "own header":
+            continue
+        if name == "form":
+            keep = 2 * sum(words[first:end]) > whole
+        else:
+            tags = {t[0] for t in tokens[first:end]}
+            keep = within and bool(tags & {"h1", "h2"}) and not tags & {"nav", "ul", "ol", "form", "menu"}
+        if not keep:
+            gone.update(range(first, end))
+    return [(tag, text, apart or i in gone, article, block) for i, (tag, text, apart, article, block) in enumerate(tokens)]
+
+
+def best_region(values: list[float]) -> tuple[int, int]:
+    """Start and end of the contiguous run of highest sum; (0, 0) if none is above 0. Of equal runs the one that ends first."""
+    best, at, total, start = 0.0, (0, 0), 0.0, 0
+    for i, value in enumerate(values):
+        if total <= 0:
+            total, start = 0.0, i
+        total += value
+        if total > best:
+            best, at = total, (start, i + 1)
+    return at
 
 
 class Model:
@@ -130,22 +172,17 @@ class Model:
     def text(self, page: str) -> str:
         """Main text; empty if there is none."""
         tokens = parse(page, self.names)
-        best, best_at, total, start = 0.0, (0, 0), 0.0, 0
-        for i, (tag, text, apart, _, block) in enumerate(tokens):
+        values = []
+        for tag, text, apart, _, block in tokens:
             if tag:
                 name = tag.lstrip("/")
-                value = -self.cost.get(name, self.other_block if name in BLOCK else self.other)
+                values.append(-self.cost.get(name, self.other_block if name in BLOCK else self.other))
             elif apart:
-                value = -0.2 * len(text.split())
+                values.append(-0.2 * len(text.split()))
             else:
-                value = len(text.split()) * self.gain.get(block, 1.0)
-            if total <= 0:
-                total, start = 0.0, i
-            total += value
-            if total > best:
-                best, best_at = total, (start, i + 1)
+                values.append(len(text.split()) * self.gain.get(block, 1.0))
         blocks, now = [], []
-        for tag, text, apart, _, _ in tokens[slice(*best_at)]:
+        for tag, text, apart, _, _ in tokens[slice(*best_region(values))]:
             if tag:
                 if tag.lstrip("/") in BLOCK:
                     blocks.append("".join(now))

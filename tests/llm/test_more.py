@@ -266,3 +266,29 @@ def test_groups_are_never_split():
         assert all(len(set(value[a:b])) == 1 for a, b in zip(bounds, bounds[1:])) and bounds[-1] == len(value)
         seen += sorted(set(value.tolist()))
     assert seen == sorted(set(keys.tolist()))
+
+
+def test_html_forms_closed_elements_and_headers(spark):
+    model = html_text.fit(spark.read.parquet("/root/testdata/sf0.001/pages.parquet"))
+    words = lambda c: " ".join(f"{c}{i}" for i in range(60))
+    nav = "<nav><a href='/'>home</a></nav>"
+    wrapped = f"<html><body><form id='aspnetForm'>{nav}<div><p>{words('x')}</p><p>{words('y')}</p></div><input name='q'></form><footer>end</footer></body></html>"
+    assert model.text(wrapped) == f"{words('x')} {words('y')}"
+    small = f"<html><body>{nav}<div><p>{words('x')}</p><form><label>Your name please</label><textarea>t</textarea></form><p>{words('y')}</p></div></body></html>"
+    assert model.text(small) == f"{words('x')} {words('y')}"
+    for closed in ("<svg width='3'/>", "<iframe src='a'/>", "<object data='b' />", "<math/>", "<select/>"):
+        assert model.text(f"<html><body>{nav}<div><p>{words('x')}</p>{closed}<p>{words('y')}</p></div></body></html>") == f"{words('x')} {words('y')}"
+    assert model.text(f"<body><div><p>{words('x')}</p><script src='a'/>var a = 1;</script><p>{words('y')}</p></div></body>") == f"{words('x')} {words('y')}"
+    titled = f"<html><body><header><h1>Site</h1><ul><li>menu</li></ul></header><div><header><h1>Own title</h1></header><p>{words('x')}</p></div></body></html>"
+    assert model.text(titled) == f"Own title {words('x')}"
+    assert model.text(f"<html><body><header><h1>Site</h1></header><div><p>{words('x')}</p></div></body></html>") == words("x")
+
+
+def test_html_scan_finds_the_best_of_all_regions():
+    rng = random.Random(12)
+    for n in (0, 1, 2, 5, 30, 60):
+        for _ in range(40):
+            values = [float(rng.choice([-3, -2, -1, 0, 1, 2, 3])) for _ in range(n)]
+            a, b = html_text.best_region(values)
+            best = max([0.0, *(sum(values[i:j]) for i in range(n) for j in range(i + 1, n + 1))])
+            assert sum(values[a:b]) == best and (best > 0 or a == b)
