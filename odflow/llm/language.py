@@ -8,6 +8,8 @@ language. Scoring a batch is two matrix products.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 import regex
@@ -17,6 +19,8 @@ from pyspark.sql import functions as F
 from odflow.llm.common import slices, string_bytes
 
 PLACES = 1 << 14
+#: Texts whose presence is held at once: 16 MB.
+SLICE = 256
 ORDERS = 4
 _LETTER = regex.compile(r"\p{L}")
 U = np.uint32
@@ -46,16 +50,26 @@ def presence(body: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return out
 
 
+def _rows(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Presence of some texts and the root of each one's number of places."""
+    packed = [t.encode() for t in texts]
+    x = presence(np.frombuffer(b"".join(packed), np.uint8), np.cumsum([0, *map(len, packed)]))
+    return x, np.sqrt(np.maximum(x.sum(axis=1), 1))
+
+
 class Model:
     def __init__(self, texts: list[str], labels: list[str], landmarks: int = 128, ridge: float = 1e-3):
         self.classes = sorted(set(labels))
-        packed = [t.encode() for t in texts]
-        x = presence(np.frombuffer(b"".join(packed), np.uint8), np.cumsum([0, *map(len, packed)]))
-        size = np.sqrt(np.maximum(x.sum(axis=1), 1))
-        # landmarks in turn from each language, in the sample's order
-        order = sorted(range(len(labels)), key=lambda i: (labels[:i].count(labels[i]), labels[i]))[:landmarks]
-        self.landmarks = (x[order] / size[order, None]).T.copy()
-        k = (x @ self.landmarks) / size[:, None]
+        seen: Counter = Counter()
+        turn = []
+        for i, y in enumerate(labels):
+            turn.append((seen[y], y, i))
+            seen[y] += 1
+        # landmarks in turn from each language, in the sample's order, one of each at least
+        order = [i for _, _, i in sorted(turn)[: max(landmarks, len(self.classes))]]
+        at = [_rows([texts[i] for i in order[lo : lo + SLICE]]) for lo in range(0, len(order), SLICE)]
+        self.landmarks = np.concatenate([x / size[:, None] for x, size in at]).T.copy()
+        k = np.concatenate([(x @ self.landmarks) / size[:, None] for x, size in (_rows(texts[lo : lo + SLICE]) for lo in range(0, len(texts), SLICE))])
         value, vector = np.linalg.eigh(k[order].astype(np.float64))
         keep = value > 1e-6 * value.max()
         whiten = vector[:, keep] / np.sqrt(value[keep])
@@ -71,12 +85,13 @@ class Model:
         return ((x @ self.landmarks) / size[:, None]) @ self.weight + self.bias
 
 
-def fit(docs: DataFrame, per_language: int = 250) -> Model | None:
-    """From about ``per_language`` labelled texts of each language (that bound is the parameter), never held-out ones."""
+def fit(docs: DataFrame, per_language: int = 250, most: int = 8000) -> Model | None:
+    """From about ``per_language`` labelled texts of each language and ``most`` in all (these bounds are parameters), never held-out ones."""
     labelled = docs.select("doc_id", "lang", "text").filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return None
+    per_language = min(per_language, max(1, most // len(counts)))
     part = F.lit(0.0)
     for lang, n in sorted(counts.items()):  # a row a language
         part = F.when(F.col("lang") == lang, F.lit(min(1.0, per_language / n))).otherwise(part)

@@ -27,6 +27,12 @@ def word_features(word: str) -> tuple[str, ...]:
     return (word, *(word[:k] + "*" for k in range(3, min(6, len(word)) + 1)))
 
 
+def bag_slope(p: np.ndarray, miss: np.ndarray, owner: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Slope of minus the bags' log likelihood by each sentence's logit: p its score, miss the log of its bag's prod(1 - p)."""
+    hit = np.maximum(1 - np.exp(miss), 1e-9)
+    return np.where(y[owner] == 1, -(np.exp(miss) / hit)[owner] * p, p)
+
+
 class Model:
     """weights: of features; bias: of a sentence."""
 
@@ -54,8 +60,7 @@ class Model:
             z = self.bias + np.bincount(sentence, weight[feature], len(owner))
             p = 1 / (1 + np.exp(-z))
             miss = np.bincount(owner, np.log1p(-np.minimum(p, 1 - 1e-9)), len(y))
-            hit = np.maximum(1 - np.exp(miss), 1e-9)
-            slope = np.where(y[owner] == 1, -(np.exp(miss) / hit)[owner] * p, p)
+            slope = bag_slope(p, miss, owner, y)
             grad = np.bincount(feature, slope[sentence], len(weight)) + 0.05 * (weight - 1.0)
             bias_g = slope.sum() + 0.05 * (self.bias + 4.0)
             moment, size = 0.9 * moment + 0.1 * grad, 0.99 * size + 0.01 * grad**2

@@ -292,3 +292,65 @@ def test_html_scan_finds_the_best_of_all_regions():
             a, b = html_text.best_region(values)
             best = max([0.0, *(sum(values[i:j]) for i in range(n) for j in range(i + 1, n + 1))])
             assert sum(values[a:b]) == best and (best > 0 or a == b)
+
+
+def test_kernel_ridge_equals_the_plain_formula():
+    rng = random.Random(15)
+    texts = ["".join(rng.choice("abcd éß"[i % 3 :]) for _ in range(rng.randrange(5, 60))) for i in range(90)]
+    labels = [str(i % 3) for i in range(90)]
+    model = language.Model(texts, labels, landmarks=12, ridge=1e-3)
+    packed = [t.encode() for t in texts]
+    x = language.presence(np.frombuffer(b"".join(packed), np.uint8), np.cumsum([0, *map(len, packed)])).astype(np.float64)
+    size = np.sqrt(x.sum(axis=1))
+    kernel = (x @ x.T) / np.outer(size, size)
+    marks = [i for k in range(4) for i in range(3 * k, 3 * k + 3)]
+    # Nystroem: features F with F F' = K_nm K_mm^-1 K_mn; ridge in them with an unlabelled constant, which is penalised too
+    value, vector = np.linalg.eigh(kernel[np.ix_(marks, marks)])
+    assert value.min() > 1e-6 * value.max()
+    root = vector @ np.diag(value**-0.5) @ vector.T
+    f = np.c_[kernel[:, marks] @ root, np.ones(90)]
+    assert np.allclose(f[:, :-1] @ f[:, :-1].T, kernel[:, marks] @ np.linalg.inv(kernel[np.ix_(marks, marks)]) @ kernel[marks], atol=1e-6)
+    target = np.where(np.array(labels)[:, None] == np.array(["0", "1", "2"]), 1.0, -1.0)
+    weight = np.linalg.inv(f.T @ f + 1e-3 * 90 * np.eye(f.shape[1])) @ f.T @ target
+    got = model.scores(np.frombuffer(b"".join(packed), np.uint8), np.cumsum([0, *map(len, packed)]))
+    assert np.allclose(got, f @ weight, atol=1e-3)
+
+
+def test_every_language_has_a_landmark():
+    model = language.Model([f"text {chr(97 + i % 26)}{i}" for i in range(300)], [str(i) for i in range(300)], landmarks=128)
+    assert model.landmarks.shape[1] == 300 and len(model.classes) == 300
+
+
+def test_capacity_tree_against_linear_search():
+    rng = random.Random(21)
+    for size in (1, 2, 7, 16, 1024):
+        tree, rooms = packing.CapacityTree(size), collections.Counter()
+        for _ in range(400):
+            room = rng.randrange(0, size + 1)
+            n = rng.choice([1, 1, -1])
+            if n < 0 and not rooms[room]:
+                continue
+            tree.add(room, n)
+            rooms[room] += n
+            need = rng.randrange(1, size + 1)
+            assert tree.best(need) == min((r for r, k in rooms.items() if k and r >= need), default=-1)
+
+
+def test_noisy_or_slope_by_differences():
+    """The slope of the fit, minus the label's log likelihood by each sentence's logit, against differences."""
+    rng = np.random.default_rng(2)
+    z = rng.normal(size=12)
+    owner, y = np.repeat(np.arange(4), 3), np.array([1, 0, 1, 0])
+
+    def loss(z):
+        p = 1 / (1 + np.exp(-z))
+        bag = np.array([1 - np.prod(1 - p[owner == d]) for d in range(4)])
+        return -(y * np.log(bag) + (1 - y) * np.log(1 - bag)).sum()
+
+    p = 1 / (1 + np.exp(-z))
+    miss = np.bincount(owner, np.log1p(-p), 4)
+    slope = toxicity.bag_slope(p, miss, owner, y)
+    step = 1e-6
+    for i in range(12):
+        at = np.eye(12)[i] * step
+        assert abs((loss(z + at) - loss(z - at)) / (2 * step) - slope[i]) < 1e-6
