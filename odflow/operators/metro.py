@@ -55,22 +55,23 @@ def commute_profile(persons: DataFrame, dims: Sequence[str], purpose: str = "wor
     return long_profile(rows, ["o", "d"], dims, universes)
 
 
-def commute_indicators(persons: DataFrame) -> DataFrame:
-    """A row a unit of residence: employed, students, commuters out and in, balance, rate out (%) and attraction."""
+def commute_indicators(persons: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """A row a unit of residence (and keys): employed, students, commuters out and in, balance, rate out (%) and attraction."""
     w = lambda p: F.coalesce(F.sum(F.when(p, F.col("weight"))), F.lit(0.0))
     out = F.col("employed") & F.col("commutes")
-    here = persons.groupBy("unit").agg(
+    at = [*keys, "unit"]
+    here = persons.groupBy(*at).agg(
         w(F.col("employed")).alias("employed"), w(F.col("student")).alias("students"), w(out).alias("out_work"), F.count(F.when(out, 1)).alias("n_out"),
         w(F.col("employed") & F.col("work_local").isin("1", "2")).alias("work_here"), w(F.col("employed") & (F.col("work_local") == "5")).alias("several"),
         w(F.col("employed") & (F.col("work_local") == "4")).alias("abroad"), w(F.col("student") & F.col("commutes_study")).alias("out_study"),
         F.median(F.when(out, F.col("commute_min"))).alias("minutes"), w(out & F.col("daily")).alias("w_daily"), w(out & F.col("public")).alias("w_public"),
     )
-    into = _commuters(persons, "work").groupBy(F.col("d").alias("unit")).agg(F.sum("weight").alias("in_work"), F.count(F.lit(1)).alias("n_in"))
-    study = _commuters(persons, "study").groupBy(F.col("d").alias("unit")).agg(F.sum("weight").alias("in_study"))
-    rows = here.join(into, "unit", "left").join(study, "unit", "left").fillna(0, ["in_work", "n_in", "in_study"])
+    into = _commuters(persons, "work").groupBy(*keys, F.col("d").alias("unit")).agg(F.sum("weight").alias("in_work"), F.count(F.lit(1)).alias("n_in"))
+    study = _commuters(persons, "study").groupBy(*keys, F.col("d").alias("unit")).agg(F.sum("weight").alias("in_study"))
+    rows = here.join(into, at, "left").join(study, at, "left").fillna(0, ["in_work", "n_in", "in_study"])
     share = lambda a, b: F.when(F.col(b) > 0, a / F.col(b))
     return rows.select(
-        "unit", "employed", "students", "out_work", "in_work", (F.col("in_work") - F.col("out_work")).alias("balance"), "out_study", "in_study", "several", "abroad", "n_out", "n_in",
+        *at, "employed", "students", "out_work", "in_work", (F.col("in_work") - F.col("out_work")).alias("balance"), "out_study", "in_study", "several", "abroad", "n_out", "n_in",
         share(100 * F.col("out_work"), "employed").alias("rate_out"), share(F.col("work_here") + F.col("in_work"), "employed").alias("attraction"),
         "minutes", share(100 * F.col("w_daily"), "out_work").alias("pct_daily"), share(100 * F.col("w_public"), "out_work").alias("pct_public"),
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from odflow.operators import estimate, flows, geo, panels, series
+from odflow.operators import estimate, flows, geo, metro, panels, series
 from odflow.plans.queries import _CLASSES, LINEAGE, Survey, _classified, _rounded, _variance, query
 from odflow.plans.series_queries import _ALBERS, _STATE
 
@@ -15,7 +15,7 @@ LEVELS = ("level1", "level2", "level3")
 def _persons(s: Survey) -> DataFrame:
     """Classified persons with the units and strata of their edition."""
     rows = _classified(s).withColumn("stratum", F.concat("edition", F.lit("/"), "stratum"))
-    return flows.flag_flow(panels.to_edition_units(rows, s.lineage()).drop("is_flow"))
+    return flows.flag_flow(panels.to_edition_units(rows, s.lineage(), ("unit", "prev_unit", "work_unit", "study_unit")).drop("is_flow"))
 
 
 def people(s: Survey) -> DataFrame:
@@ -70,6 +70,15 @@ def _errors(s: Survey) -> DataFrame:
     return cells.groupBy("edition", "code").agg(at("in"), at("out"))
 
 
+def _commuting(s: Survey) -> DataFrame:
+    """Commuting of units, of the editions that asked."""
+    asked = metro.flag_commuters(people(s).filter("edition <> '1996'"))
+    return metro.commute_indicators(asked, ["edition"]).withColumnRenamed("unit", "code").withColumn("level", F.lit("unit"))
+
+
+_COMMUTING = ("out_work", "in_work", "balance", "out_study", "in_study", "rate_out", "attraction", "minutes", "pct_daily", "pct_public")
+
+
 def _outside(s: Survey) -> DataFrame:
     """Exchange of metropolitan regions with the rest of the country."""
     both = flows.attach_ends(_flows(s).filter("level = 'unit'").select("edition", "o", "d", "total"), s.units, ["metro"]).filter(~F.col("o_metro").eqNullSafe(F.col("d_metro")))
@@ -80,7 +89,7 @@ def _outside(s: Survey) -> DataFrame:
 
 
 _PANEL = _CLASSES + f""", editions AS (SELECT DISTINCT CAST(year(o_orderdate) AS STRING) AS edition FROM orders), lin AS ({LINEAGE}),
-pz AS (SELECT c.edition || '/' || stratum AS stratum, psu, c.edition, weight, age, age_band, prev_local, coalesce(a.parent, c.unit) AS unit, coalesce(b.parent, c.prev_unit) AS prev_unit FROM c LEFT JOIN lin a ON a.unit = c.unit AND a.edition = c.edition AND NOT a.existed LEFT JOIN lin b ON b.unit = c.prev_unit AND b.edition = c.edition AND NOT b.existed),
+pz AS (SELECT c.edition || '/' || stratum AS stratum, psu, c.edition, weight, age, age_band, prev_local, coalesce(a.parent, c.unit) AS unit, coalesce(b.parent, c.prev_unit) AS prev_unit, coalesce(w.parent, c.work_unit) AS work_unit, coalesce(t.parent, c.study_unit) AS study_unit, work_local, study_local, employed_code, school_code, commute_min, daily_code, mode_code FROM c LEFT JOIN lin a ON a.unit = c.unit AND a.edition = c.edition AND NOT a.existed LEFT JOIN lin b ON b.unit = c.prev_unit AND b.edition = c.edition AND NOT b.existed LEFT JOIN lin w ON w.unit = c.work_unit AND w.edition = c.edition AND NOT w.existed LEFT JOIN lin t ON t.unit = c.study_unit AND t.edition = c.edition AND NOT t.existed),
 fr AS (SELECT stratum, count(DISTINCT psu) AS n_h FROM pz GROUP BY stratum),
 mo AS (SELECT * FROM pz WHERE prev_local = '2' AND prev_unit <> '99' AND prev_unit <> unit),
 lv AS (SELECT unit, 'unit' AS level, unit AS code FROM units {" ".join(f"UNION ALL SELECT unit, '{x}', {x} FROM units" for x in LEVELS)}),
@@ -102,6 +111,10 @@ md AS (SELECT level, edition, code, min(km) AS median_km FROM (SELECT *, sum(t)
 gi AS (SELECT level, edition, code, max(CASE WHEN way = 'out' THEN g END) AS gini_out, max(CASE WHEN way = 'in' THEN g END) AS gini_in FROM (SELECT level, edition, code, way, sum((2 * r - n - 1) * total) / (max(n) * sum(total)) AS g FROM (SELECT *, row_number() OVER (PARTITION BY level, edition, code, way ORDER BY total) AS r, count(*) OVER (PARTITION BY level, edition, code, way) AS n FROM en) GROUP BY ALL) GROUP BY ALL),
 er AS (SELECT edition, code, max(CASE WHEN way = 'in' THEN sqrt(greatest(variance, 0)) END) AS ui, max(CASE WHEN way = 'out' THEN sqrt(greatest(variance, 0)) END) AS uo FROM ({_variance('edition, code, way', "(SELECT edition, unit AS code, 'in' AS way, stratum, psu, weight FROM mo UNION ALL SELECT edition, prev_unit, 'out', stratum, psu, weight FROM mo)").replace('JOIN frame', 'JOIN fr')}) GROUP BY ALL),
 ou AS (SELECT level, edition, code, sum(i) AS i, sum(e) AS e FROM (SELECT 'metro' AS level, edition, x.metro AS code, total AS i, 0 * total AS e FROM lf JOIN units x ON x.unit = d JOIN units y ON y.unit = o WHERE level = 'unit' AND x.metro IS DISTINCT FROM y.metro AND x.metro IS NOT NULL UNION ALL SELECT 'metro', edition, y.metro, 0 * total, total FROM lf JOIN units x ON x.unit = d JOIN units y ON y.unit = o WHERE level = 'unit' AND x.metro IS DISTINCT FROM y.metro AND y.metro IS NOT NULL) GROUP BY ALL),
+ck AS (SELECT edition, unit, weight, commute_min, work_unit, study_unit, coalesce(employed_code = '1', false) AS emp, coalesce(employed_code = '1' AND work_local = '3' AND work_unit <> '99' AND work_unit <> unit, false) AS cw, coalesce(school_code = '1' AND study_local = '2' AND study_unit <> '99' AND study_unit <> unit, false) AS cs, coalesce(employed_code = '1' AND work_local IN ('1', '2'), false) AS home, coalesce(daily_code = '1', false) AS daily, coalesce(mode_code IN ('03', '04', '05', '06'), false) AS public FROM pz WHERE edition <> '1996'),
+ch AS (SELECT edition, unit, coalesce(sum(CASE WHEN emp THEN weight END), 0) AS emp, coalesce(sum(CASE WHEN cw THEN weight END), 0) AS out_work, coalesce(sum(CASE WHEN cs THEN weight END), 0) AS out_study, coalesce(sum(CASE WHEN home THEN weight END), 0) AS home, median(CASE WHEN cw THEN commute_min END) AS minutes, coalesce(sum(CASE WHEN cw AND daily THEN weight END), 0) AS wd, coalesce(sum(CASE WHEN cw AND public THEN weight END), 0) AS wp FROM ck GROUP BY ALL),
+cm AS (SELECT 'unit' AS level, ch.edition, ch.unit AS code, out_work, coalesce(in_work, 0) AS in_work, coalesce(in_work, 0) - out_work AS balance, out_study, coalesce(in_study, 0) AS in_study, CASE WHEN emp > 0 THEN 100 * out_work / emp END AS rate_out, CASE WHEN emp > 0 THEN (home + coalesce(in_work, 0)) / emp END AS attraction, minutes, CASE WHEN out_work > 0 THEN 100 * wd / out_work END AS pct_daily, CASE WHEN out_work > 0 THEN 100 * wp / out_work END AS pct_public
+  FROM ch LEFT JOIN (SELECT edition, work_unit AS unit, sum(weight) AS in_work FROM ck WHERE cw GROUP BY ALL) USING (edition, unit) LEFT JOIN (SELECT edition, study_unit AS unit, sum(weight) AS in_study FROM ck WHERE cs GROUP BY ALL) USING (edition, unit)),
 al AS (SELECT sk.*, po.pop, po.pop5, CASE WHEN present > 0 THEN coalesce(su.i, ou.i, 0) END AS i, CASE WHEN present > 0 THEN coalesce(su.e, ou.e, 0) END AS e, CASE WHEN present > 0 AND sk.level <> 'metro' THEN CASE WHEN sk.level = 'unit' THEN coalesce(ui, 0) ELSE coalesce(si, 0) END END AS si, CASE WHEN present > 0 AND sk.level <> 'metro' THEN CASE WHEN sk.level = 'unit' THEN coalesce(uo, 0) ELSE coalesce(so, 0) END END AS so,
   CASE WHEN present > 0 AND sk.level <> 'metro' THEN coalesce(pairs, 0) END AS pairs, mean_km, median_km, gini_out, gini_in, cross_ FROM sk LEFT JOIN po USING (level, edition, code) LEFT JOIN su USING (level, edition, code) LEFT JOIN md USING (level, edition, code) LEFT JOIN gi USING (level, edition, code) LEFT JOIN ou USING (level, edition, code) LEFT JOIN er ON sk.level = 'unit' AND er.edition = sk.edition AND er.code = sk.code),
 fin AS (SELECT *, CASE WHEN i + e > 0 THEN (i - e) / (i + e) END AS v, CASE WHEN i + e > 0 THEN 2 * sqrt(e * e * si * si + i * i * so * so) / (i + e) ** 2 END AS sv FROM al)"""
@@ -117,10 +130,12 @@ def _per(x: str) -> str:
 
 
 @query(_PANEL + _XY + _MEASURES + f""" SELECT level, code, edition, CAST(units AS BIGINT) AS units, CAST(present AS BIGINT) AS present, round(direct, 6) AS direct, round(share, 6) AS share, state, pop, pop5, i AS inflow, e AS outflow, i - e AS net, {_per('i')} AS in_rate, {_per('e')} AS out_rate, {_per('i - e')} AS net_rate, round(v, 6) AS effectiveness,
-round(si, 5) AS se_in, round(so, 5) AS se_out, i + e AS turnover, {_per('i + e')} AS turnover_rate, CAST(pairs AS BIGINT) AS pairs, round(mean_km, 5) AS mean_km, round(median_km, 3) AS median_km, round(gini_out, 6) AS gini_out, round(gini_in, 6) AS gini_in, round(cross_, 6) AS cross, round(sv, 6) AS se_effectiveness, {_kind('v', 'sv')} AS kind FROM fin""")
+round(si, 5) AS se_in, round(so, 5) AS se_out, i + e AS turnover, {_per('i + e')} AS turnover_rate, CAST(pairs AS BIGINT) AS pairs, round(mean_km, 5) AS mean_km, round(median_km, 3) AS median_km, round(gini_out, 6) AS gini_out, round(gini_in, 6) AS gini_in, round(cross_, 6) AS cross, round(sv, 6) AS se_effectiveness, {_kind('v', 'sv')} AS kind, out_work, in_work, balance, out_study, in_study, round(rate_out, 6) AS rate_out, round(attraction, 6) AS attraction, minutes, round(pct_daily, 6) AS pct_daily, round(pct_public, 6) AS pct_public FROM fin LEFT JOIN cm USING (level, edition, code)""")
 def unit_panel(s: Survey) -> DataFrame:
     borders = _levels(s).join(s.units.select("unit", F.col("level3").alias("border")), "unit").select("level", "code", "border").distinct()
     rows = panels.unit_panel(_skeleton(s), _flows(s), _populations(s), borders, _errors(s), _outside(s))
+    rows = rows.join(_commuting(s).select("level", "edition", "code", *_COMMUTING), ["level", "edition", "code"], "left")
+    rows = _rounded(rows, 6, "rate_out", "attraction", "pct_daily", "pct_public")
     rows = _rounded(rows, 6, "direct", "share", "in_rate", "out_rate", "net_rate", "effectiveness", "turnover_rate", "gini_out", "gini_in", "cross", "se_effectiveness")
     return _rounded(_rounded(rows, 5, "se_in", "se_out", "mean_km"), 3, "median_km")
 

@@ -316,4 +316,4 @@ def manifest(s: Survey) -> DataFrame:
 
 
 # the modules below register more queries here
-from odflow.plans import metro_queries, more_queries, panel_queries, release_queries, series_queries  # noqa: E402,F401
+from odflow.plans import metro_queries, more_queries, panel_queries, release_queries, series_queries, source_queries  # noqa: E402,F401
