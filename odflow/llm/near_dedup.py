@@ -245,6 +245,48 @@ def _dealt(members: DataFrame, block: int, shingles: int, salt: int) -> DataFram
     return rows.withColumn("block", F.pmod(F.xxhash64("node", F.lit(salt)), F.col("blocks")))
 
 
+def _able(members: DataFrame, percent: int, filter_bits: int) -> DataFrame:
+    """The members (family, node, n, shingles, ...) that may be linked with another one of their family; linear in their shingles.
+
+    Only shingles that another member has too can be in an intersection. With s of them, sets of n and m shingles are alike only if
+    (100 + percent) s >= percent (n + m), and so for the other one; m is between percent and 100 / percent of n. So a member is left
+    out if no size near its own leaves room for that. The filter of repeated shingles may let others through, never the
+    reverse: what is left out has no link.
+    """
+
+    def names(batch):
+        sets = [np.frombuffer(x.as_py(), U) for x in batch.column("shingles")]
+        size = np.array([len(x) for x in sets], np.int64)
+        family = np.repeat(batch.column("family").to_numpy().view(U), size)
+        flat = np.concatenate(sets) if len(sets) else np.empty(0, U)
+        return _mix(flat, _mix(family, family ^ U(0x51ED2701))), size
+
+    def named(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(names(batch)[0].view(np.int64))], ["name"])
+
+    seen = members.select("family", "shingles").mapInArrow(named, "name long").groupBy("name").agg(F.count(F.lit(1)).alias("k"))
+    repeated = members.sparkSession.sparkContext.broadcast(BitFilter.of(seen.filter("k > 1").select("name"), filter_bits))
+
+    def counted(batches):
+        for batch in batches:
+            name, size = names(batch)
+            shared = np.concatenate([[0], np.cumsum(repeated.value.has(name.view(np.int64)))])
+            ends = np.cumsum(size)
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("family"), batch.column("n"), pa.array(shared[ends] - shared[ends - size])], ["node", "family", "n", "s"])
+
+    rows = stored(members.select("node", "family", "n", "shingles").mapInArrow(counted, "node long, family long, n long, s long"))
+    step = F.floor(F.log("n") / float(np.log(1.001 * 100 / percent)))  # sizes that may be alike are one step apart at most
+    room = (100 + percent) * F.col("s") - percent * F.col("n")
+    rows = rows.withColumns({"step": step, "room": room})
+    near = rows.groupBy("family", "step").agg(F.max("room").alias("most"), F.min("n").alias("least"))
+    near = near.withColumn("step", F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)))
+    near = near.groupBy("family", "step").agg(F.max("most").alias("most"), F.min("least").alias("least"))
+    smallest = F.greatest(F.col("least"), F.ceil(percent * F.col("n") / 100 - 1e-9))
+    kept = rows.join(near, ["family", "step"]).filter((F.col("most") >= percent * F.col("n")) & (F.col("room") >= percent * smallest))
+    return members.join(kept.select("node"), "node", "left_semi")
+
+
 def _across(members: DataFrame, percent: int, most: float, block: int, shingles: int) -> DataFrame:
     """Links (a, b) between components of members (node, n, bits, shingles, family, component), enough of them to join all
     components of a family that any two members join. Large components have blocks of their own, the others share some; each
@@ -351,7 +393,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, block: i
         second = stored(_rooted(_dealt(heads, block, shingles, 12), percent, most)).select(F.col("node").alias("root"), F.col("root").alias("component"))
         labels = stored(several.join(second, "root").select("node", "family", "component"))
         apart = labels.groupBy("family").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("family")
-        found = stored(_across(stored(labels.join(apart, "family").join(held, "node")), percent, most, block, shingles).distinct())
+        open_ = stored(labels.join(apart, "family").join(held, "node"))
+        found = stored(_across(stored(_able(open_, percent, filter_bits)), percent, most, block, shingles).distinct()) if open_.take(1) else open_
         if found.take(1):
             ends = components(found).select(F.col("node").alias("component"), F.col("component").alias("last"))
             labels = labels.join(ends, "component", "left").select("node", F.coalesce("last", "component").alias("component"))

@@ -354,3 +354,22 @@ def test_noisy_or_slope_by_differences():
     for i in range(12):
         at = np.eye(12)[i] * step
         assert abs((loss(z + at) - loss(z - at)) / (2 * step) - slope[i]) < 1e-6
+
+
+def test_only_members_without_a_link_are_left_out(spark):
+    rng = np.random.default_rng(6)
+    template = rng.integers(1, 2**63, 300, dtype=np.uint64)
+    members = []
+    for family, own in ((1, 50), (2, 38), (3, 200)):
+        for i in range(60):
+            # every ninth one has a twin that shares half of its own part; the third family shares little
+            part = np.random.default_rng((family, i // 2 if i % 18 < 2 else 1000 + i)).integers(1, 2**63, own, dtype=np.uint64)
+            keep = part[: own // 2] if i % 18 < 2 else part[:0]
+            rest = np.random.default_rng((family, 5000 + i)).integers(1, 2**63, own - len(keep), dtype=np.uint64)
+            members.append((family * 1000 + i, family, np.unique(np.concatenate([template[: 300 - (i % 4)], keep, rest]))))
+    df = spark.createDataFrame([(n, f, len(x), bytearray(x.tobytes())) for n, f, x in members], "node long, family long, n long, shingles binary")
+    kept = {r["node"] for r in near_dedup._able(df, 80, 1 << 16).collect()}
+    sets = {n: set(x.tolist()) for n, _, x in members}
+    linked = {n for n, f, _ in members for m, g, _ in members if f == g and n != m and 100 * len(sets[n] & sets[m]) >= 80 * len(sets[n] | sets[m])}
+    assert linked and linked <= kept and not {n for n in kept if n >= 3000}
+    assert near_dedup._able(df.limit(0), 80, 1 << 16).count() == 0
