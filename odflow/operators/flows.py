@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -219,7 +219,7 @@ def multiplicative_components(flows: DataFrame) -> DataFrame:
 
 def ipf(seed: DataFrame, rows: DataFrame, cols: DataFrame, rounds: int = 50, tolerance: float = 1e-9, cut_every: int = 5) -> DataFrame:
     """The fitted cells of ``fit_margins``."""
-    return fit_margins(seed, rows, cols, rounds, tolerance, cut_every)[0]
+    return _fitted(seed, rows, cols, rounds, tolerance, cut_every)[0]
 
 
 def fit_margins(seed: DataFrame, rows: DataFrame, cols: DataFrame, rounds: int = 50, tolerance: float = 1e-9, cut_every: int = 5) -> tuple[DataFrame, DataFrame]:
@@ -229,48 +229,60 @@ def fit_margins(seed: DataFrame, rows: DataFrame, cols: DataFrame, rounds: int =
     status, one row: converged, rounds, error (largest miss of a margin, relative to it; absolute where it is 0), unreached (ends
     with a positive target and no cell that could carry it), blocks, unbalanced (blocks of the seed, joined by cells of positive
     targets, whose two margins sum to different totals: no fit can reach both). With either above 0 the fit cannot converge.
+    """
+    cells, status = _fitted(seed, rows, cols, rounds, tolerance, cut_every)
+    return cells, status()
+
+
+def _fitted(seed: DataFrame, rows: DataFrame, cols: DataFrame, rounds: int, tolerance: float, cut_every: int) -> tuple[DataFrame, Callable[[], DataFrame]]:
+    """The cells of ``fit_margins``, and what works out the status.
 
-    The seed stays as it is, and a factor for each end is fitted in turn: a round is two joins with a vector and two aggregates.
-    Seed, margins and every ``cut_every`` rounds the factors are written, which a lost executor survives; then the error of
-    both margins, one row, reaches the driver.
+    The seed stays as it is, and a factor for each end is fitted in turn: a round is two joins with a vector and two aggregates. After
+    a round the columns fit, so what the rows miss tells how far it is; that falls out of the next round's sums. Seed, margins and
+    every ``cut_every`` rounds the rows' factors are written, which a lost executor survives, and one number reaches the driver.
     """
     rows, cols = (cut(m.select(c, F.col("target").cast("double").alias("target"))) for m, c in ((rows, "o"), (cols, "d")))
     known = seed.select("o", "d", F.col("total").cast("double").alias("total")).filter("total > 0")
     x = cut(known.join(rows.select("o"), "o", "left_semi").join(cols.select("d"), "d", "left_semi").select("o", "d", "total"))
+
+    def sums(vector: DataFrame, by: str, end: str, target: DataFrame) -> DataFrame:
+        """The target's ends with m, what their cells sum to with the other side's factors."""
+        found = x.join(vector, by).groupBy(end).agg(F.sum(F.col("total") * F.col("f")).alias("m"))
+        return target.join(found, end, "left").fillna(0.0, ["m"])
+
+    factor = F.when(F.col("m") > 0, F.col("target") / F.col("m")).otherwise(0.0).alias("f")
+    missed = lambda value: F.when(F.col("target") != 0, F.abs(value / F.col("target") - 1)).otherwise(F.abs(value))
+    fit = lambda r: sums(r, "o", "d", cols).select("d", factor)
+    state = sums(cols.select("d", F.lit(1.0).alias("f")), "d", "o", rows).select("o", factor)
+    done, worst, r = 0, None, state
+    while done < rounds:
+        for _ in range(min(cut_every, rounds - done)):
+            r, done = state, done + 1
+            state = sums(fit(r), "d", "o", rows).select("o", "target", "m", factor)
+        held = cut(state.join(r.select("o", F.col("f").alias("r")), "o").select("o", "f", F.col("r"), missed(F.col("r") * F.col("m")).alias("miss")))
+        r, state = held.select("o", F.col("r").alias("f")), held.select("o", "f")
+        worst = held.agg(F.max("miss")).first()[0]
+        if worst is None or worst <= tolerance:
+            break
+    c = fit(r)
+    cells = x.join(r.withColumnRenamed("f", "r"), "o").join(c, "d").select("o", "d", (F.col("total") * F.col("r") * F.col("f")).alias("total"))
+    # columns fit after every round, but those that no cell reaches
+    lost = sums(r, "o", "d", cols).agg(F.max(F.when((F.col("m") == 0) & (F.col("target") != 0), 1.0).otherwise(0.0)).alias("lost"))
     live = x.join(rows.filter("target > 0").select("o"), "o", "left_semi").join(cols.filter("target > 0").select("d"), "d", "left_semi").select("o", "d", "total")
-    r, c = rows.select("o", F.lit(1.0).alias("r")), cols.select("d", F.lit(1.0).alias("c"))
-    done, worst = 0, None
-    factor = lambda target: F.when(F.col("m") > 0, F.col(target) / F.col("m")).otherwise(0.0)
-    for k in range(rounds):
-        last = k % cut_every == cut_every - 1 or k == rounds - 1
-        r = x.join(c, "d").groupBy("o").agg(F.sum(F.col("total") * F.col("c")).alias("m")).join(rows, "o").select("o", factor("target").alias("r"))
-        r = cut(r) if last else r
-        c = x.join(r, "o").groupBy("d").agg(F.sum(F.col("total") * F.col("r")).alias("m")).join(cols, "d").select("d", factor("target").alias("c"))
-        if last:
-            c, done = cut(c), k + 1
-            worst = _misses(x, r, c, rows, cols).agg(F.max("miss")).first()[0]
-            if worst is None or worst <= tolerance:
-                break
-    cells = x.join(r, "o").join(c, "d").select("o", "d", (F.col("total") * F.col("r") * F.col("c")).alias("total"))
+    return cells, lambda: _fit_status(live, rows, cols, tolerance, done, worst, lost)
+
+
+def _fit_status(live: DataFrame, rows: DataFrame, cols: DataFrame, tolerance: float, done: int, worst: float | None, lost: DataFrame) -> DataFrame:
+    """The status row of ``fit_margins``; live: cells whose ends have positive targets."""
     ends_ = rows.filter("target > 0").select(F.lit("o").alias("side"), F.col("o").alias("key"), "target").unionByName(cols.filter("target > 0").select(F.lit("d").alias("side"), F.col("d").alias("key"), "target"))
     met = live.select(F.explode(F.array(F.struct(F.lit("o").alias("side"), F.col("o").alias("key")), F.struct(F.lit("d").alias("side"), F.col("d").alias("key")))).alias("e")).select("e.*").distinct()
     unreached = ends_.join(met, ["side", "key"], "left_anti").agg(F.count(F.lit(1)).alias("unreached"))
     sums = seed_blocks(live).join(ends_, ["side", "key"]).groupBy("block").agg(*(F.coalesce(F.sum(F.when(F.col("side") == s, F.col("target"))), F.lit(0.0)).alias(s) for s in ("o", "d")))
     off = F.abs(F.col("o") - F.col("d")) > tolerance * F.greatest("o", "d")
     blocks = sums.agg(F.count(F.lit(1)).alias("blocks"), F.count(F.when(off, 1)).alias("unbalanced"))
-    fitted = blocks.sparkSession.createDataFrame([(worst is None or worst <= tolerance, done, worst)], "converged boolean, rounds int, error double")
-    return cells, fitted.join(F.broadcast(unreached)).join(F.broadcast(blocks))
-
-
-def _misses(x: DataFrame, r: DataFrame, c: DataFrame, rows: DataFrame, cols: DataFrame) -> DataFrame:
-    """(miss) of every margin: its fitted sum against the target, relative to it."""
-    fit = x.join(r, "o").join(c, "d").withColumn("f", F.col("total") * F.col("r") * F.col("c"))
-
-    def miss(end: str, target: DataFrame) -> DataFrame:
-        sums = target.join(fit.groupBy(end).agg(F.sum("f").alias("f")), end, "left").fillna(0.0, ["f"])
-        return sums.select(F.when(F.col("target") != 0, F.abs(F.col("f") / F.col("target") - 1)).otherwise(F.abs("f")).alias("miss"))
-
-    return miss("o", rows).unionByName(miss("d", cols))
+    error = F.greatest(F.lit(worst).cast("double"), F.coalesce("lost", F.lit(0.0)))
+    one = lost.select(F.coalesce(error <= tolerance, F.lit(True)).alias("converged"), F.lit(done).alias("rounds"), error.alias("error"))
+    return one.join(F.broadcast(unreached)).join(F.broadcast(blocks))
 
 
 def seed_blocks(cells: DataFrame, most_rounds: int = 60) -> DataFrame:
