@@ -18,9 +18,8 @@ _PLACE = (1 << 33) - 1
 
 def _spread(df: DataFrame, by: Sequence[Column]) -> DataFrame:
     """df in order over its partitions, written: beside its columns _part and, counted from 0 in each partition, _place."""
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     place = F.monotonically_increasing_id().bitwiseAND(F.lit(_PLACE))
-    return cut(df.repartitionByRange(parts, *by).sortWithinPartitions(*by).select("*", F.spark_partition_id().alias("_part"), place.alias("_place")))
+    return cut(df.repartitionByRange(*by).sortWithinPartitions(*by).select("*", F.spark_partition_id().alias("_part"), place.alias("_place")))
 
 
 def _starts(sizes: dict[int, int]) -> dict[int, int]:

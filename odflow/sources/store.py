@@ -11,6 +11,9 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of the sources that one bucket stands for, and the most buckets that Spark takes by default.
+BUCKET_BYTES, MOST_BUCKETS = 128 << 20, 100_000
+
 #: Names of stored tables by application, name and stamps of the sources.
 _MADE: dict[tuple, str] = {}
 
@@ -42,14 +45,15 @@ def stamp(spark: SparkSession, path: str) -> tuple:
 def once(spark: SparkSession, name: str, sources: Sequence[str], make: Callable[[], DataFrame], key: str | None = None) -> DataFrame:
     """The table ``name`` made from the files ``sources``: written at the first call, read at later ones.
 
-    With ``key`` it has as many buckets of that column as the session has shuffle partitions, sorted by it.
+    With ``key`` it is in buckets of that column, sorted by it: one for every BUCKET_BYTES of the sources, and no fewer than cores.
     """
-    at = (spark.sparkContext.applicationId, name, *(stamp(spark, p) for p in sources))
+    stamps = [stamp(spark, p) for p in sources]
+    at = (spark.sparkContext.applicationId, name, *stamps)
     if at not in _MADE:
         table = f"odflow_{name}_{uuid.uuid4().hex}"
-        writer = make()
-        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        out = writer.repartition(parts, key).write.bucketBy(parts, key).sortBy(key) if key else writer.write
+        df = make()
+        parts = min(MOST_BUCKETS, max(spark.sparkContext.defaultParallelism, -(-sum(s[1] for s in stamps) // BUCKET_BYTES)))
+        out = df.repartition(parts, key).write.bucketBy(parts, key).sortBy(key) if key else df.write
         out.option("path", f"{shared_folder(spark)}/{table}").saveAsTable(table)
         _MADE[at] = table
     return spark.table(_MADE[at])
