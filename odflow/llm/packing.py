@@ -147,6 +147,41 @@ class SumOfSquares:
         self.open.setdefault(level, []).append(window)
         return None
 
+    def head(self, length: int) -> int:
+        """Where to cut a document longer than a window first, so that head and rest leave the least sum of squares; 0: nowhere.
+
+        A head of a fills level h = size - a; between head and rest lie full windows. What both change the sum by is worked out
+        for all levels at once; a rest fills a window that waits for it, or opens one. Ties take the highest level.
+        """
+        size, levels = self.size, np.arange(1, self.size)
+        here = self.count[1:size]
+        rest = (length - (size - levels)) % size
+        fits = np.where(rest, self.count[(size - rest) % size] - (size - rest == levels), 0)  # the head may take the same level
+        change = 1 - 2 * here + np.where(rest == 0, 0, np.where(fits > 0, 1 - 2 * fits, 2 * self.count[rest] + 1))
+        change[here == 0] = np.iinfo(np.int64).max
+        at = size - 2 - int(np.argmin(change[::-1]))
+        return size - int(levels[at]) if here[at] and change[at] < self.cost(length % size) else 0
+
+    def cost(self, length: int) -> int:
+        """What the sum of squares changes by when a piece shorter than a window is placed."""
+        if not length:
+            return 0
+        level, count = self.level(length), self.count
+        if level + length == self.size:
+            return 1 - 2 * int(count[level])
+        return 2 * int(count[length]) + 1 if not level else 2 * int(count[level + length] - count[level]) + 2
+
+    def again(self) -> list[list]:
+        """Place all pieces of the open windows anew, longest first, as long as a round fills a sixteenth of them; the windows filled."""
+        full, enough = [], True
+        while enough and self.open:
+            windows = self.flush()
+            pieces = sorted((p for w in windows for p in w), key=lambda p: p[2], reverse=True)
+            made = [w for w in map(self.put, pieces) if w]
+            full += made
+            enough = 16 * len(made) >= len(windows)
+        return full
+
     def reopen(self, window: list) -> None:
         """Take a window that is not full."""
         level = sum(p[2] for p in window)
@@ -172,9 +207,11 @@ def _ids(batch: pa.RecordBatch, encode: Callable, end: int) -> Iterator[tuple[in
 def pack_sum_of_squares(docs: DataFrame, path: str, pattern: str, size: int = 1024, end: int = 0, most_open: int = 4096) -> DataFrame:
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    A document is its ids and the id ``end``; null text is empty, so each row has a piece. It is cut into full windows
-    and a rest, which is placed by sum of squares. When more than ``most_open`` windows are open, and at a partition's end, the
-    fullest open windows are topped up with the pieces of the emptiest, cut to fit, so a partition pads few windows.
+    A document is its ids and the id ``end``; null text is empty, so each row has a piece. One longer than a window is cut into a
+    head, full windows and a rest, at the place that leaves the least sum of squares; head and rest, or a shorter document
+    whole, are placed by sum of squares. When more than ``most_open`` windows are open, and at a partition's end, the pieces of the
+    open windows are placed anew, longest first. Of what then is open (while more than half of ``most_open`` are, or at the
+    end) the fullest are topped up with the pieces of the emptiest, cut to fit, so a partition pads one window.
     Repeated rows are packed each; null doc_id stays null; doc_id is returned as a long. An empty table gives no row.
     """
 
@@ -197,18 +234,24 @@ def pack_sum_of_squares(docs: DataFrame, path: str, pattern: str, size: int = 10
 
         for batch in slices(batches, "text"):
             for doc, ids in _ids(batch, encode, end):
-                for at in range(0, len(ids), size):
-                    part = ids[at : at + size]
+                head = packer.head(len(ids)) if len(ids) > size else 0
+                for at in ([0] if head else []) + list(range(head, len(ids), size)):
+                    part = ids[at : head if at < head else at + size]
                     full = packer.put((doc, at, len(part), len(ids), part))
                     if full:
                         close(full)
                     elif packer.count.sum() > most_open:
-                        for window in topped_up(packer.flush(), size):
-                            if sum(p[2] for p in window) == size:
-                                close(window)
-                            else:
-                                packer.reopen(window)
+                        for window in packer.again():
+                            close(window)
+                        if 2 * packer.count.sum() > most_open:
+                            for window in topped_up(packer.flush(), size):
+                                if sum(p[2] for p in window) == size:
+                                    close(window)
+                                else:
+                                    packer.reopen(window)
             yield rows()
+        for window in packer.again():
+            close(window)
         for window in topped_up(packer.flush(), size):
             close(window)
         yield rows()

@@ -15,7 +15,7 @@ import pytest
 import zstandard
 from pyspark.sql import functions as F
 
-from odflow.llm import divergence, merkle, warc
+from odflow.llm import divergence, merkle, packing, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -236,3 +236,69 @@ def test_divergence(spark, texts, least, terms_a_bucket, sources_a_block, monkey
     got = [tuple(r) for r in divergence.source_divergence(df, least).collect()]
     assert sorted(got, key=str) == sorted(divergences(rows, least), key=str)
     assert divergence.source_divergence(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_long_documents_are_cut_where_the_sum_of_squares_falls_most(seed):
+    rng, size = random.Random(seed), 20
+    packer = packing.SumOfSquares(size)
+
+    def after(count, length, level):
+        count = count.copy()
+        count[level] -= level > 0
+        count[(level + length) % size] += length > 0
+        return count * (np.arange(size + 1) % size > 0)
+
+    def least(n, head):
+        """The sum of squares once the head has filled a window and the rest has filled one or opened one; without a head, the least of all places."""
+        count, rest = packer.count, (n - head) % size
+        if head and not count[size - head]:
+            return None
+        if head:
+            count = after(count, head, size - head)
+            places = [size - rest if rest and count[size - rest] else 0]
+        else:
+            places = [0] + [h for h in range(1, size + 1 - rest) if rest and count[h]]
+        return min(int((after(count, rest, h) ** 2).sum()) for h in places)
+
+    for _ in range(300):
+        n = rng.randint(1, 70)
+        if n <= size:
+            packer.put((0, 0, n))
+            continue
+        head = packer.head(n)
+        ways = {a: least(n, a) for a in range(size)}
+        assert ways[head] == min(w for w in ways.values() if w is not None)
+        for at in ([0] if head else []) + list(range(head, n, size)):
+            packer.put((0, at, head - at if at < head else min(size, n - at)))
+
+
+def test_most_windows_close_by_sum_of_squares():
+    # eight partitions of 1,250 documents: of the windows that more than one piece shares, few are left to be topped up
+    rng, size, filled, left = random.Random(3), 1024, 0, 0
+    for _ in range(8):
+        packer = packing.SumOfSquares(size)
+        for k in range(1250):
+            n = int(rng.lognormvariate(6.4, 1))
+            head = packer.head(n) if n > size else 0
+            for at in ([0] if head else []) + list(range(head, n, size)):
+                length = head if at < head else min(size, n - at)
+                filled += length < size and bool(packer.put((k, at, length)))
+        filled += len(packer.again())
+        left += -(-sum(p[2] for w in packer.flush() for p in w) // size)
+    assert filled >= 4 * left
+
+
+def test_placing_anew_keeps_every_piece():
+    rng = random.Random(5)
+    packer, want = packing.SumOfSquares(64), []
+    for k in range(500):
+        piece = (k, 0, rng.randint(1, 60))
+        want.append(piece)
+        full = packer.put(piece)
+        if full:
+            assert sum(p[2] for p in full) == 64
+            want = [p for p in want if p not in full]
+    again = packer.again()
+    assert all(sum(p[2] for p in w) == 64 for w in again)
+    assert sorted(p for w in [*again, *packer.flush()] for p in w) == sorted(want) and not packer.count.any()
