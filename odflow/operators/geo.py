@@ -52,18 +52,22 @@ def _edges(vertices: DataFrame) -> DataFrame:
     return edges.filter("x2 is not null")
 
 
-def _crosses(x: str, y: str):
-    """Whether the ray from (x, y) to the right crosses the edge; a shared end counts for one of the two edges."""
-    rise = F.when(F.col("y1") != F.col("y2"), (F.col("x2") - F.col("x1")) * (F.col(y) - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1"))
-    return F.coalesce(((F.col("y1") > F.col(y)) != (F.col("y2") > F.col(y))) & (F.col(x) < rise), F.lit(False))
+def _inside(x: str, y: str, edges: str = "edges"):
+    """Whether the ray from (x, y) to the right crosses an odd number of edges; a shared end counts for one of the two edges."""
+
+    def crossed(e):
+        rise = (e["x2"] - e["x1"]) * (F.col(y) - e["y1"]) / (e["y2"] - e["y1"]) + e["x1"]
+        return F.when((e["y1"] > F.col(y)) != (e["y2"] > F.col(y)), F.col(x) < rise).otherwise(False)
+
+    return F.size(F.filter(edges, crossed)) % 2 == 1
 
 
 def polygon_cells(vertices: DataFrame, cell: float = 1.0) -> tuple[DataFrame, DataFrame, DataFrame]:
     """An index of polygons in squares of side ``cell``: (border, full, rows).
 
-    border: unit, i, j of the squares that an edge passes; full: unit, i, j of those that lie wholly inside; rows: unit, j and the edges
-    (x1, y1, x2, y2) of a unit that reach into row j. Squares between two border squares of a row are all inside or all
-    outside: a ray from the first one's middle tells which.
+    border: unit, i, j of the squares that an edge passes; full: unit, i, j of those that lie wholly inside; rows: unit, j and the array
+    edges (x1, y1, x2, y2) of those edges of a unit that reach into row j, without level ones. Squares between two border squares
+    of a row are all inside or all outside: a ray from the first one's middle tells which.
     """
     edges = _edges(vertices)
     low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
@@ -76,19 +80,19 @@ def polygon_cells(vertices: DataFrame, cell: float = 1.0) -> tuple[DataFrame, Da
     border = rows.select("unit", "j", F.explode(F.sequence(F.floor((west - slack) / cell), F.floor((east + slack) / cell))).alias("i")).distinct()
     gap = border.withColumn("next", F.lead("i").over(Window.partitionBy("unit", "j").orderBy("i"))).filter("next > i + 1")
     gap = gap.select("unit", "j", (F.col("i") + 1).alias("first"), (F.col("next") - 1).alias("last"), ((F.col("i") + 1.5) * cell).alias("x"), ((F.col("j") + 0.5) * cell).alias("y"))
-    met = gap.join(rows, ["unit", "j"]).groupBy("unit", "j", "first", "last").agg(F.count(F.when(_crosses("x", "y"), 1)).alias("n"))
-    full = met.filter("n % 2 = 1").select("unit", F.explode(F.sequence("first", "last")).alias("i"), "j")
-    return border.select("unit", "i", "j"), full, rows.filter("y1 <> y2").select("unit", "j", "x1", "y1", "x2", "y2")
+    held = rows.filter("y1 <> y2").groupBy("unit", "j").agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("edges"))
+    full = gap.join(held, ["unit", "j"]).filter(_inside("x", "y")).select("unit", F.explode(F.sequence("first", "last")).alias("i"), "j")
+    return border.select("unit", "i", "j"), full, held
 
 
 def points_in_polygons(points: DataFrame, vertices: DataFrame, cell: float = 1.0) -> DataFrame:
     """(point, unit) of points (point, x, y): inside by parity, so holes are outside and islands inside.
 
     A point in a square that lies wholly in a unit is answered by the square. In a square on the unit's border it is cast
-    against the unit's own edges of its row. Points meet squares by both coordinates, and edges by unit and row.
+    against the unit's own edges of its row, held as one array, so points are read once and no pair of point and edge is
+    made or grouped. Repeated points have a row each; points without both coordinates have none.
     """
     border, full, rows = polygon_cells(vertices, cell)
     placed = points.select("point", "x", "y", F.floor(F.col("x") / cell).alias("i"), F.floor(F.col("y") / cell).alias("j"))
-    inside = placed.join(full, ["i", "j"]).select("point", "unit")
-    cast = placed.join(border, ["i", "j"]).join(rows, ["unit", "j"]).groupBy("point", "unit").agg(F.count(F.when(_crosses("x", "y"), 1)).alias("n"))
-    return inside.unionByName(cast.filter("n % 2 = 1").select("point", "unit"))
+    squares = full.select("unit", "i", "j", F.lit(True).alias("whole")).unionByName(border.select("unit", "i", "j", F.lit(False).alias("whole")))
+    return placed.join(squares, ["i", "j"]).join(rows, ["unit", "j"], "left").filter(F.col("whole") | _inside("x", "y")).select("point", "unit")

@@ -93,8 +93,9 @@ def test_points_in_polygons(spark, cell):
     rng = random.Random(9)
     vertices = spark.createDataFrame([v for u, rings in SHAPES.items() for k, r in enumerate(rings) for v in ring(u, k, r)], "unit string, ring int, i int, x double, y double")
     points = [(i, rng.uniform(-5, 26), rng.uniform(-4, 13)) for i in range(600)] + [(600 + i, float(rng.randrange(-4, 12)) + 0.25, float(rng.randrange(-3, 12))) for i in range(200)] + [(900, 10.5, 10.4)]
+    points += [(900, 10.5, 10.4), (901, None, 4.5), (902, 4.5, None)]  # a repeated point has a row each, one without a place has none
     got = geo.points_in_polygons(spark.createDataFrame(points, "point int, x double, y double"), vertices, cell)
-    assert sorted(map(tuple, got.collect())) == sorted((i, u) for i, x, y in points for u, rings in SHAPES.items() if holds(rings, x, y))
+    assert sorted(map(tuple, got.collect())) == sorted((i, u) for i, x, y in points for u, rings in SHAPES.items() if None not in (x, y) and holds(rings, x, y))
     _, full, _ = geo.polygon_cells(vertices, cell)
     for u, i, j in full.collect():
         assert all(holds(SHAPES[u], (i + a) * cell, (j + b) * cell) for a in (0.01, 0.5, 0.99) for b in (0.01, 0.5, 0.99))
