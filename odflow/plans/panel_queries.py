@@ -12,16 +12,16 @@ from odflow.plans.series_queries import _ALBERS, _STATE
 LEVELS = ("level1", "level2", "level3")
 
 
-def _persons(s: Survey) -> DataFrame:
-    """Classified persons with the units and strata of their edition."""
+def people(s: Survey) -> DataFrame:
+    """Classified persons with the units and strata of their edition.
+
+    Read off the stored persons each time: the stored lineage is small, so Spark broadcasts it and persons stay in their buckets. A table
+    of their own would take the persons' disk twice over, and its making a shuffle of them all.
+    """
     rows = _classified(s).withColumn("stratum", F.concat("edition", F.lit("/"), "stratum"))
     return flows.flag_flow(panels.to_edition_units(rows, s.lineage(), ("unit", "prev_unit", "work_unit", "study_unit")).drop("is_flow"))
 
 
-def people(s: Survey) -> DataFrame:
-    return s.once("edition_persons", lambda: _persons(s))
-
-
 def _levels(s: Survey) -> DataFrame:
     """(level, unit, code): where a unit belongs at each level."""
     at = [F.struct(F.lit("unit").alias("level"), F.col("unit").alias("code")), *(F.struct(F.lit(x).alias("level"), F.col(x).alias("code")) for x in LEVELS)]
