@@ -140,11 +140,16 @@ def unit_panel(s: Survey) -> DataFrame:
     return _rounded(_rounded(rows, 5, "se_in", "se_out", "mean_km"), 3, "median_km")
 
 
-def _system(s: Survey) -> DataFrame:
+def _there(s: Survey) -> DataFrame:
+    """Units and groups that an edition has persons of, with area and population: the members of its systems."""
     sizes = s.units.select("unit", "area_km2").join(_levels(s), "unit").join(s.lineage().filter("existed").select("unit", "edition"), "unit").groupBy("level", "edition", "code").agg(F.sum("area_km2").alias("area"))
+    return sizes.join(_populations(s), ["level", "edition", "code"])
+
+
+def _system(s: Survey) -> DataFrame:
     f = _flows(s).select("level", "edition", "o", "d", "total")
     net = flows.ends(f).groupBy("level", "edition", F.col("unit").alias("code")).agg(F.sum(F.col("inflow") - F.col("outflow")).alias("net"))
-    units = sizes.join(_populations(s), ["level", "edition", "code"]).join(net, ["level", "edition", "code"], "left").fillna(0.0, ["net"])
+    units = _there(s).join(net, ["level", "edition", "code"], "left").fillna(0.0, ["net"])
     return panels.system_panel(units, f, _smi(s))
 
 
@@ -189,7 +194,9 @@ def system_comparability(s: Survey) -> DataFrame:
     all_ = F.array(F.lit("moves"), F.lit("ages"))
     has = s.editions().select("edition", F.when(F.col("edition") == "1995", F.slice(all_, 1, 1)).otherwise(all_).alias("has"), F.array().cast("array<string>").alias("partial"))
     told = s.spark.createDataFrame([("slope", "1999", "with_caveat", "other areas")], "measure string, edition string, state string, note string")
-    return panels.comparability(measures, has, told, units=_system(s).select("level", "edition", "units"), changing=["cmi", "smi", "anmr", "slope"], stable={"mei": 20})
+    # of the systems only the number of their units tells; their flows are left alone
+    units = _there(s).groupBy("level", "edition").agg(F.count(F.lit(1)).alias("units"))
+    return panels.comparability(measures, has, told, units=units, changing=["cmi", "smi", "anmr", "slope"], stable={"mei": 20})
 
 
 @query("SELECT measure, CASE WHEN measure IN ('effectiveness', 'mei', 'sex_ratio') THEN 'comparable' ELSE 'not_comparable' END AS state, CASE WHEN measure IN ('effectiveness', 'mei') THEN 'settles_with_units' WHEN measure <> 'sex_ratio' THEN 'depends_on_scale' END AS note FROM (SELECT unnest(['cmi', 'smi', 'anmr', 'inflow', 'mean_km', 'pairs', 'gini_out', 'dissimilarity', 'effectiveness', 'mei', 'sex_ratio']) AS measure) WHERE (SELECT count(*) FROM units) > 0")
