@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,14 +14,18 @@ from odflow.plans.series_queries import _ALBERS, _STATE
 LEVELS = ("level1", "level2", "level3")
 
 
-def people(s: Survey) -> DataFrame:
-    """Classified persons with the units and strata of their edition.
+def people(s: Survey, columns: Sequence[str] = ("unit", "prev_unit", "work_unit", "study_unit")) -> DataFrame:
+    """Classified persons with the strata of their edition, and its units in ``columns``; is_flow where both ends of a move are among them.
 
     Read off the stored persons each time: the stored lineage is small, so Spark broadcasts it and persons stay in their buckets. A table
-    of their own would take the persons' disk twice over, and its making a shuffle of them all.
+    of their own would take the persons' disk twice over, and its making a shuffle of them all. A column not asked for saves a join.
     """
     rows = _classified(s).withColumn("stratum", F.concat("edition", F.lit("/"), "stratum"))
-    return flows.flag_flow(panels.to_edition_units(rows, s.lineage(), ("unit", "prev_unit", "work_unit", "study_unit")).drop("is_flow"))
+    rows = panels.to_edition_units(rows, s.lineage(), columns).drop("is_flow")
+    return flows.flag_flow(rows) if {"unit", "prev_unit"} <= set(columns) else rows
+
+
+_ENDS = ("unit", "prev_unit")
 
 
 def _levels(s: Survey) -> DataFrame:
@@ -36,8 +42,8 @@ def _points(s: Survey) -> DataFrame:
 
 def _flows(s: Survey) -> DataFrame:
     """Cells of all levels and editions with the distance between their points."""
-    frame = estimate.stratum_frame(people(s))
-    cells = s.once("level_cells", lambda: panels.level_cells(people(s).filter("is_flow"), s.units, LEVELS, frame), key=None)
+    frame = estimate.stratum_frame(people(s, ()))
+    cells = s.once("level_cells", lambda: panels.level_cells(people(s, _ENDS).filter("is_flow"), s.units, LEVELS, frame), key=None)
     for end in ("o", "d"):
         cells = cells.join(_points(s).select("level", F.col("code").alias(end), F.col("x").alias(f"x_{end}"), F.col("y").alias(f"y_{end}")), ["level", end], "left")
     return cells.withColumn("km", F.round(F.hypot(F.col("x_o") - F.col("x_d"), F.col("y_o") - F.col("y_d")) / 1000, 6)).select("level", "edition", "o", "d", "total", "se", "km")
@@ -56,14 +62,14 @@ def _skeleton(s: Survey) -> DataFrame:
 
 
 def _populations(s: Survey) -> DataFrame:
-    sums = people(s).groupBy("edition", "unit").agg(F.sum("weight").alias("pop"), F.sum(F.when(F.col("age") >= 5, F.col("weight"))).alias("pop5"))
+    sums = people(s, ("unit",)).groupBy("edition", "unit").agg(F.sum("weight").alias("pop"), F.sum(F.when(F.col("age") >= 5, F.col("weight"))).alias("pop5"))
     metros = s.units.filter("metro is not null").select(F.lit("metro").alias("level"), "unit", F.col("metro").alias("code"))
     return sums.join(_levels(s).unionByName(metros), "unit").groupBy("level", "edition", "code").agg(F.sum("pop").alias("pop"), F.sum("pop5").alias("pop5"))
 
 
 def _errors(s: Survey) -> DataFrame:
-    moved = people(s).filter("is_flow")
-    frame = estimate.stratum_frame(people(s))
+    moved = people(s, _ENDS).filter("is_flow")
+    frame = estimate.stratum_frame(people(s, ()))
     end = F.explode(F.array(F.struct(F.lit("in").alias("way"), F.col("unit").alias("code")), F.struct(F.lit("out").alias("way"), F.col("prev_unit").alias("code")))).alias("x")
     cells = estimate.se_cv(estimate.cell_variance(moved.select("edition", "stratum", "psu", "weight", end).select("edition", "stratum", "psu", "weight", "x.*"), ["edition", "code", "way"], frame))
     at = lambda way: F.max(F.when(F.col("way") == way, F.col("se"))).alias(f"se_{way}")
@@ -72,7 +78,7 @@ def _errors(s: Survey) -> DataFrame:
 
 def _commuting(s: Survey) -> DataFrame:
     """Commuting of units, of the editions that asked."""
-    asked = metro.flag_commuters(people(s).filter("edition <> '1996'"))
+    asked = metro.flag_commuters(people(s, ("unit", "work_unit", "study_unit")).filter("edition <> '1996'"))
     return metro.commute_indicators(asked, ["edition"]).withColumnRenamed("unit", "code").withColumn("level", F.lit("unit"))
 
 
@@ -157,7 +163,7 @@ def _smi(s: Survey) -> DataFrame:
     """Intensity with the residents' ages of 2000 as the standard: movers over those who did not move, by age band."""
     from odflow.operators.measures import smi
 
-    bands = people(s).filter("age_band is not null").groupBy("edition", F.col("age_band").alias("band"))
+    bands = people(s, _ENDS).filter("age_band is not null").groupBy("edition", F.col("age_band").alias("band"))
     sums = bands.agg(F.sum(F.when(F.col("is_flow"), F.col("weight"))).alias("moved"), F.sum(F.when(F.col("prev_local").isNull(), F.col("weight"))).alias("stayed"))
     rates = sums.select("edition", "band", F.try_divide("moved", "stayed").alias("rate")).filter("rate is not null")
     return smi(rates, sums.filter("edition = '2000' and stayed is not null").select("band", F.col("stayed").alias("pop")))

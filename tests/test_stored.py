@@ -58,3 +58,13 @@ def test_comparability_takes_the_number_of_units_alone(spark, folder):
     got = QUERIES["system_comparability"](spark, folder)
     assert {t.rsplit("_", 1)[0] for t in stored(spark) - old} == {"odflow_persons", "odflow_lineage"}
     assert got.count() == 91
+
+
+def test_only_the_units_asked_for_are_joined(spark, folder):
+    s = Survey(spark, folder)
+    whole = people(s)
+    for columns in ((), ("unit",), ("unit", "prev_unit")):
+        some = people(s, columns)
+        assert plan_of(some).count("BroadcastHashJoin") == len(columns)
+        same = ["psu", "stratum", *columns, *(["is_flow"] if len(columns) == 2 else [])]
+        assert some.select(same).exceptAll(whole.select(same)).count() == 0 and ("is_flow" in some.columns) == (len(columns) == 2)
