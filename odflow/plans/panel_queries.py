@@ -73,13 +73,14 @@ def _errors(s: Survey) -> DataFrame:
     end = F.explode(F.array(F.struct(F.lit("in").alias("way"), F.col("unit").alias("code")), F.struct(F.lit("out").alias("way"), F.col("prev_unit").alias("code")))).alias("x")
     cells = estimate.se_cv(estimate.cell_variance(moved.select("edition", "stratum", "psu", "weight", end).select("edition", "stratum", "psu", "weight", "x.*"), ["edition", "code", "way"], frame))
     at = lambda way: F.max(F.when(F.col("way") == way, F.col("se"))).alias(f"se_{way}")
-    return cells.groupBy("edition", "code").agg(at("in"), at("out"))
+    return s.once("edition_errors", lambda: cells.groupBy("edition", "code").agg(at("in"), at("out")), key=None)
 
 
 def _commuting(s: Survey) -> DataFrame:
     """Commuting of units, of the editions that asked."""
     asked = metro.flag_commuters(people(s, ("unit", "work_unit", "study_unit")).filter("edition <> '1996'"))
-    return metro.commute_indicators(asked, ["edition"]).withColumnRenamed("unit", "code").withColumn("level", F.lit("unit"))
+    rows = s.once("edition_commuting", lambda: metro.commute_indicators(asked, ["edition"]), key=None)
+    return rows.withColumnRenamed("unit", "code").withColumn("level", F.lit("unit"))
 
 
 _COMMUTING = ("out_work", "in_work", "balance", "out_study", "in_study", "rate_out", "attraction", "minutes", "pct_daily", "pct_public")
